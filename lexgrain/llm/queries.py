@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, mixing, packing, sharding
+from . import chat, exact_dedup, fingerprints, language, mixing, packing, sharding
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(docs.where(~F.coalesce(language.held_out(), F.lit(False))).select("doc_id", "text", "lang"))
+    out = language.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
@@ -53,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_exact_dedup, op5_document_fingerprints, op6_mixing_sources, op7_chat_formatting, op8_packing, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_id, op4_exact_dedup, op5_document_fingerprints, op6_mixing_sources, op7_chat_formatting, op8_packing, op10_sharding)}
 
 _ESCAPED = "replace(coalesce({}, ''), '\\', '\\\\')"
 for _mark in chat.CONTROLS:
