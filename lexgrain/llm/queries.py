@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, language, mixing, packing, sharding
+from . import chat, exact_dedup, fingerprints, language, mixing, near_dedup, packing, sharding
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,12 +55,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), words=4, limit=0.8)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents"), shards=40)
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_id, op4_exact_dedup, op5_document_fingerprints, op6_mixing_sources, op7_chat_formatting, op8_packing, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_id, op4_exact_dedup, op5_document_fingerprints, op6_mixing_sources, op7_chat_formatting, op8_packing, op9_near_dedup, op10_sharding)}
 
 _ESCAPED = "replace(coalesce({}, ''), '\\', '\\\\')"
 for _mark in chat.CONTROLS:
