@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, language, mixing, near_dedup, packing, sharding
+from . import chat, exact_dedup, fingerprints, language, mixing, near_dedup, packing, sharding, suffix_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.train(docs.where(~F.coalesce(language.held_out(), F.lit(False))).select("doc_id", "text", "lang"))
@@ -64,7 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_id, op4_exact_dedup, op5_document_fingerprints, op6_mixing_sources, op7_chat_formatting, op8_packing, op9_near_dedup, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op4_exact_dedup, op5_document_fingerprints, op6_mixing_sources, op7_chat_formatting, op8_packing, op9_near_dedup, op10_sharding)}
 
 _ESCAPED = "replace(coalesce({}, ''), '\\', '\\\\')"
 for _mark in chat.CONTROLS:
