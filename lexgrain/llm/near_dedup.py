@@ -22,7 +22,7 @@ whole; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,31 +152,34 @@ def _verify(limit: float):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: float) -> DataFrame:
-    """Those of pairs(a, b) whose full sets reach limit."""
+    """Those of pairs(a, b) of documents whose full sets reach limit."""
     pairs = table(pairs, "near-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = table(sets_of(docs, ids, words).dropDuplicates(["id"]), "near-sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return table(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(limit), "a long, b long"), "near-links")
+    return compared(pairs, table(sets_of(docs, ids, words).dropDuplicates(["id"]), "near-sets"), limit)
 
 
-def near_links(docs: DataFrame, reps: DataFrame, words: int, limit: float) -> DataFrame:
-    """Links (a, b) that connect all that is connected at similarity limit among reps(id, n, sketch), one a distinct set."""
+def near_lists(reps: DataFrame, limit: float) -> DataFrame:
+    """value, id, n, sketch, central: the inverted lists of the rarest shared values of reps(id, n, sketch), one a distinct set."""
     values = reps.select("id", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
-    # of the least values of a set, `own` belong to it alone and come first in order of frequency
+    # of the least values of a set, those that belong to it alone come first in order of frequency
     kept = F.least(F.col("n"), F.lit(SKETCH))
     need = F.least(F.lit(SHARED), F.ceil(F.col("n") * limit))
     listed = reps.join(shared, "id").withColumn("most", (kept - need + 1 - (kept - F.size("vs"))).cast("int")).where("most > 0")
     listed = listed.select("id", "n", "sketch", F.aggregate("vs", F.lit(0).cast("long"), lambda s, v: s + v["df"]).alias("central"), F.explode(F.slice("vs", 1, F.col("most"))).alias("v"))
-    listed = table(listed.select("id", "n", "sketch", "central", "v.value"), "near-lists")
+    return listed.select("v.value", "id", "n", "sketch", "central")
+
+
+def link_lists(listed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect all that verify connects of the pairs that share a list of listed(value, id, n, sketch, central)."""
+    listed = table(listed, "near-lists")
     sizes = table(listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-list-sizes")
     sized = listed.join(sizes, "value")
     as_bytes = F.aggregate("sketch", F.lit("").cast("string"), lambda s, v: F.concat(s, F.lpad(F.hex(v), 16, "0")))
     short = sized.where(F.col("members") <= SHORT).select("value", "id", "n", F.unhex(as_bytes).alias("sk"))
     found = short.repartition("value").sortWithinPartitions("value").mapInArrow(_list_pairs, "a long, b long").distinct()
-    links = verified(found, docs, words, limit)
+    links = verify(found)
     long = table(sized.where(F.col("members") > SHORT).select("value", "id", "n", "sketch", "central"), "near-long")
     if not long.limit(1).count():
         return links
@@ -184,27 +187,33 @@ def near_links(docs: DataFrame, reps: DataFrame, words: int, limit: float) -> Da
     leaders = LEADERS
     while True:
         groups = components(links)
-        placed = long.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        counts = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
-        largest = counts.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-        first = led is None
-        open_ = placed.select("value", "id", "n", "sketch", "central", "component")
-        if not first:
+        placed = table(long.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
+        open_ = placed
+        if led is not None:
+            counts = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
+            largest = counts.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
             open_ = open_.join(largest, "value").where(F.col("component") != F.col("largest")).join(led, ["value", "id"], "left_anti")
         chosen = open_.groupBy("value", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(leaders)).alias("slot")).agg(F.max(F.struct("central", (-F.col("id")).alias("back"), "id", "n", "sketch", "component")).alias("l"))
         chosen = table(chosen.select("value", F.col("l.id").alias("leader"), F.col("l.n").alias("ln"), F.col("l.sketch").alias("lsketch"), F.col("l.component").alias("lcomponent")), "near-leaders")
         if not chosen.limit(1).count():
             return links
-        led = chosen.select("value", F.col("leader").alias("id")) if first else table(led.unionByName(chosen.select("value", F.col("leader").alias("id"))), "near-led")
+        now = chosen.select("value", F.col("leader").alias("id"))
+        led = now if led is None else table(led.unionByName(now), "near-led")
         pairs = placed.join(chosen, "value").where((F.col("component") != F.col("lcomponent")) & (F.least("n", "ln") >= 0.75 * F.greatest("n", "ln")))
-        union = F.slice(F.array_sort(F.array_union(F.transform("sketch", _unsigned), F.transform("lsketch", _unsigned))), 1, SKETCH)
-        both = F.array_intersect(F.transform("sketch", _unsigned), F.transform("lsketch", _unsigned))
-        pairs = pairs.where(F.size(F.array_intersect(union, both)) >= FILTER * F.size(union))
-        pairs = pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        links = table(links.unionByName(verified(pairs, docs, words, limit)), "near-links")
+        mine, theirs = F.transform("sketch", _unsigned), F.transform("lsketch", _unsigned)
+        pairs = pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), mine.alias("x"), theirs.alias("y"))
+        union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+        pairs = pairs.where(F.size(F.array_intersect(union, F.array_intersect("x", "y"))) >= FILTER * F.size(union))
+        links = table(links.unionByName(verify(pairs.select("a", "b").distinct())), "near-links")
         leaders *= 2
 
 
+def compared(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+    """Those of pairs(a, b) whose full sets, of sets(id, set), reach limit."""
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    return table(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(limit), "a long, b long"), "near-links")
+
+
 def _unsigned(v):
     """Orders longs as unsigned numbers are."""
     return v.bitwiseXOR(F.lit(-(1 << 63)))
@@ -219,7 +228,7 @@ def near_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame
     classes = table(classes, "near-classes")
     whole = able.select(F.col("doc_id").alias("id"), "s0", "s1", "sketch").join(classes, ["s0", "s1", "id"]).dropDuplicates(["s0", "s1"])
     reps = table(whole.select("id", "n", "sketch"), "near-reps")
-    links = near_links(rows, reps, words, limit)
+    links = link_lists(near_lists(reps, limit), lambda pairs: verified(pairs, rows, words, limit))
     copies = able.join(classes.where("rows > 1"), ["s0", "s1"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     groups = components(links.unionByName(copies))
     out = each.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")

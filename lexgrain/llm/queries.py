@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, language, mixing, near_dedup, packing, sharding, suffix_dedup
+from . import chat, exact_dedup, fingerprints, language, mixing, near_dedup, packing, sharding, substring_dedup, suffix_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
@@ -68,7 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op4_exact_dedup, op5_document_fingerprints, op6_mixing_sources, op7_chat_formatting, op8_packing, op9_near_dedup, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_substring_dedup, op4_exact_dedup, op5_document_fingerprints, op6_mixing_sources, op7_chat_formatting, op8_packing, op9_near_dedup, op10_sharding)}
 
 _ESCAPED = "replace(coalesce({}, ''), '\\', '\\\\')"
 for _mark in chat.CONTROLS:
