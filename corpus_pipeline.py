@@ -1,8 +1,54 @@
-"""Corpus pipeline (placeholder until its stages exist)."""
+"""Corpus pipeline: language ID, exact dedup, near-dedup, mixing to target weights, packing.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), where docs is all that the stage before kept, and
+returns the columns of documents, the last one pieces of packed sequences.  `run` writes
+each stage's result to the shared folder before the next reads it."""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexgrain.llm import exact_dedup, language, mixing, near_dedup, packing, queries
+from lexgrain.llm.common import read, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or without a main language go."""
+    return language.accepted(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the one with the smallest identifier stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the one with the smallest identifier stays."""
+    return near_dedup.drop_near(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources reach their target weights; documents are repeated or left out whole."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.pack(docs, queries.tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
+
+#: A model's predictions, sketches and token ids have no SQL; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

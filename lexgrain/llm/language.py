@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import slices
@@ -197,7 +197,6 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     Words are runs of other than white space; where a text starts or ends with white space, an empty one stands there."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x languages
     extra = ", lang_spans array<struct<first_word: int, words: int, lang: string>>" if spans else ""
-    names = docs.columns
     fields = [*docs.schema.fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +210,6 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*base.columns, *new], names=[*base.schema.names, "lang_pred", "score", *(["lang_spans"] if spans else [])])
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
-    assert "text" in names
     return docs.mapInArrow(work, f"{kinds}, lang_pred string, score double{extra}")
 
 
@@ -242,6 +240,16 @@ def label(m: Remembered, texts: pa.Array, spans: bool) -> list[pa.Array]:
 SPANS = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     """True for the third of the rows that no model learns from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+#: A document whose main language has less of its letters than this is turned away, as is one without any.
+LEAST_SHARE = 0.5
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """docs whose language is clear, by a model of their own labelled rows; all columns stay."""
+    judged = predict(docs, train(docs.select("doc_id", "text", "lang")))
+    return judged.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SHARE)).select(*[F.col(f"`{c}`") for c in docs.columns])

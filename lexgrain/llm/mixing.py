@@ -132,3 +132,11 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (size * (sure + CASE WHEN rank IS NOT NULL AND upto - size / 2 <= left_open THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
+
+
+def mix(docs: DataFrame, share_percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 29, worth: str | None = None) -> DataFrame:
+    """docs with each row as often as the mix takes it; all columns stay."""
+    copies = mix_sizes(docs, share_percent, most, weights, seed, worth=worth).groupBy("doc_id", "th").agg(F.max("copies").alias("copies"))
+    names = [F.col(f"d.`{c}`") for c in docs.columns]
+    taken = docs.alias("d").join(copies.where("copies > 0").alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.xxhash64("d.text") == F.col("c.th")))
+    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("__copy")).drop("__copy")

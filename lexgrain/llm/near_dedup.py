@@ -234,3 +234,9 @@ def near_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame
     out = each.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near copies; all columns stay."""
+    gone = near_dedup(docs, words, limit).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
