@@ -1,6 +1,6 @@
 """The stored index: files, postings, dictionary and metadata as Parquet tables under one version folder.
 
-Layout: ROOT/v=N/{files,postings,dictionary,meta}; ROOT/CURRENT/v=N (an empty marker
+Layout: ROOT/v=N/{files,postings,dictionary,skipped,meta}; ROOT/CURRENT/v=N (an empty marker
 table) names the version in use, so readers never see a half-written one."""
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from ..functions.text import is_binary
 from ..functions.trigrams import blooms, postings
 from ..schema import DICTIONARY, FILES, MAX_FILE_BYTES, POSTINGS, VERSION
 
-TABLES = {"files": FILES, "postings": POSTINGS, "dictionary": DICTIONARY}
+SKIPPED = "path string, mtime_ns long, size_bytes long"
+TABLES = {"files": FILES, "postings": POSTINGS, "dictionary": DICTIONARY, "skipped": SKIPPED}
 META = "version_major int, version_minor int, created_at_us long, file_count long, posting_count long, trigram_count long, source_bytes long, skipped_binary long, skipped_size long"
 
 
@@ -70,8 +71,14 @@ def doc_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("trigram").agg(F.count(F.lit(1)).alias("doc_frequency"))
 
 
-def _write(spark: SparkSession, root: str, version: int, files: DataFrame, posted: DataFrame, skipped: tuple[int, int]) -> None:
+def skipped(source: DataFrame) -> DataFrame:
+    """Files that aren't indexed, kept so that an update knows them."""
+    return source.where((F.col("size_bytes") > MAX_FILE_BYTES) | is_binary(F.col("content"))).select("path", "mtime_ns", "size_bytes")
+
+
+def _write(spark: SparkSession, root: str, version: int, files: DataFrame, posted: DataFrame, left_out: DataFrame, counts: tuple[int, int]) -> None:
     at = f"{root}/v={version}"
+    left_out.write.parquet(f"{at}/skipped")
     # frequent trigrams are split by file, and each file holds a narrow range, so a lookup skips most of them
     posted.select(*POSTINGS.names).repartitionByRange("trigram", "file_id").sortWithinPartitions("trigram", "file_id").write.parquet(f"{at}/postings")
     posted = spark.read.schema(POSTINGS).parquet(f"{at}/postings")
@@ -79,7 +86,7 @@ def _write(spark: SparkSession, root: str, version: int, files: DataFrame, poste
     per_file = posted.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     files.drop("trigram_count").join(per_file, "file_id", "left").withColumn("trigram_count", F.coalesce("n", F.lit(0))).select(*FILES.names).write.parquet(f"{at}/files")
     totals = spark.read.schema(FILES).parquet(f"{at}/files").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
-    row = (*VERSION, time.time_ns() // 1000, totals["n"], posted.count(), spark.read.parquet(f"{at}/dictionary").count(), totals["b"], *skipped)
+    row = (*VERSION, time.time_ns() // 1000, totals["n"], posted.count(), spark.read.parquet(f"{at}/dictionary").count(), totals["b"], *counts)
     spark.createDataFrame([row], META).coalesce(1).write.parquet(f"{at}/meta")
     _publish(spark, root, version)
 
@@ -89,7 +96,7 @@ def build(source: DataFrame, root: str) -> dict:
     spark = source.sparkSession
     stats = build_stats(source).first().asDict()
     good = usable(source)
-    _write(spark, root, max(versions(spark, root), default=0) + 1, file_table(good), postings(good), (stats["files_skipped_binary"], stats["files_skipped_size"]))
+    _write(spark, root, max(versions(spark, root), default=0) + 1, file_table(good), postings(good), skipped(source), (stats["files_skipped_binary"], stats["files_skipped_size"]))
     return stats
 
 
@@ -107,7 +114,7 @@ class StoredIndex:
             raise IndexCorrupted(f"{root}: no metadata")
         if self.meta["version_major"] != VERSION[0] or self.meta["version_minor"] < VERSION[1]:
             raise UnsupportedVersion(f"{root}: {self.meta['version_major']}.{self.meta['version_minor']}")
-        self.files, self.postings, self.dictionary = (self._open(t, s) for t, s in TABLES.items())
+        self.files, self.postings, self.dictionary, self.skipped = (self._open(t, s) for t, s in TABLES.items())
         if check:
             self.check()
 
@@ -154,17 +161,21 @@ def update(source: DataFrame, root: str) -> dict[str, int]:
         build(source, root)
         return {"added": StoredIndex(spark, root).meta["file_count"], "modified": 0, "deleted": 0}
     old = StoredIndex(spark, root)
-    changed = diff(source.where(F.col("size_bytes") <= MAX_FILE_BYTES), old.files)
-    counts = {"added": 0, "modified": 0, "deleted": 0} | {r["change"]: r["count"] for r in changed.groupBy("change").count().collect()}
-    if not any(counts.values()):
+    known = old.files.select("path", "mtime_ns", "size_bytes").unionByName(old.skipped)
+    changed = diff(source, known)
+    now = source.join(changed.where(F.col("change") != "deleted").select("path"), "path", "left_semi")
+    left_out, fresh = skipped(now), usable(now)
+    seen = changed.join(left_out.select("path"), "path", "left_anti").join(old.skipped.select("path", F.lit(True).alias("was")), "path", "left")
+    seen = seen.where(~((F.col("change") == "deleted") & F.col("was").isNotNull()))
+    counts = {"added": 0, "modified": 0, "deleted": 0} | {r["change"]: r["count"] for r in seen.groupBy("change").count().collect()}
+    if not any(counts.values()) and not changed.limit(1).count():
         return counts
     kept = old.files.join(changed, "path", "left_anti")
-    fresh = usable(source.join(changed.where(F.col("change") != "deleted").select("path"), "path", "left_semi"))
     top = old.files.agg(F.max("file_id")).first()[0] or 0
     reused = old.postings.join(kept.select("file_id"), "file_id", "left_semi")
     if source.join(kept.select("file_id", F.col("path").alias("p")), "file_id").where(F.col("path") != F.col("p")).limit(1).count():
         fresh = fresh.withColumn("file_id", F.col("file_id") + F.lit(top + 1))  # the source numbered its files anew
     files = kept.unionByName(file_table(fresh))
     stats = build_stats(source).first()
-    _write(spark, root, old.version + 1, files, reused.unionByName(postings(fresh)), (stats["files_skipped_binary"], stats["files_skipped_size"]))
+    _write(spark, root, old.version + 1, files, reused.unionByName(postings(fresh)), old.skipped.join(changed, "path", "left_anti").unionByName(left_out), (stats["files_skipped_binary"], stats["files_skipped_size"]))
     return counts

@@ -43,12 +43,13 @@ def debounce(events: DataFrame, path: Column, ts: Column, silence_ms: int = DEBO
     return out.select(F.timestamp_micros("start").alias("batch_start"), F.timestamp_micros("end").alias("batch_end"), "n_events", "paths")
 
 
-def debounce_stream(events: DataFrame, path: Column, ts: Column, silence_ms: int = DEBOUNCE_MS, late: str = "10 seconds") -> DataFrame:
-    """The same over a stream; a watermark bounds what is held."""
-    rows = events.select(path.alias("path"), ts.alias("ts")).withWatermark("ts", late)
-    sessions = rows.groupBy(F.session_window("ts", f"{silence_ms} milliseconds"))
+def debounce_stream(events: DataFrame, path: Column, ts: Column, silence_ms: int = DEBOUNCE_MS, late: str = "10 seconds", feed: Column | None = None) -> DataFrame:
+    """The same over a stream; a watermark bounds what is held. feed: batches are made for each of its values."""
+    feed = feed if feed is not None else ts.isNotNull()  # sessions of a stream need a key
+    rows = events.select(path.alias("path"), ts.alias("ts"), feed.alias("feed")).withWatermark("ts", late)
+    sessions = rows.groupBy("feed", F.session_window("ts", f"{silence_ms} milliseconds"))
     out = sessions.agg(F.min("ts").alias("batch_start"), F.max("ts").alias("batch_end"), F.count(F.lit(1)).alias("n_events"), F.sort_array(F.collect_set("path")).alias("paths"))
-    return out.drop("session_window")
+    return out.drop("session_window", "feed")
 
 
 def search_stream(files: DataFrame, plan: QueryPlan, options: SearchOptions) -> DataFrame:
