@@ -24,6 +24,8 @@ One conversation is one output row, so its turns meet in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,15 +54,17 @@ def paths(nodes: DataFrame) -> DataFrame:
     known = nodes.select("node").withColumnRenamed("node", "p")
     up = nodes.join(known, nodes.parent == known.p, "left").select("node", F.col("p").alias("up"), F.array("node").alias("path"))
     inner = nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
-    done = None
+    finished: list[DataFrame] = []  # a path is done when nothing is above its top
     for _ in range(MAX_ROUNDS):
         up = table(up, "paths")
-        if not up.where(F.col("up").isNotNull()).limit(1).count():
-            done = up
+        finished.append(up.where(F.col("up").isNull()))
+        open_ = up.where(F.col("up").isNotNull())
+        if not open_.limit(1).count():
+            done = reduce(DataFrame.unionByName, finished)
             break
-        above = up.select(F.col("node").alias("t"), F.col("up").alias("t_up"), F.col("path").alias("t_path"))
-        up = up.join(above, F.col("up") == F.col("t"), "left").select("node", F.col("t_up").alias("up"), F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("t_path", "path")).alias("path"))
-    if done is None:
+        above = reduce(DataFrame.unionByName, finished, open_).select(F.col("node").alias("t"), F.col("up").alias("t_up"), F.col("path").alias("t_path"))
+        up = open_.join(above, F.col("up") == F.col("t")).select("node", F.col("t_up").alias("up"), F.concat("t_path", "path").alias("path"))
+    else:
         raise ValueError("the replies form a cycle")
     return done.join(inner, "node", "left_anti").select(F.col("node").alias("leaf"), "path")
 
