@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     out = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+    out = out.where("a > b")
+    return out if large else out.distinct()  # a large star repeats no edge
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,14 +1,15 @@
 """MinHash near-dedup with bottom-k sketches of one hash function.
 
-A text's set of shingles is hashed once; its SKETCH smallest values are its sketch.
+A text's set of shingles is hashed once; its SKETCH smallest values are its sketch, of
+which the LISTED smallest go into inverted lists.
 Texts with equal sets are one class from the start.  Inverted lists of retained values
-join the classes that share one: with SHARED values in common at least, two sketches
-meet within the SKETCH - SHARED + 1 rarest values of either, so only those are listed,
+join the classes that share one: two sketches with `shared_values`
+in common meet within the LISTED - shared_values + 1 rarest values of either, so only those are listed,
 rarest by exact document frequency.  Two sets of similarity 0.8 share about 26 of 32
-values, and fewer than 13 with a probability of about 1e-7.
+listed values, and fewer than 13 with a probability of about 1e-7.
 
 Lists of up to SHORT members compare all members in memory and pass on only pairs whose
-union-sketch estimate reaches FILTER.  A longer list never meets in one task: in each
+union-sketch estimate reaches the limit less four standard errors.  A longer list never meets in one task: in each
 round a few leaders (those with most shared values first) are compared with all members,
 and rounds go on until all members outside the list's largest component have led, so no
 link is lost.  Exact Jaccard over full sets verifies every pair.  Components name the
@@ -22,6 +23,7 @@ whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,28 +38,44 @@ from .components import components
 from .packing import slices
 from .shingles import shingle_sets
 
-SKETCH, SHARED, SHORT, FILTER = 32, 13, 48, 0.5
-#: Leaders of a long list in the first round; each later round has twice as many.
+SKETCH, LISTED, SHORT = 96, 32, 48
+#: Leaders of a long list in the first round; each later round has four times as many.
 LEADERS = 4
 
 
+def shared_values(limit: float) -> int:
+    """Of LISTED values, how many two sets of that similarity share but for a chance of about 1e-7."""
+    return max(1, math.ceil(LISTED * limit - 5.6 * math.sqrt(LISTED * limit * (1 - limit))))
+
+
+def least_estimate(limit: float) -> float:
+    """The limit less four standard errors of a sketch's estimate."""
+    return limit - 4.1 * math.sqrt(limit * (1 - limit) / SKETCH)
+
+
+def packed_sketch(values: np.ndarray) -> bytes:
+    """The upper halves of a set's least values, in order."""
+    return (values[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, s0, s1 (128-bit digest of the set), sketch (its least values, ascending as unsigned)."""
+    """doc_id, n_shingles, s0, s1 (128-bit digest of the set), sketch (its LISTED least values), sk (packed sketch)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4_000_000):
-                sizes, digests, least = [], [], []
+                sizes, digests, least, packed = [], [], [], []
                 for s in shingle_sets(part.column(1), words):
                     sizes.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    least.append(s[:SKETCH])
+                    least.append(s[:LISTED])
+                    packed.append(packed_sketch(s))
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in least])]).astype(np.int32)
                 flat = np.concatenate(least) if least else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["doc_id", "n_shingles", "s0", "s1", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(packed, pa.binary())], names=["doc_id", "n_shingles", "s0", "s1", "sketch", "sk"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, s0 long, s1 long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, s0 long, s1 long, sketch array<long>, sk binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -71,65 +89,87 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(work, "id long, set binary")
 
 
-def estimates(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates from the union's sketch: of its least values, the part that is in both. Rows are sorted, padded with the largest value."""
     both = np.sort(np.concatenate([a, b], 1), 1)
-    pad = np.iinfo(np.uint64).max
+    pad = np.iinfo(np.uint32).max
     new = np.ones(both.shape, bool)
     new[:, 1:] = both[:, 1:] != both[:, :-1]
     new &= both != pad
     rank = np.cumsum(new, 1)
     twice = np.zeros(both.shape, bool)
     twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != pad)
-    least = np.minimum(rank[:, -1], np.minimum(SKETCH, sizes))
+    least = np.minimum(rank[:, -1], SKETCH)
     return (twice & (rank <= least[:, None])).sum(1) / np.maximum(least, 1)
 
 
 def _unpack(blobs: list[bytes]) -> np.ndarray:
-    out = np.full((len(blobs), SKETCH), np.iinfo(np.uint64).max, np.uint64)
+    out = np.full((len(blobs), SKETCH), np.iinfo(np.uint32).max, np.uint32)
     for i, x in enumerate(blobs):
-        v = np.frombuffer(x, ">u8")
+        v = np.frombuffer(x, "<u4")
         out[i, : len(v)] = v
     return out
 
 
-def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose estimate reaches FILTER, of rows (value, id, n, sk) sorted by value; a list has SHORT rows at most."""
-    held: list = []
-
-    def pairs(rows: list) -> pa.RecordBatch:
-        value = np.array([r[0] for r in rows], np.int64)
-        ids = np.array([r[1] for r in rows], np.int64)
-        n = np.array([r[2] for r in rows], np.int64)
-        sk = _unpack([r[3] for r in rows])
-        start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        size = np.diff(np.append(start, len(value)))
-        left, right = [], []
-        for step in range(1, int(size.max(initial=1))):  # members `step` places apart in their list
-            at = np.arange(len(value) - step)
-            ok = value[at] == value[at + step]
-            left.append(at[ok])
-            right.append(at[ok] + step)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        near = (np.minimum(n[i], n[j]) >= 0.75 * np.maximum(n[i], n[j])) & (ids[i] != ids[j])
-        i, j = i[near], j[near]
-        keep = np.concatenate([estimates(sk[i[s : s + 20_000]], sk[j[s : s + 20_000]], np.full(len(i[s : s + 20_000]), SKETCH)) >= FILTER for s in range(0, len(i), 20_000)] or [np.zeros(0, bool)])
-        a, b = np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
-        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    for batch in batches:
-        held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        if len(held) > 20_000:
-            last = held[-1][0]
-            cut = len(held)
-            while cut and held[cut - 1][0] == last:
-                cut -= 1
-            if cut:
-                yield pairs(held[:cut])
-            held = held[cut:]
-    if held:
-        yield pairs(held)
+def _near(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of sketches have an estimate of least or more."""
+    return np.concatenate([estimates(a[s : s + 10_000], b[s : s + 10_000]) >= least for s in range(0, len(a), 10_000)] or [np.zeros(0, bool)])
+
+
+def _filter_pairs(limit: float):
+    """Of rows (a, b, sk, lsk) the pairs whose estimate allows limit."""
+    least = least_estimate(limit)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = _near(_unpack(batch.column(2).to_pylist()), _unpack(batch.column(3).to_pylist()), least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return work
+
+
+def _list_pairs(limit: float):
+    """Pairs (a, b) whose estimate allows limit, of rows (value, id, n, sk) sorted by value; a list has SHORT rows at most."""
+    least = least_estimate(limit)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def pairs(rows: list) -> pa.RecordBatch:
+            value = np.array([r[0] for r in rows], np.int64)
+            ids = np.array([r[1] for r in rows], np.int64)
+            n = np.array([r[2] for r in rows], np.int64)
+            sk = _unpack([r[3] for r in rows])
+            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            size = np.diff(np.append(start, len(value)))
+            left, right = [], []
+            for step in range(1, int(size.max(initial=1))):  # members `step` places apart in their list
+                at = np.arange(len(value) - step)
+                ok = value[at] == value[at + step]
+                left.append(at[ok])
+                right.append(at[ok] + step)
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            near = (np.minimum(n[i], n[j]) >= limit * np.maximum(n[i], n[j]) - 1e-9) & (ids[i] != ids[j])
+            i, j = i[near], j[near]
+            keep = np.concatenate([_near(sk[i[s : s + 10_000]], sk[j[s : s + 10_000]], least) for s in range(0, len(i), 10_000)] or [np.zeros(0, bool)])
+            a, b = np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
+            both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            if len(held) > 20_000:
+                last = held[-1][0]
+                cut = len(held)
+                while cut and held[cut - 1][0] == last:
+                    cut -= 1
+                if cut:
+                    yield pairs(held[:cut])
+                held = held[cut:]
+        if held:
+            yield pairs(held)
+
+    return work
 
 
 def _verify(limit: float):
@@ -159,53 +199,58 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: float) -> Dat
 
 
 def near_lists(reps: DataFrame, limit: float) -> DataFrame:
-    """value, id, n, sketch, central: the inverted lists of the rarest shared values of reps(id, n, sketch), one a distinct set."""
+    """value, id, n, sk, central: the inverted lists of the rarest shared values of reps(id, n, sketch, sk), one a distinct set."""
     values = reps.select("id", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
     # of the least values of a set, those that belong to it alone come first in order of frequency
-    kept = F.least(F.col("n"), F.lit(SKETCH))
-    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * limit))
+    kept = F.least(F.col("n"), F.lit(LISTED))
+    need = F.least(F.lit(shared_values(limit)), F.ceil(F.col("n") * limit))
     listed = reps.join(shared, "id").withColumn("most", (kept - need + 1 - (kept - F.size("vs"))).cast("int")).where("most > 0")
-    listed = listed.select("id", "n", "sketch", F.aggregate("vs", F.lit(0).cast("long"), lambda s, v: s + v["df"]).alias("central"), F.explode(F.slice("vs", 1, F.col("most"))).alias("v"))
-    return listed.select("v.value", "id", "n", "sketch", "central")
+    listed = listed.select("id", "n", "sk", F.aggregate("vs", F.lit(0).cast("long"), lambda s, v: s + v["df"]).alias("central"), F.explode(F.slice("vs", 1, F.col("most"))).alias("v"))
+    return listed.select("v.value", "id", "n", "sk", "central")
 
 
-def link_lists(listed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that connect all that verify connects of the pairs that share a list of listed(value, id, n, sketch, central)."""
+def link_lists(listed: DataFrame, limit: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect all that verify connects of the pairs that share a list of listed(value, id, n, sk, central)."""
     listed = table(listed, "near-lists")
     sizes = table(listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-list-sizes")
     sized = listed.join(sizes, "value")
-    as_bytes = F.aggregate("sketch", F.lit("").cast("string"), lambda s, v: F.concat(s, F.lpad(F.hex(v), 16, "0")))
-    short = sized.where(F.col("members") <= SHORT).select("value", "id", "n", F.unhex(as_bytes).alias("sk"))
-    found = short.repartition("value").sortWithinPartitions("value").mapInArrow(_list_pairs, "a long, b long").distinct()
+    short = sized.where(F.col("members") <= SHORT).select("value", "id", "n", "sk")
+    found = short.repartition("value").sortWithinPartitions("value").mapInArrow(_list_pairs(limit), "a long, b long").distinct()
     links = verify(found)
-    long = table(sized.where(F.col("members") > SHORT).select("value", "id", "n", "sketch", "central"), "near-long")
+    long = table(sized.where(F.col("members") > SHORT).select("value", "id", "n", "sk", "central"), "near-long")
     if not long.limit(1).count():
         return links
+    who = table(long.select("id", "n", "sk").dropDuplicates(["id"]), "near-long-members")
     led = None
     leaders = LEADERS
     while True:
-        groups = components(links)
-        placed = table(long.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
-        open_ = placed
+        placed, open_ = long.select("value", "id", "central", F.col("id").alias("component")), long.select("value", "id", "central")
         if led is not None:
+            groups = components(links)
+            links = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))  # connects the same
+            placed = table(long.select("value", "id", "central").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
             counts = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
             largest = counts.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-            open_ = open_.join(largest, "value").where(F.col("component") != F.col("largest")).join(led, ["value", "id"], "left_anti")
-        chosen = open_.groupBy("value", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(leaders)).alias("slot")).agg(F.max(F.struct("central", (-F.col("id")).alias("back"), "id", "n", "sketch", "component")).alias("l"))
-        chosen = table(chosen.select("value", F.col("l.id").alias("leader"), F.col("l.n").alias("ln"), F.col("l.sketch").alias("lsketch"), F.col("l.component").alias("lcomponent")), "near-leaders")
+            open_ = placed.join(largest, "value").where(F.col("component") != F.col("largest")).join(led, ["value", "id"], "left_anti")
+        best = F.max(F.struct("central", (-F.col("id")).alias("back"), "id")).alias("l")
+        chosen = open_.groupBy("value", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(leaders)).alias("slot")).agg(best)
+        chosen = table(chosen.select("value", F.col("l.id").alias("id")), "near-leaders")
         if not chosen.limit(1).count():
             return links
-        now = chosen.select("value", F.col("leader").alias("id"))
-        led = now if led is None else table(led.unionByName(now), "near-led")
-        pairs = placed.join(chosen, "value").where((F.col("component") != F.col("lcomponent")) & (F.least("n", "ln") >= 0.75 * F.greatest("n", "ln")))
-        mine, theirs = F.transform("sketch", _unsigned), F.transform("lsketch", _unsigned)
-        pairs = pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), mine.alias("x"), theirs.alias("y"))
-        union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
-        pairs = pairs.where(F.size(F.array_intersect(union, F.array_intersect("x", "y"))) >= FILTER * F.size(union))
+        led = chosen if led is None else table(led.unionByName(chosen), "near-led")
+        # a member meets each leader once, however many lists they share
+        heads = chosen.groupBy("value").agg(F.collect_set("id").alias("heads"))
+        met = placed.join(heads, "value").groupBy("id", "component").agg(F.array_distinct(F.flatten(F.collect_set("heads"))).alias("heads"))
+        pairs = met.select("id", "component", F.explode("heads").alias("leader")).where("id <> leader")
+        of = placed.select(F.col("id").alias("leader"), F.col("component").alias("of")).distinct()
+        pairs = pairs.join(of, "leader").where(F.col("component") != F.col("of"))  # those of one component are connected already
+        pairs = pairs.join(who, "id").join(who.select(F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("sk").alias("lsk")), "leader")
+        pairs = pairs.where(F.least("n", "ln") >= limit * F.greatest("n", "ln") - 1e-9).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), "sk", "lsk")
+        pairs = pairs.mapInArrow(_filter_pairs(limit), "a long, b long")
         links = table(links.unionByName(verify(pairs.select("a", "b").distinct())), "near-links")
-        leaders *= 2
+        leaders *= 4
 
 
 def compared(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
@@ -214,11 +259,6 @@ def compared(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     return table(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(limit), "a long, b long"), "near-links")
 
 
-def _unsigned(v):
-    """Orders longs as unsigned numbers are."""
-    return v.bitwiseXOR(F.lit(-(1 << 63)))
-
-
 def near_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = docs.select("doc_id", "text")
@@ -226,9 +266,9 @@ def near_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame
     able = each.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = able.groupBy("s0", "s1").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
     classes = table(classes, "near-classes")
-    whole = able.select(F.col("doc_id").alias("id"), "s0", "s1", "sketch").join(classes, ["s0", "s1", "id"]).dropDuplicates(["s0", "s1"])
-    reps = table(whole.select("id", "n", "sketch"), "near-reps")
-    links = link_lists(near_lists(reps, limit), lambda pairs: verified(pairs, rows, words, limit))
+    whole = able.select(F.col("doc_id").alias("id"), "s0", "s1", "sketch", "sk").join(classes, ["s0", "s1", "id"]).dropDuplicates(["s0", "s1"])
+    reps = table(whole.select("id", "n", "sketch", "sk"), "near-reps")
+    links = link_lists(near_lists(reps, limit), limit, lambda pairs: verified(pairs, rows, words, limit))
     copies = able.join(classes.where("rows > 1"), ["s0", "s1"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     groups = components(links.unionByName(copies))
     out = each.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")

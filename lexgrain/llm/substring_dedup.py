@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, partitions, table
 from .components import components
-from .near_dedup import SKETCH, compared, link_lists
+from .near_dedup import compared, link_lists, packed_sketch
 from .packed import ROWS, batch, by_bucket, deal, joined, pack, unpack
 from .packing import slices
 from .shingles import _ODD, mix, word_hashes
@@ -211,7 +211,7 @@ def _meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """id (identifier and line packed), n, sketch, set of the wanted paragraphs (id, lines)."""
+    """id (identifier and line packed), n, sk, set of the wanted paragraphs (id, lines)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,10 +225,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                         x, y = span.get((t, k), (0, 0))
                         if y - x >= LEAST:
                             v = np.unique(s[x : y - n + 1])
-                            out.append((d * LINES + k, len(v), v[:SKETCH].view(np.int64), v.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64())), pa.array([r[3] for r in out], pa.binary())], names=["id", "n", "sketch", "set"])
+                            out.append((d * LINES + k, len(v), packed_sketch(v), v.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())], names=["id", "n", "sk", "set"])
 
-    return docs.join(wanted, "id").select("id", "text", "lines").mapInArrow(work, "id long, n long, sketch array<long>, set binary")
+    return docs.join(wanted, "id").select("id", "text", "lines").mapInArrow(work, "id long, n long, sk binary, set binary")
 
 
 def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -297,8 +297,8 @@ def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> Data
     members = met.where("key is not null").select("id", "key", "unit")
     wanted = members.groupBy("id").agg(F.collect_set("unit").alias("lines"))
     sets = table(_sets(rows.select("id", "text"), wanted, words), "unit-sets").dropDuplicates(["id"])
-    listed = members.select("key", (F.col("id") * LINES + F.col("unit")).alias("id")).join(sets.select("id", "n", "sketch"), "id")
-    links = link_lists(listed.select(F.col("key").alias("value"), "id", "n", "sketch", F.lit(0).cast("long").alias("central")), lambda pairs: compared(table(pairs, "near-pairs"), sets, limit))
+    listed = members.select("key", (F.col("id") * LINES + F.col("unit")).alias("id")).join(sets.select("id", "n", "sk"), "id")
+    links = link_lists(listed.select(F.col("key").alias("value"), "id", "n", "sk", F.lit(0).cast("long").alias("central")), limit, lambda pairs: compared(table(pairs, "near-pairs"), sets, limit))
     later = components(links).where("id <> component")
     near = later.select(F.shiftright("id", 20).alias("doc"), F.pmod("id", F.lit(LINES)).cast("long").alias("unit"))
     packed = near.groupBy(F.col("doc").alias("id")).agg(F.collect_list("unit").alias("units")).mapInArrow(_pack_units, "id long, blob binary")
