@@ -244,9 +244,17 @@ def suffixes(docs: DataFrame, cuts: np.ndarray, heavy: set[bytes], buckets: int)
                 place = at - c.starts[text][run] + c.base
                 # of equal windows in this chunk all but the first are settled
                 h = whole[at]
-                order = np.lexsort((place, doc[run], h))
                 same = np.zeros(len(at), bool)
-                same[order[1:]] = (h[order[1:]] == h[order[:-1]]) & _same_ends(c.data, at[order[1:]], at[order[:-1]])
+                in_order = bool((np.diff(ids[c.rows]) > 0).all())
+                order = np.argsort(h) if in_order else np.lexsort((place, doc[run], h))
+                head = np.append(True, h[order[1:]] != h[order[:-1]])
+                heads = np.flatnonzero(head)
+                if len(heads) < len(order):
+                    group = np.cumsum(head) - 1
+                    # windows stand in (document, start) order if the documents do
+                    least = (np.minimum.reduceat(order, heads) if in_order else order[heads])[group]
+                    more = np.flatnonzero(order != least)
+                    same[order[more]] = _same_ends(c.data, at[order[more]], at[least[more]])
                 rows = []
                 s, e = _stretches(same, at, run)
                 rows += [(int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(buckets)), pack({"doc": np.array([d]), **cols})) for d, cols in _spans(doc[run[s]], place[s], place[e])]
@@ -285,33 +293,40 @@ def _same_ends(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (_word(data, x) == _word(data, y)) & (_word(data, x + WINDOW - 8) == _word(data, y + WINDOW - 8))
 
 
-def multikey_sort(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (indices of at) that have an equal one, sorted, and the group of each: eight bytes a key, ties go to the next."""
-    who, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    for off in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
+def multikey_sort(data: np.ndarray, at: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (indices of at) that have an equal one, and the group of each, ascending; lead is a key that equal windows share.
+
+    Multikey quicksort by lead, then by eight bytes at a time: ties go on to the next key, and only groups that a key divides are sorted by it."""
+    words = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(">u8").ravel().astype(np.uint64) if len(data) >= 8 else np.zeros(0, np.uint64)
+    who = np.argsort(lead)
+    new = np.ones(len(who), bool)
+    new[1:] = lead[who[1:]] != lead[who[:-1]]
+    for off in [None, WINDOW - 8, *range(0, WINDOW - 8, 8)]:
+        if off is not None:
+            key = words[at[who] + off]
+            group = np.cumsum(new) - 1
+            odd = key != key[np.flatnonzero(new)][group]
+            if not odd.any():
+                continue
+            flag = np.zeros(group[-1] + 1, bool)
+            flag[group[odd]] = True
+            part = np.flatnonzero(flag[group])
+            order = part[np.lexsort((key[part], group[part]))]
+            who[part], key[part] = who[order], key[order]  # groups keep their places
+            new[1:] |= key[1:] != key[:-1]
+        alone = new & np.append(new[1:], True)
+        who, new = who[~alone], new[~alone]
         if not len(who):
             break
-        key = _word(data, at[who] + off)
-        order = np.lexsort((key, group))
-        who, group, key = who[order], group[order], key[order]
-        new = np.ones(len(who), bool)
-        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        group = np.cumsum(new) - 1
-        alone = new & np.append(new[1:], True)
-        who, group = who[~alone], group[~alone]
-    return who, group
+    return who, np.cumsum(new) - 1
 
 
-def _later(group: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Rows of each group after its first in (doc, place) order; a repeated place isn't later than itself."""
-    order = np.lexsort((place, doc, group))
-    g, d, p = group[order], doc[order], place[order]
-    head = np.ones(len(order), bool)
-    head[1:] = g[1:] != g[:-1]
-    first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    out = np.zeros(len(order), bool)
-    out[order] = (d != d[first]) | (p != p[first])
-    return out
+def _later(group: np.ndarray, index: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows of each group (ascending) after the one with the least index; a repeated place isn't later than itself."""
+    if not len(group):
+        return np.zeros(0, bool)
+    first = np.minimum.reduceat(index, np.flatnonzero(np.append(True, group[1:] != group[:-1])))[group]
+    return (doc[index] != doc[first]) | (place[index] != place[first])
 
 
 def _sort_bucket(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -331,18 +346,19 @@ def _sort_bucket(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBa
 
     if hot:
         x = joined(hot)
+        x = {k: v[np.lexsort((x["at"], x["doc"]))] for k, v in x.items()}
         order = np.lexsort((x["h2"], x["h"]))
         h, h2 = x["h"][order], x["h2"][order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-        later = _later(np.cumsum(new), x["doc"][order], x["at"][order])
-        remove(x["doc"][order][later], x["at"][order][later])
+        later = order[_later(np.cumsum(new) - 1, order, x["doc"], x["at"])]
+        remove(x["doc"][later], x["at"][later])
     if sent:
         x = joined(sent)
         size = x["n"].astype(np.int64) + WINDOW - 1
         begin = np.cumsum(size) - size
         leads = _grams_at(x["bytes"], begin + x["anchor"])
-        order = np.argsort(leads, kind="stable")
+        order = np.lexsort((x["start"], x["doc"], leads))
         leads = leads[order]
         new = np.ones(len(order), bool)
         new[1:] = leads[1:] != leads[:-1]
@@ -354,10 +370,13 @@ def _sort_bucket(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBa
         while at < len(cut) - 1:  # whole groups of equal grams, about SORTED windows
             to = max(at + 1, int(np.searchsorted(windows[cut], windows[cut[at]] + SORTED, "right")) - 1)
             some = order[cut[at] : cut[to]]
-            n = x["n"][some].astype(np.int64)
+            n, long = x["n"][some].astype(np.int64), size[some]
             place, doc = _expand(x["start"][some], n), np.repeat(x["doc"][some], n)
-            who, group = multikey_sort(x["bytes"], _expand(begin[some], n))
-            later = who[_later(group, doc[who], place[who])]
+            gram = np.repeat(np.cumsum(new[cut[at] : cut[to]]), n)
+            offset = np.repeat(x["anchor"][some].astype(np.int64), n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            # windows come in (gram, doc, start) order; equal ones have their gram at one offset
+            who, group = multikey_sort(x["bytes"][_expand(begin[some], long)], _expand(np.cumsum(long) - long, n), gram * WINDOW + offset)
+            later = who[_later(group, who, doc, place)]
             remove(doc[later], place[later])
             at = to
     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["id", "blob"])
