@@ -198,18 +198,18 @@ def splitters(docs: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, se
     """Leading grams that part the buckets, and heavy grams, of at most about SAMPLE * buckets sampled grams."""
     want = SAMPLE * buckets
     share = min(1.0, want * (WINDOW - GRAM + 2) / 2 / max(total, 1))
+    rate = share * 4 if share < 0.25 else share
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b.column(1)):
                 anchor = c.runs(c.hashes()[0])[0]
                 # a gram's place in the sample rests on where it lies, so that frequent grams are drawn often
-                drawn = mix(anchor.astype(np.uint64) + np.uint64(len(c.data)) * np.uint64(7919)) < np.uint64(min(1.0, share * 4) * ((1 << 64) - 1))
+                drawn = mix(anchor.astype(np.uint64) + np.uint64(len(c.data)) * np.uint64(7919)) >> np.uint64(32) < np.uint64(rate * (1 << 32))
                 yield pa.RecordBatch.from_arrays([pa.array(_grams_at(c.data, anchor[drawn]).tolist(), pa.binary())], names=["g"])
 
+    # of a small share, a quarter of the documents is read, and more of each
     part = docs.where(F.pmod(F.xxhash64(F.lit("grams"), "doc_id"), F.lit(4)) == 0) if share < 0.25 else docs
-    if share >= 0.25:
-        share = 0.25
     got = np.array(sorted(r["g"] for r in part.mapInArrow(take, "g binary").collect()), f"S{GRAM}")
     if not len(got):
         return got, set()
