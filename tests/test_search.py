@@ -34,7 +34,7 @@ def found(spark, files, pattern, **options):
     return sorted((m["path"], m["line_number"], m["col"], m["byte_offset"], m["line_content"]) for m in r.found.collect())
 
 
-BASIC = {"test1.txt": "hello world\nthis is a test\nix search tool", "test2.txt": "another file\nwith different content\nhello again", "binary.dat": b"some data\0with null byte"}
+BASIC = {"test1.txt": "hello world\nthis is a test\na search tool", "test2.txt": "another file\nwith different content\nhello again", "binary.dat": b"some data\0with null byte"}
 
 
 def test_basic(spark):
