@@ -55,8 +55,8 @@ _PLACE = np.uint64((1 << 28) - 1)
 
 
 def _double(h: np.ndarray, n: int, m: int, tail: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of n + m bytes from those of n and of m."""
-    return h[: len(tail) - n] * np.uint64(pow(base, m, 1 << 64)) + tail[n:]
+    """Hashes of n + m bytes from those of n and of m; none if there are fewer bytes."""
+    return h[: max(len(tail) - n, 0)] * np.uint64(pow(base, m, 1 << 64)) + tail[n:]
 
 
 @dataclass

@@ -318,6 +318,19 @@ def test_suffix_dedup_long_pieces(spark, monkeypatch):
     assert parts == {(a, p) for a, f, t in one for p in range(f, t + 1)}
 
 
+def test_suffix_dedup_short_chunks(spark):
+    for n in range(141):
+        c = suffix_dedup.Chunk(np.arange(n, dtype=np.uint8), np.array([0]), np.array([n]), np.array([0]))
+        for which in (0, 1):
+            grams, whole = c.hashes(which)
+            assert (len(grams), len(whole)) == (max(n - suffix_dedup.GRAM + 1, 0), max(n - suffix_dedup.WINDOW + 1, 0))
+        _, first, last, _ = c.runs(c.hashes()[0])
+        assert int((last - first + 1).sum()) == len(whole)
+    for n in (6, 50):
+        got = suffix_dedup.suffix_dedup(spark.createDataFrame([(1, "x" * n)], "doc_id long, text string")).collect()
+        assert [(r["n_bytes"], r["n_removed"]) for r in got] == [(n, 0)]
+
+
 def test_substring_dedup(docs, rows, spark):
     got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs).collect()}
     assert len(got) == len(rows)
