@@ -6,6 +6,12 @@ passage that other paragraphs take in is cut alike in all of them.  Units of few
 LEAST words are left alone.  Equal units, by digest of their words, are one class; of
 classes, all but the first unit in (doc_id, place) order are removed.
 
+With `passage`, repeated passages go whole, wherever they begin and end: what a window of
+that many words covers that also starts earlier is removed, across lines too.  A window's
+anchor is the leftmost of its GRAM-word grams with the least hash, so equal windows have
+their anchors at the same place; anchors whose gram occurs once can't have equal windows,
+and only windows at the others are compared, by digest.
+
 Paragraphs also get BANDS bands of ROWS_A_BAND minima: two of Jaccard similarity 0.8
 share a band with a probability of 0.9992.  Classes that share a band are joined (short
 lists in memory, long ones leader by leader, as near_dedup does), verified by exact
@@ -43,10 +49,13 @@ from .packing import slices
 from .shingles import _ODD, mix, word_hashes
 
 CUT, LEAST, BANDS, ROWS_A_BAND = 5, 8, 10, 3
+#: Words of the grams that anchor a passage's windows.
+GRAM = 8
 #: Text worked on at once, and text behind one bucket.
 AT_ONCE, BUCKET_BYTES = 3 << 20, 8 << 20
 LINES = 1 << 20
 NULL_ID = -(1 << 41)
+_PLACE = np.uint64((1 << 32) - 1)
 _FACTOR = [mix(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(BANDS * ROWS_A_BAND)]
 
 
@@ -90,17 +99,17 @@ def units(texts: pa.Array) -> Units:
     return every
 
 
-def _digests(u: Units) -> np.ndarray:
-    """Of each unit's words in order, from differences of one running polynomial."""
-    n = len(u.words)
+def _digests(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the words from each a to b in order, from differences of one running polynomial."""
+    n = len(words)
     base = 0x9E3779B97F4A7C15
     inverse = np.uint64(pow(base, -1, 1 << 64))
     power = np.cumprod(np.full(n + 1, np.uint64(base), np.uint64)) if n else np.ones(1, np.uint64)
     back = np.cumprod(np.full(n + 1, inverse, np.uint64)) if n else np.ones(1, np.uint64)
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(u.words) * power[:n], out=run[1:])
-    long = (u.b - u.a).astype(np.uint64)
-    return mix((run[u.b] - run[u.a]) * back[u.a] + long * _ODD[3])
+    np.cumsum(mix(words) * power[:n], out=run[1:])
+    long = (b - a).astype(np.uint64)
+    return mix((run[b] - run[a]) * back[a] + long * _ODD[3])
 
 
 def _shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -110,6 +119,23 @@ def _shingles(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def _windows(words: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, gram's place and text of each window of size words within a text; and the grams."""
+    grams, n = _shingles(words, GRAM), len(words) - size + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 3 + (grams,)
+    key = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    span, k = size - GRAM + 1, 1
+    while k * 2 <= span:
+        key = np.minimum(key[: len(key) - k], key[k:])
+        k *= 2
+    if span > k:
+        key = np.minimum(key[: len(key) - (span - k)], key[span - k :])
+    owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    at = np.flatnonzero(owner[:n] == owner[size - 1 :])
+    return at, (key[at] & _PLACE).astype(np.int64), owner[at], grams
+
+
 def _bands(u: Units, which: np.ndarray, n: int) -> np.ndarray:
     """Band keys (units x BANDS) of the given units of n words or more."""
     a, size = u.a[which], u.b[which] - u.a[which] - n + 1
@@ -136,7 +162,18 @@ def _doc_bucket(d: int, buckets: int) -> int:
     return int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(buckets))
 
 
-def _send(docs: DataFrame, buckets: int, n: int) -> DataFrame:
+def _gram_rows(u: Units, ids: np.ndarray, size: int, buckets: int) -> list[tuple[int, bytes]]:
+    """Anchors' grams of a slice by bucket, each once, and to its documents those that repeat in it."""
+    _, anchor, text, grams = _windows(u.words, u.start, size)
+    anchor, one = np.unique(anchor, return_index=True)
+    g, doc = grams[anchor], ids[text[one]]
+    kind, first, inv, n = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
+    here = n[inv] > 1
+    rows = [(_doc_bucket(d, buckets), pack({"again": np.array([d]), "gram": c["gram"]})) for d, c in deal(doc[here], {"gram": g[here]})]
+    return rows + [(k, pack(c)) for k, c in deal((kind % np.uint64(buckets)).astype(np.int64), {"gram": kind, "doc": doc[first], "many": n > 1})]
+
+
+def _send(docs: DataFrame, buckets: int, n: int, passage: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, AT_ONCE):
@@ -145,7 +182,7 @@ def _send(docs: DataFrame, buckets: int, n: int) -> DataFrame:
                 if len(ids) and (abs(ids) > 1 << 42).any() or (u.number >= LINES).any():
                     raise ValueError("identifiers of under 2^42 in size and texts of under 2^20 lines are needed")
                 able = np.flatnonzero(u.b - u.a >= LEAST)
-                h = _digests(u)[able]
+                h = _digests(u.words, u.a[able], u.b[able])
                 doc, unit = ids[u.text[able]], u.number[able].astype(np.int64)
                 # of equal units in this slice only the first is sent
                 order = np.lexsort((unit, doc, h))
@@ -153,6 +190,8 @@ def _send(docs: DataFrame, buckets: int, n: int) -> DataFrame:
                 head[1:] = h[order][1:] != h[order][:-1]
                 later = order[~head]
                 rows = [(_doc_bucket(d, buckets), pack({"known": np.array([d]), "unit": c["unit"]})) for d, c in deal(doc[later], {"unit": unit[later]})]
+                if passage:
+                    rows += _gram_rows(u, ids, passage, buckets)
                 one = order[head]
                 rows += [(k, pack({"h": c["h"], "doc": c["doc"], "unit": c["unit"]})) for k, c in deal((h[one] % np.uint64(buckets)).astype(np.int64), {"h": h[one], "doc": doc[one], "unit": unit[one]})]
                 para = one[unit[one] >= 0]
@@ -170,12 +209,16 @@ MET = "id long, key long, unit long, blob binary"
 
 
 def _meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Units to remove by document (blob), and members (key, id, unit) of bands that more than one class shares."""
+    """Units to remove by document (blob), members (key, id, unit) of bands that more than one class shares, and by document its repeated grams (unit 0, blob)."""
     gone: list[tuple[int, bytes]] = []
-    exact, bands = [], []
+    exact, bands, again, asked = [], [], [], []
     for p in parts:
         if "known" in p:
             gone.append((int(p["known"][0]), pack({"unit": p["unit"]})))
+        elif "again" in p:
+            again.append((int(p["again"][0]), p["gram"].tobytes()))
+        elif "gram" in p:
+            asked.append(p)
         else:
             (bands if "key" in p else exact).append(p)
     if exact:
@@ -187,6 +230,15 @@ def _meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
         later = (d != d[first]) | (k != k[first])
         gone += _removals(d[later], k[later])
+    if asked:
+        x = joined(asked)
+        order = np.argsort(x["gram"], kind="stable")
+        g = x["gram"][order]
+        twice = np.zeros(len(g), bool)
+        twice[1:] |= g[1:] == g[:-1]
+        twice[:-1] |= g[1:] == g[:-1]
+        keep = order[twice & ~x["many"][order]]
+        again += [(d, c["gram"].tobytes()) for d, c in deal(x["doc"][keep], {"gram": x["gram"][keep]})]
     key = doc = unit = np.zeros(0, np.int64)
     if bands:
         x = joined(bands)
@@ -208,6 +260,61 @@ def _meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         [pa.concat_arrays([pa.array([d for d, _ in gone], pa.int64()), pa.array(doc, pa.int64())]), pa.concat_arrays([nulls(n, pa.int64()), pa.array(key)]), pa.concat_arrays([nulls(n, pa.int64()), pa.array(unit, pa.int64())]), pa.concat_arrays([pa.array([b for _, b in gone], pa.binary()), nulls(len(doc), pa.binary())])],
         names=["id", "key", "unit", "blob"],
     )
+    if again:
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in again], pa.int64()), nulls(len(again), pa.int64()), pa.array(np.zeros(len(again), np.int64)), pa.array([b for _, b in again], pa.binary())], names=["id", "key", "unit", "blob"])
+
+
+def _stretches(doc: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """By document the stretches of words, from a to b, of windows that begin at `at`."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order].astype(np.int64)
+    new = np.flatnonzero((np.diff(doc, prepend=doc[:1]) != 0) | (np.diff(at, prepend=at[:1] - 2) > 1))
+    return deal(doc[new], {"a": at[new], "b": at[np.append(new[1:], len(at))[: len(new)] - 1] + size})
+
+
+def _repeats(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first window of each digest, and of its later ones."""
+    order = np.lexsort((at, doc, h))
+    head = np.append(True, h[order[1:]] != h[order[:-1]])[: len(order)]
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    return order[head], order[(doc[order] != doc[first]) | (at[order] != at[first])]
+
+
+def _passages(docs: DataFrame, grams: DataFrame, buckets: int, size: int) -> DataFrame:
+    """id, blob (stretches a, b of words) of what windows of size words cover that also start earlier; grams(id, blob) are those that repeat."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, AT_ONCE):
+                ids, blobs = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
+                words, start = word_hashes(part.column(1))
+                at, anchor, text, g = _windows(words, start, size)
+                keep, cut = np.zeros(len(at), bool), np.searchsorted(text, np.arange(len(ids) + 1))
+                for t, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    if y > x:
+                        keep[x:y] = np.isin(g[anchor[x:y]], np.frombuffer(b"".join(blobs[t]), np.uint64))
+                at, text = at[keep], text[keep]
+                h, doc, place = _digests(words, at, at + size), ids[text], at - start[text]
+                one, later = _repeats(h, doc, place)
+                rows = [(_doc_bucket(d, buckets), pack({"known": np.array([d]), **c})) for d, c in _stretches(doc[later], place[later], size)]
+                rows += [(k, pack(c)) for k, c in deal((h[one] % np.uint64(buckets)).astype(np.int64), {"h": h[one], "doc": doc[one], "at": place[one].astype(np.int32)})]
+                yield batch(rows)
+
+    def meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        out, sent = [], []
+        for p in parts:
+            if "known" in p:
+                out.append((int(p["known"][0]), pack({"a": p["a"], "b": p["b"]})))
+            else:
+                sent.append(p)
+        if sent:
+            x = joined(sent)
+            _, later = _repeats(x["h"], x["doc"], x["at"])
+            out += [(d, pack(c)) for d, c in _stretches(x["doc"][later], x["at"][later], size)]
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["id", "blob"])
+
+    able = docs.join(grams.groupBy("id").agg(F.collect_list("blob").alias("blobs")), "id").select("id", "text", "blobs", "doc_id")
+    return by_bucket(able.mapInArrow(send, ROWS), buckets, meet, "id long, blob binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -246,8 +353,12 @@ def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
                     text, dropped, spans, chars = texts[t] or "", 0, 0, 0
                     if blobs:
                         mark = np.zeros(int(total[t]) + 1, np.int32)
-                        s, pieces = int(u.start[t]), None
-                        for k in np.unique(np.concatenate([unpack(x)["unit"] for x in blobs])).tolist():
+                        s, pieces, held = int(u.start[t]), None, [unpack(x) for x in blobs]
+                        for x in held:
+                            if "a" in x:
+                                np.add.at(mark, np.minimum(x["a"], total[t]), 1)
+                                np.add.at(mark, np.minimum(x["b"], total[t]), -1)
+                        for k in np.unique(np.concatenate([np.zeros(0, np.int64), *[x["unit"] for x in held if "unit" in x]])).tolist():
                             if k >= 0:
                                 i = int(by_line[t]) + k
                             else:
@@ -286,14 +397,18 @@ def _pieces(u: Units, t: int, cut: int) -> Iterator[tuple[int, int]]:
         yield j, int(u.number[j])
 
 
-def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame:
-    """doc_id, n_paragraphs, n_words, n_removed_words, n_spans, n_removed_chars, text (what is left) of every row."""
+def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage: int = 0) -> DataFrame:
+    """doc_id, n_paragraphs, n_words, n_removed_words, n_spans, n_removed_chars, text (what is left) of every row.
+
+    passage: repeated passages of so many words or more go whole; 0 leaves it at units."""
+    if passage and passage < GRAM:
+        raise ValueError(f"passages have {GRAM} words or more")
     if not 1 <= words <= LEAST:
         raise ValueError(f"shingles have 1 to {LEAST} words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID).cast("long")))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
-    met = table(by_bucket(_send(rows.select("id", "text"), buckets, words), buckets, _meet, MET), "units")
+    met = table(by_bucket(_send(rows.select("id", "text"), buckets, words, passage), buckets, _meet, MET), "units")
     members = met.where("key is not null").select("id", "key", "unit")
     wanted = members.groupBy("id").agg(F.collect_set("unit").alias("lines"))
     sets = table(_sets(rows.select("id", "text"), wanted, words), "unit-sets").dropDuplicates(["id"])
@@ -302,7 +417,9 @@ def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> Data
     later = components(links).where("id <> component")
     near = later.select(F.shiftright("id", 20).alias("doc"), F.pmod("id", F.lit(LINES)).cast("long").alias("unit"))
     packed = near.groupBy(F.col("doc").alias("id")).agg(F.collect_list("unit").alias("units")).mapInArrow(_pack_units, "id long, blob binary")
-    gone = met.where("key is null").select("id", "blob").unionByName(packed)
+    gone = met.where("key is null and unit is null").select("id", "blob").unionByName(packed)
+    if passage:
+        gone = gone.unionByName(_passages(rows.select("id", "text", "doc_id"), met.where("key is null and unit = 0").select("id", "blob"), buckets, passage))
     return _cut(rows.select("id", "text", "doc_id"), gone)
 
 

@@ -357,6 +357,32 @@ def test_substring_dedup(docs, rows, spark):
         assert left == [w for k, w in enumerate(words[i]) if k not in spans[d]]
 
 
+def test_substring_dedup_whole_passages(spark, tmp_path):
+    r = random.Random(5)
+    fresh = (f"w{i}" for i in range(1 << 30))
+    new = lambda k: [next(fresh) for _ in range(k)]
+    shared = [new(k) for k in (50, 51, 64, 90, 200)]
+    texts = {None: new(30) + shared[0] + new(4), -3: [], 5: new(120)}
+    for d in range(10, 50):
+        w = new(r.randint(60, 90))  # so much besides the passages that no two lines are near copies
+        for _ in range(r.randint(1, 3)):
+            w += r.choice(shared) + new(r.randint(60, 90))
+        texts[d] = w
+    ends = {r.choice(p) for p in shared}  # a passage has a line's end in some documents
+    sep = lambda d, x: "\n" if d % 3 == 0 and x in ends else r.choice([" ", "  "])
+    df = spark.createDataFrame([(d, "".join((x.upper() if d == 12 else x) + sep(d or 0, x) for x in w)) for d, w in texts.items()], "doc_id long, text string")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    seen = set()
+    for d in sorted(texts, key=lambda d: (d is not None, d)):
+        w, gone = texts[d], set()
+        for i in range(len(w) - 49):
+            if tuple(w[i : i + 50]) in seen:
+                gone |= set(range(i, i + 50))
+            seen.add(tuple(w[i : i + 50]))
+        assert got[d]["text"].lower().split() == [x for i, x in enumerate(w) if i not in gone] and got[d]["n_removed_words"] == len(gone)
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(1, 0, "user", "hi \\ <|im_start|> <s> <<SYS>>"), (1, 1, "assistant", said), (1, 2, "user", None), (1, 3, "assistant", "a\\|b\n<|im_end|>\n<\\|im_end|>"), (2, 0, "sys\ntem\\", ""), (3, 1, "assistant", "x"), (3, 1, "assistant", "x"), (None, 0, "user", "lone"), (4, None, None, "no role")]
