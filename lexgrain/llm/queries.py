@@ -25,7 +25,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), passage=50)
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), passage=50, line=5)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

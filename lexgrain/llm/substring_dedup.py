@@ -3,7 +3,7 @@
 Units of text: the lines of a document (its paragraphs), and pieces cut at places that
 the words around decide (a two-word hash least within CUT words on either side), so a
 passage that other paragraphs take in is cut alike in all of them.  Units of fewer than
-LEAST words are left alone.  Equal units, by digest of their words, are one class; of
+LEAST words (lines of fewer than `line`) are left alone.  Equal units, by digest of their words, are one class; of
 classes, all but the first unit in (doc_id, place) order are removed.
 
 With `passage`, repeated passages go whole, wherever they begin and end: what a window of
@@ -16,7 +16,10 @@ Paragraphs also get BANDS bands of ROWS_A_BAND minima: two of Jaccard similarity
 share a band with a probability of 0.9992.  Classes that share a band are joined (short
 lists in memory, long ones leader by leader, as near_dedup does), verified by exact
 Jaccard over full sets of word shingles, and clustered by connected components, of which
-the first paragraph stays.
+the first paragraph stays.  Lines of fewer than LEAST words get no bands: with five-word
+shingles they have three at most, so only an equal set reaches 0.8.  Pieces get none
+either: an edited passage inside longer paragraphs loses only the pieces, and stretches of
+`passage` words, that no edit touches.
 
 Words are compared with A-Z lower-cased; a removed stretch goes from its first word to
 its last, with the spaces that follow.
@@ -173,7 +176,7 @@ def _gram_rows(u: Units, ids: np.ndarray, size: int, buckets: int) -> list[tuple
     return rows + [(k, pack(c)) for k, c in deal((kind % np.uint64(buckets)).astype(np.int64), {"gram": kind, "doc": doc[first], "many": n > 1})]
 
 
-def _send(docs: DataFrame, buckets: int, n: int, passage: int) -> DataFrame:
+def _send(docs: DataFrame, buckets: int, n: int, passage: int, line: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, AT_ONCE):
@@ -181,7 +184,7 @@ def _send(docs: DataFrame, buckets: int, n: int, passage: int) -> DataFrame:
                 u = units(part.column(1))
                 if len(ids) and (abs(ids) > 1 << 42).any() or (u.number >= LINES).any():
                     raise ValueError("identifiers of under 2^42 in size and texts of under 2^20 lines are needed")
-                able = np.flatnonzero(u.b - u.a >= LEAST)
+                able = np.flatnonzero(u.b - u.a >= np.where(u.number >= 0, line, LEAST))
                 h = _digests(u.words, u.a[able], u.b[able])
                 doc, unit = ids[u.text[able]], u.number[able].astype(np.int64)
                 # of equal units in this slice only the first is sent
@@ -194,7 +197,7 @@ def _send(docs: DataFrame, buckets: int, n: int, passage: int) -> DataFrame:
                     rows += _gram_rows(u, ids, passage, buckets)
                 one = order[head]
                 rows += [(k, pack({"h": c["h"], "doc": c["doc"], "unit": c["unit"]})) for k, c in deal((h[one] % np.uint64(buckets)).astype(np.int64), {"h": h[one], "doc": doc[one], "unit": unit[one]})]
-                para = one[unit[one] >= 0]
+                para = one[(unit[one] >= 0) & ((u.b - u.a)[able[one]] >= LEAST)]
                 keys = _bands(u, able[para], n)
                 flat = keys.ravel()
                 cols = {"key": flat, "low": np.repeat((h[para] >> np.uint64(32)).astype(np.uint32), BANDS), "doc": np.repeat(doc[para], BANDS), "unit": np.repeat(unit[para], BANDS)}
@@ -397,10 +400,13 @@ def _pieces(u: Units, t: int, cut: int) -> Iterator[tuple[int, int]]:
         yield j, int(u.number[j])
 
 
-def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage: int = 0) -> DataFrame:
+def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage: int = 0, line: int = LEAST) -> DataFrame:
     """doc_id, n_paragraphs, n_words, n_removed_words, n_spans, n_removed_chars, text (what is left) of every row.
 
-    passage: repeated passages of so many words or more go whole; 0 leaves it at units."""
+    passage: repeated passages of so many words or more go whole; 0 leaves it at units.
+    line: equal lines of so many words or more are repeats."""
+    if not 1 <= line <= LEAST:
+        raise ValueError(f"lines have 1 to {LEAST} words at least")
     if passage and passage < GRAM:
         raise ValueError(f"passages have {GRAM} words or more")
     if not 1 <= words <= LEAST:
@@ -408,7 +414,7 @@ def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID).cast("long")))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
-    met = table(by_bucket(_send(rows.select("id", "text"), buckets, words, passage), buckets, _meet, MET), "units")
+    met = table(by_bucket(_send(rows.select("id", "text"), buckets, words, passage, line), buckets, _meet, MET), "units")
     members = met.where("key is not null").select("id", "key", "unit")
     wanted = members.groupBy("id").agg(F.collect_set("unit").alias("lines"))
     sets = table(_sets(rows.select("id", "text"), wanted, words), "unit-sets").dropDuplicates(["id"])

@@ -383,6 +383,16 @@ def test_substring_dedup_whole_passages(spark, tmp_path):
         assert got[d]["text"].lower().split() == [x for i, x in enumerate(w) if i not in gone] and got[d]["n_removed_words"] == len(gone)
 
 
+def test_substring_dedup_short_lines(spark, tmp_path):
+    lines = {k: " ".join(f"s{k}x{i}" for i in range(k)) for k in range(1, 9)}
+    rows = [(d, "\n".join([f"{d}a {d}b {d}c", *lines.values(), f"{d}d {d}e"])) for d in (4, 2, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x["text"].split() for x in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    for d, t in rows:
+        gone = {w for k in range(5, 9) for w in lines[k].split()} if d != 2 else set()
+        assert got[d] == [w for w in t.split() if w not in gone]
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(1, 0, "user", "hi \\ <|im_start|> <s> <<SYS>>"), (1, 1, "assistant", said), (1, 2, "user", None), (1, 3, "assistant", "a\\|b\n<|im_end|>\n<\\|im_end|>"), (2, 0, "sys\ntem\\", ""), (3, 1, "assistant", "x"), (3, 1, "assistant", "x"), (None, 0, "user", "lone"), (4, None, None, "no role")]
