@@ -2,23 +2,22 @@
 
 A text's set of shingles is hashed once; its SKETCH smallest values are its sketch, of
 which the LISTED smallest go into inverted lists.
-Texts with equal sets are one class from the start.  Inverted lists of retained values
-join the classes that share one: two sketches with `shared_values`
+Texts with equal sets (by 128-bit digest) are one class from the start.  Inverted lists of
+retained values join the classes that share one: two sketches with `shared_values`
 in common meet within the LISTED - shared_values + 1 rarest values of either, so only those are listed,
 rarest by exact document frequency.  Two sets of similarity 0.8 share about 26 of 32
 listed values, and fewer than 13 with a probability of about 1e-7.
 
 Lists of up to SHORT members compare all members in memory and pass on only pairs whose
-union-sketch estimate reaches the limit less four standard errors.  A longer list never meets in one task: in each
-round a few leaders (those with most shared values first) are compared with all members,
-and rounds go on until all members outside the list's largest component have led, so no
-link is lost.  Exact Jaccard over full sets verifies every pair.  Components name the
-groups.
+union-sketch estimate reaches the limit less five standard errors.  A longer list never
+meets in one task and never makes all its pairs: `deltas` looks at its members' differences
+from a pivot, which finds its links without loss.  Exact Jaccard over full sets verifies
+every pair.  Components name the groups.
 
 Results for odd input: a null, empty or wordless text has an empty set and is linked
-with nothing; an empty table gives an empty result; rows that share an identifier count
-as linked; a null identifier is linked with nothing and kept; very long texts are read
-whole; extra columns are ignored.
+with nothing; an empty table gives an empty result; rows that share an identifier are one
+document, so all that any of them is linked with is linked; a null identifier is linked
+with nothing and kept; very long texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,17 +29,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
 from .components import components
+from .deltas import long_list_pairs
 from .packing import slices
 from .shingles import shingle_sets
 
 SKETCH, LISTED, SHORT = 96, 32, 48
-#: Leaders of a long list in the first round; each later round has four times as many.
-LEADERS = 4
 
 
 def shared_values(limit: float) -> int:
@@ -49,8 +46,8 @@ def shared_values(limit: float) -> int:
 
 
 def least_estimate(limit: float) -> float:
-    """The limit less four standard errors of a sketch's estimate."""
-    return limit - 4.1 * math.sqrt(limit * (1 - limit) / SKETCH)
+    """The limit less five standard errors of a sketch's estimate."""
+    return limit - 5.0 * math.sqrt(limit * (1 - limit) / SKETCH)
 
 
 def packed_sketch(values: np.ndarray) -> bytes:
@@ -78,15 +75,19 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, s0 long, s1 long, sketch array<long>, sk binary")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, set (bytes of the sorted 64-bit hashes) of the documents whose identifiers are in ids(id)."""
+def sets_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """id, set (bytes of the sorted 64-bit hashes) of classes(id, doc_id, s0, s1): of the rows with a class's identifier the one with its digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4_000_000):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], names=["id", "set"])
+                sets = [s.tobytes() for s in shingle_sets(part.column(1), words)]
+                own = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), np.int64).reshape(-1, 2)
+                ok = (own[:, 0] == part.column(3).to_numpy()) & (own[:, 1] == part.column(4).to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array(sets, pa.binary())], names=["id", "set"]).filter(pa.array(ok))
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(work, "id long, set binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes, "doc_id")
+    return rows.select("doc_id", "text", "id", "s0", "s1").mapInArrow(work, "id long, set binary").dropDuplicates(["id"])
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,15 +192,8 @@ def _verify(limit: float):
     return work
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: float) -> DataFrame:
-    """Those of pairs(a, b) of documents whose full sets reach limit."""
-    pairs = table(pairs, "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return compared(pairs, table(sets_of(docs, ids, words).dropDuplicates(["id"]), "near-sets"), limit)
-
-
 def near_lists(reps: DataFrame, limit: float) -> DataFrame:
-    """value, id, n, sk, central: the inverted lists of the rarest shared values of reps(id, n, sketch, sk), one a distinct set."""
+    """value, id, n, sk, rank (all documents that share a value with it): the inverted lists of the rarest shared values of reps(id, n, sketch, sk), one a distinct set."""
     values = reps.select("id", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
@@ -207,50 +201,30 @@ def near_lists(reps: DataFrame, limit: float) -> DataFrame:
     kept = F.least(F.col("n"), F.lit(LISTED))
     need = F.least(F.lit(shared_values(limit)), F.ceil(F.col("n") * limit))
     listed = reps.join(shared, "id").withColumn("most", (kept - need + 1 - (kept - F.size("vs"))).cast("int")).where("most > 0")
-    listed = listed.select("id", "n", "sk", F.aggregate("vs", F.lit(0).cast("long"), lambda s, v: s + v["df"]).alias("central"), F.explode(F.slice("vs", 1, F.col("most"))).alias("v"))
-    return listed.select("v.value", "id", "n", "sk", "central")
+    listed = listed.select("id", "n", "sk", F.aggregate("vs", F.lit(0).cast("long"), lambda s, v: s + v["df"]).alias("rank"), F.explode(F.slice("vs", 1, F.col("most"))).alias("v"))
+    return listed.select("v.value", "id", "n", "sk", "rank")
+
 
+def link_lists(listed: DataFrame, limit: float, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect all pairs of limit or more that share a list of listed(value, id, n, sk, rank).
 
-def link_lists(listed: DataFrame, limit: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that connect all that verify connects of the pairs that share a list of listed(value, id, n, sk, central)."""
+    sets_of gives id, set of a distinct id column."""
     listed = table(listed, "near-lists")
     sizes = table(listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-list-sizes")
     sized = listed.join(sizes, "value")
     short = sized.where(F.col("members") <= SHORT).select("value", "id", "n", "sk")
-    found = short.repartition("value").sortWithinPartitions("value").mapInArrow(_list_pairs(limit), "a long, b long").distinct()
-    links = verify(found)
-    long = table(sized.where(F.col("members") > SHORT).select("value", "id", "n", "sk", "central"), "near-long")
-    if not long.limit(1).count():
+    found = table(short.repartition("value").sortWithinPartitions("value").mapInArrow(_list_pairs(limit), "a long, b long").distinct(), "near-found")
+    long = table(sized.where(F.col("members") > SHORT).select("value", "id", "rank"), "near-long")
+    wanted = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).unionByName(long.select("id")).distinct()
+    sets = table(sets_of(wanted), "near-sets")
+    links = compared(found, sets, limit)
+    if long.isEmpty():
         return links
-    who = table(long.select("id", "n", "sk").dropDuplicates(["id"]), "near-long-members")
-    led = None
-    leaders = LEADERS
-    while True:
-        placed, open_ = long.select("value", "id", "central", F.col("id").alias("component")), long.select("value", "id", "central")
-        if led is not None:
-            groups = components(links)
-            links = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))  # connects the same
-            placed = table(long.select("value", "id", "central").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
-            counts = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
-            largest = counts.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-            open_ = placed.join(largest, "value").where(F.col("component") != F.col("largest")).join(led, ["value", "id"], "left_anti")
-        best = F.max(F.struct("central", (-F.col("id")).alias("back"), "id")).alias("l")
-        chosen = open_.groupBy("value", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(leaders)).alias("slot")).agg(best)
-        chosen = table(chosen.select("value", F.col("l.id").alias("id")), "near-leaders")
-        if not chosen.limit(1).count():
-            return links
-        led = chosen if led is None else table(led.unionByName(chosen), "near-led")
-        # a member meets each leader once, however many lists they share
-        heads = chosen.groupBy("value").agg(F.collect_set("id").alias("heads"))
-        met = placed.join(heads, "value").groupBy("id", "component").agg(F.array_distinct(F.flatten(F.collect_set("heads"))).alias("heads"))
-        pairs = met.select("id", "component", F.explode("heads").alias("leader")).where("id <> leader")
-        of = placed.select(F.col("id").alias("leader"), F.col("component").alias("of")).distinct()
-        pairs = pairs.join(of, "leader").where(F.col("component") != F.col("of"))  # those of one component are connected already
-        pairs = pairs.join(who, "id").join(who.select(F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("sk").alias("lsk")), "leader")
-        pairs = pairs.where(F.least("n", "ln") >= limit * F.greatest("n", "ln") - 1e-9).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), "sk", "lsk")
-        pairs = pairs.mapInArrow(_filter_pairs(limit), "a long, b long")
-        links = table(links.unionByName(verify(pairs.select("a", "b").distinct())), "near-links")
-        leaders *= 4
+    near, pairs = long_list_pairs(long, sets, limit)
+    sketch = listed.join(long.select("id").distinct(), "id").select("id", "sk").dropDuplicates(["id"])
+    both = pairs.join(sketch.select(F.col("id").alias("a"), "sk"), "a").join(sketch.select(F.col("id").alias("b"), F.col("sk").alias("other")), "b")
+    likely = both.select("a", "b", "sk", "other").mapInArrow(_filter_pairs(limit), "a long, b long")
+    return links.unionByName(near).unionByName(compared(likely, sets, limit))
 
 
 def compared(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
@@ -264,19 +238,27 @@ def near_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame
     rows = docs.select("doc_id", "text")
     each = table(sketches(rows, words), "near-sketches")
     able = each.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = able.groupBy("s0", "s1").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
-    classes = table(classes, "near-classes")
-    whole = able.select(F.col("doc_id").alias("id"), "s0", "s1", "sketch", "sk").join(classes, ["s0", "s1", "id"]).dropDuplicates(["s0", "s1"])
-    reps = table(whole.select("id", "n", "sketch", "sk"), "near-reps")
-    links = link_lists(near_lists(reps, limit), limit, lambda pairs: verified(pairs, rows, words, limit))
-    copies = able.join(classes.where("rows > 1"), ["s0", "s1"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    groups = components(links.unionByName(copies))
-    out = each.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+    classes = able.groupBy("s0", "s1").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
+    classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
+    # a class is known by the row of its least identifier
+    whole = able.select("doc_id", "s0", "s1", "sketch", "sk").join(classes, ["s0", "s1", "doc_id"])
+    reps = table(whole.select("id", "n", "sketch", "sk").dropDuplicates(["id"]), "near-reps")
+    key = classes.select("id", "doc_id", "s0", "s1")
+    links = link_lists(near_lists(reps, limit), limit, lambda ids: sets_of(rows, key.join(ids, "id"), words))
+    # rows that share an identifier are one document
+    several = able.groupBy("doc_id").agg(F.min(F.struct("s0", "s1")).alias("lo"), F.max(F.struct("s0", "s1")).alias("hi")).where("lo <> hi").select("doc_id")
+    named = table(able.select("doc_id", "s0", "s1").join(several, "doc_id").distinct().join(classes.select("s0", "s1", "id"), ["s0", "s1"]).select("doc_id", "id"), "near-shared-ids")
+    one = named.join(named.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+    groups = components(links.unionByName(one)).withColumnRenamed("component", "least")
+    named = classes.join(groups, "id", "left").select("s0", "s1", "doc_id", "rows", F.coalesce("least", "id").alias("group"))
+    least = named.groupBy("group").agg(F.min("doc_id").alias("component"), F.sum("rows").alias("rows")).where("rows > 1")
+    known = named.select("s0", "s1", "group").join(least.drop("rows"), "group").drop("group")
+    out = each.join(known, ["s0", "s1"], "left")
+    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies; all columns stay."""
-    gone = near_dedup(docs, words, limit).where(~F.col("kept")).select("doc_id")
+    gone = near_dedup(docs, words, limit).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, partitions, table
 from .components import components
-from .near_dedup import compared, link_lists, packed_sketch
+from .near_dedup import link_lists, packed_sketch
 from .packed import ROWS, batch, by_bucket, deal, joined, pack, unpack
 from .packing import slices
 from .shingles import _ODD, mix, word_hashes
@@ -419,7 +419,7 @@ def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage
     wanted = members.groupBy("id").agg(F.collect_set("unit").alias("lines"))
     sets = table(_sets(rows.select("id", "text"), wanted, words), "unit-sets").dropDuplicates(["id"])
     listed = members.select("key", (F.col("id") * LINES + F.col("unit")).alias("id")).join(sets.select("id", "n", "sk"), "id")
-    links = link_lists(listed.select(F.col("key").alias("value"), "id", "n", "sk", F.lit(0).cast("long").alias("central")), limit, lambda pairs: compared(table(pairs, "near-pairs"), sets, limit))
+    links = link_lists(listed.select(F.col("key").alias("value"), "id", "n", "sk", F.lit(0).cast("long").alias("rank")), limit, lambda ids: sets.join(ids, "id").select("id", "set"))
     later = components(links).where("id <> component")
     near = later.select(F.shiftright("id", 20).alias("doc"), F.pmod("id", F.lit(LINES)).cast("long").alias("unit"))
     packed = near.groupBy(F.col("doc").alias("id")).agg(F.collect_list("unit").alias("units")).mapInArrow(_pack_units, "id long, blob binary")

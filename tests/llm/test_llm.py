@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrain.llm import chat, components, exact_dedup, fingerprints, language, mixing, near_dedup, packing, queries, sharding, substring_dedup, suffix_dedup
+from lexgrain.llm import chat, components, deltas, exact_dedup, fingerprints, language, mixing, near_dedup, packing, queries, sharding, substring_dedup, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -263,13 +263,49 @@ def brute_components(sets, percent=80):
 
 @pytest.mark.parametrize("short", [48, 2])
 def test_near_dedup(docs, rows, monkeypatch, short):
-    monkeypatch.setattr(near_dedup, "SHORT", short)  # 2: all longer lists go leader by leader
+    monkeypatch.setattr(near_dedup, "SHORT", short)  # 2: all longer lists get pivots
     sets = shingle_sets(rows, 4)
     want = brute_components(sets)
     got = near_dedup.near_dedup(docs, 4, 0.8).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {d: (len(s), want[d], want[d] == d) for d, s in sets.items()}
 
 
+@pytest.mark.parametrize("crowded,wide", [(1200, 4096), (3, 4096), (0, 3)])
+def test_near_dedup_families(spark, monkeypatch, crowded, wide):
+    """Families of edited copies, most of them about as like as the limit asks for, and texts that share a passage."""
+    r = random.Random(11)
+    monkeypatch.setattr(near_dedup, "SHORT", 3)
+    monkeypatch.setattr(deltas, "CROWDED", crowded)
+    monkeypatch.setattr(deltas, "WIDE", wide)
+    vocab = [f"v{i}" for i in range(300)]
+    texts, passage = [], [r.choice(vocab) for _ in range(40)]
+    for size, copies in ((60, 60), (35, 30)):
+        base = [r.choice(vocab) for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(r.randint(0, 6)):
+                k = r.randrange(len(w))
+                r.choice([lambda: w.__setitem__(k, r.choice(vocab[:6])), lambda: w.pop(k), lambda: w.insert(k, r.choice(vocab[:6]))])()
+            texts.append(" ".join(w))
+            if r.random() < 0.2:  # families within the family
+                base = w
+    texts += [" ".join([*passage, *(r.choice(vocab) for _ in range(r.randint(0, 30)))]) for _ in range(25)]
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
+    want = brute_components(shingle_sets(rows, 4))
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.8).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
+def test_near_dedup_shared_and_null_identifiers(spark):
+    r = random.Random(2)
+    b, c, lone = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(60)) for k in "bcx")
+    rows = [(1, b), (2, b + " x"), (2, c), (3, c + " y"), (None, b), (None, lone), (7, lone), (2, b + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x["doc_id"] or 0, x["component_id"] or 0, x["kept"]) for x in near_dedup.near_dedup(df, 4).collect()))
+    assert got == [(0, 0, True), (0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False), (2, 1, False), (3, 1, False), (7, 7, True)]
+    assert sorted((x["doc_id"] or 0) for x in near_dedup.drop_near(df, 4).collect()) == [0, 0, 1, 7]
+
+
 def test_near_dedup_keeps_columns(docs):
     out = near_dedup.drop_near(docs)
     assert out.columns == docs.columns and out.count() < docs.count()
