@@ -246,9 +246,9 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return _KEPT[path]
 
 
-def slices(batch: pa.RecordBatch, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about at_once bytes of text, in column 1."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+def slices(batch: pa.RecordBatch, at_once: int = AT_ONCE, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about at_once bytes of text, in the given column."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + at_once)))

@@ -1,35 +1,29 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Units of text: the lines of a document (its paragraphs), and pieces cut at places that
-the words around decide (a two-word hash least within CUT words on either side), so a
-passage that other paragraphs take in is cut alike in all of them.  Units of fewer than
-LEAST words (lines of fewer than `line`) are left alone.  Equal units, by digest of their words, are one class; of
-classes, all but the first unit in (doc_id, place) order are removed.
-
-With `passage`, repeated passages go whole, wherever they begin and end: what a window of
-that many words covers that also starts earlier is removed, across lines too.  A window's
-anchor is the leftmost of its GRAM-word grams with the least hash, so equal windows have
-their anchors at the same place; anchors whose gram occurs once can't have equal windows,
-and only windows at the others are compared, by digest.
-
-Paragraphs also get BANDS bands of ROWS_A_BAND minima: two of Jaccard similarity 0.8
-share a band with a probability of 0.9992.  Classes that share a band are joined (short
-lists in memory, long ones leader by leader, as near_dedup does), verified by exact
-Jaccard over full sets of word shingles, and clustered by connected components, of which
-the first paragraph stays.  Lines of fewer than LEAST words get no bands: with five-word
-shingles they have three at most, so only an equal set reaches 0.8.  Pieces get none
-either: an edited passage inside longer paragraphs loses only the pieces, and stretches of
-`passage` words, that no edit touches.
-
-Words are compared with A-Z lower-cased; a removed stretch goes from its first word to
-its last, with the spaces that follow.
-
-Results for odd input: null and empty texts have no units and come back empty; an empty
-table gives an empty result; rows that share an identifier count as readings of one
-document and don't remove each other's units of the same place; a null identifier is
-before all others; identifiers and line numbers are packed in a long, so identifiers
-below 2^42 in size and texts of under 2^20 lines are needed (else an error is raised);
-extra columns are ignored.
+Paragraphs are the lines of LEAST words or more, and every stretch of `passage` words.
+
+Lines get BANDS bands of ROWS_A_BAND minima over their word shingles: two of Jaccard
+similarity 0.8 share a band with a probability of 0.9992.  Equal lines, by 128 bits of
+digest, are one class; classes that share a band are joined (short lists in memory, long
+ones by their differences from a pivot, as near_dedup does), verified by exact Jaccard over
+full sets of shingles, and clustered by connected components, of which the first line stays.
+
+Stretches overlap, so they get one minimum: that of the GRAM-word grams in them, leftmost of
+ties, which equal stretches have at the same place.  Minima that occur once can't have equal
+stretches and are dropped; stretches at the others are joined and compared by digest of all
+their words, and all but the first of equal ones go.  So repeated passages of `passage` words
+or more go whole, wherever they begin and end, also within longer lines and across lines.
+
+"First" is by (doc_id, hash of the text, place).  Words are compared with A-Z lower-cased; a
+removed stretch goes from its first word to its last, with the spaces that follow.  Shorter
+repeats are left alone: of invented prose with common short lines they would touch a third
+of the documents.
+
+Results for odd input: null, empty and blank texts have no paragraphs and come back as they
+are (null as empty); an empty table gives an empty result; rows that share an identifier are
+documents of their own, in order of a hash of their text, and rows that repeat both are one
+and cut alike; null identifiers are before all others; any identifier and any number of
+lines will do; very long texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,20 +45,24 @@ from .packed import ROWS, batch, by_bucket, deal, joined, pack, unpack
 from .packing import slices
 from .shingles import _ODD, mix, word_hashes
 
-CUT, LEAST, BANDS, ROWS_A_BAND = 5, 8, 10, 3
-#: Words of the grams that anchor a passage's windows.
-GRAM = 8
+LEAST, BANDS, ROWS_A_BAND = 16, 10, 3
+#: Words of the grams whose minimum stands for a stretch.
+GRAM = 10
 #: Text worked on at once, and text behind one bucket.
 AT_ONCE, BUCKET_BYTES = 3 << 20, 8 << 20
-LINES = 1 << 20
-NULL_ID = -(1 << 41)
+#: Order of null identifiers.
+NULL_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 32) - 1)
 _FACTOR = [mix(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(BANDS * ROWS_A_BAND)]
+_BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Kinds of rows that meetings yield.
+GONE, MEMBER, AGAIN = 0, 1, 2
+MET = "kind int, doc long, row long, value long, unit int, blob binary"
 
 
 @dataclass
-class Units:
-    """Units of some texts: text, number (line number, or -1 - first word for a piece), first word and the one after the last."""
+class Lines:
+    """Lines of some texts: text, number in it, first word and the one after the last."""
 
     words: np.ndarray
     start: np.ndarray  # first word of each text, one more at the end
@@ -74,51 +72,30 @@ class Units:
     b: np.ndarray
 
 
-def units(texts: pa.Array) -> Units:
+def lines_of(texts: pa.Array) -> Lines:
     lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     of = lines.offsets.to_numpy().astype(np.int64)
     of -= of[0]
     words, first = word_hashes(lines.flatten())
-    start = first[of]
-    doc = np.repeat(np.arange(len(texts)), np.diff(of))
-    line = np.arange(len(doc)) - of[:-1][doc]
-    # pieces: cut before a word whose two-word hash is least among its neighbours of the same text
-    owner = np.repeat(np.arange(len(texts)), np.diff(start))
-    pair = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
-    if len(words) > 1:
-        pair[:-1] = np.where(owner[1:] == owner[:-1], mix(words[:-1] * _ODD[0] + words[1:] * _ODD[1]), pair[:-1])
-    padded = np.full(len(words) + CUT * (len(texts) + 1), np.iinfo(np.uint64).max, np.uint64)
-    at = np.arange(len(words)) + CUT * (owner + 1)
-    padded[at] = pair
-    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * CUT + 1)
-    least = np.minimum.reduce([around[:, i] for i in range(2 * CUT + 1) if i != CUT]) if len(words) else np.zeros(0, np.uint64)
-    cut = (pair < least[at - CUT]) if len(words) else np.zeros(0, bool)
-    if len(words):
-        cut[start[:-1][np.diff(start) > 0]] = True
-    a = np.flatnonzero(cut)
-    b = np.append(a[1:], len(words)) if len(a) else a
-    place = a - start[:-1][owner[a]] if len(a) else a
-    every = Units(words, start, np.concatenate([doc, owner[a]]), np.concatenate([line, -1 - place]), np.concatenate([first[:-1], a]), np.concatenate([first[1:], b]))
-    return every
-
-
-def _digests(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    text = np.repeat(np.arange(len(texts)), np.diff(of))
+    return Lines(words, first[of], text, np.arange(len(text)) - of[:-1][text], first[:-1], first[1:])
+
+
+def _digests(words: np.ndarray, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
     """Of the words from each a to b in order, from differences of one running polynomial."""
-    n = len(words)
-    base = 0x9E3779B97F4A7C15
+    n, base = len(words), _BASE[which]
     inverse = np.uint64(pow(base, -1, 1 << 64))
     power = np.cumprod(np.full(n + 1, np.uint64(base), np.uint64)) if n else np.ones(1, np.uint64)
     back = np.cumprod(np.full(n + 1, inverse, np.uint64)) if n else np.ones(1, np.uint64)
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(words) * power[:n], out=run[1:])
-    long = (b - a).astype(np.uint64)
-    return mix((run[b] - run[a]) * back[a] + long * _ODD[3])
+    np.cumsum(mix(words + np.uint64(which)) * power[:n], out=run[1:])
+    return mix((run[b] - run[a]) * back[a] + (b - a).astype(np.uint64) * _ODD[3])
 
 
 def _shingles(words: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(max(len(words) - n + 1, 0), np.uint64)
     for i in range(n):
-        out += words[i : i + len(out)] * _ODD[i]
+        out += words[i : i + len(out)] * _ODD[i % len(_ODD)] + np.uint64(i // len(_ODD))
     return mix(out)
 
 
@@ -139,14 +116,13 @@ def _windows(words: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarra
     return at, (key[at] & _PLACE).astype(np.int64), owner[at], grams
 
 
-def _bands(u: Units, which: np.ndarray, n: int) -> np.ndarray:
-    """Band keys (units x BANDS) of the given units of n words or more."""
+def _bands(u: Lines, which: np.ndarray, n: int) -> np.ndarray:
+    """Band keys (lines x BANDS) of the given lines of n words or more."""
     a, size = u.a[which], u.b[which] - u.a[which] - n + 1
-    all_ = _shingles(u.words, n)
     if len(which) == 0:
         return np.zeros((0, BANDS), np.uint64)
     take = np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)
-    s, at = all_[take], np.cumsum(size) - size
+    s, at = _shingles(u.words, n)[take], np.cumsum(size) - size
     out = np.zeros((len(which), BANDS), np.uint64)
     for k in range(BANDS):
         key = np.full(len(which), np.uint64(k + 1))
@@ -157,82 +133,86 @@ def _bands(u: Units, which: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _removals(doc: np.ndarray, unit: np.ndarray) -> list[tuple[int, bytes]]:
-    return [(d, pack({"unit": c["unit"]})) for d, c in deal(doc, {"unit": unit})]
+def _spread(row: int, buckets: int) -> int:
+    return int(mix(np.array([row], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+
+
+def _first_and_later(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first of each digest, and of the later ones; a repeated place isn't later than itself."""
+    order = np.lexsort((at, row, doc, h2, h))
+    head = np.append(True, (h[order[1:]] != h[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]]))[: len(order)]
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    return order[head], order[(doc[order] != doc[first]) | (row[order] != row[first]) | (at[order] != at[first])]
 
 
-def _doc_bucket(d: int, buckets: int) -> int:
-    return int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+def _by_row(doc: np.ndarray, row: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+    for r, c in deal(row, {"doc": doc, **columns}):
+        for d, x in deal(c.pop("doc"), c):
+            yield d, r, x
 
 
-def _gram_rows(u: Units, ids: np.ndarray, size: int, buckets: int) -> list[tuple[int, bytes]]:
-    """Anchors' grams of a slice by bucket, each once, and to its documents those that repeat in it."""
+def _gram_rows(u: Lines, row: np.ndarray, size: int, buckets: int) -> list[tuple[int, bytes]]:
+    """Minima of a slice's stretches by bucket, each once, and to its rows those that repeat in it."""
     _, anchor, text, grams = _windows(u.words, u.start, size)
     anchor, one = np.unique(anchor, return_index=True)
-    g, doc = grams[anchor], ids[text[one]]
+    g, of = grams[anchor], row[text[one]]
     kind, first, inv, n = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
     here = n[inv] > 1
-    rows = [(_doc_bucket(d, buckets), pack({"again": np.array([d]), "gram": c["gram"]})) for d, c in deal(doc[here], {"gram": g[here]})]
-    return rows + [(k, pack(c)) for k, c in deal((kind % np.uint64(buckets)).astype(np.int64), {"gram": kind, "doc": doc[first], "many": n > 1})]
+    rows = [(_spread(r, buckets), pack({"again": np.array([r]), "gram": c["gram"]})) for r, c in deal(of[here], {"gram": g[here]})]
+    return rows + [(k, pack(c)) for k, c in deal((kind % np.uint64(buckets)).astype(np.int64), {"gram": kind, "row": of[first], "many": n > 1})]
 
 
 def _send(docs: DataFrame, buckets: int, n: int, passage: int, line: int) -> DataFrame:
+    """Packed digests and bands of lines, and minima of stretches, of docs(doc, row, text)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, AT_ONCE):
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                u = units(part.column(1))
-                if len(ids) and (abs(ids) > 1 << 42).any() or (u.number >= LINES).any():
-                    raise ValueError("identifiers of under 2^42 in size and texts of under 2^20 lines are needed")
-                able = np.flatnonzero(u.b - u.a >= np.where(u.number >= 0, line, LEAST))
-                h = _digests(u.words, u.a[able], u.b[able])
-                doc, unit = ids[u.text[able]], u.number[able].astype(np.int64)
-                # of equal units in this slice only the first is sent
-                order = np.lexsort((unit, doc, h))
-                head = np.ones(len(order), bool)
-                head[1:] = h[order][1:] != h[order][:-1]
-                later = order[~head]
-                rows = [(_doc_bucket(d, buckets), pack({"known": np.array([d]), "unit": c["unit"]})) for d, c in deal(doc[later], {"unit": unit[later]})]
-                if passage:
-                    rows += _gram_rows(u, ids, passage, buckets)
-                one = order[head]
-                rows += [(k, pack({"h": c["h"], "doc": c["doc"], "unit": c["unit"]})) for k, c in deal((h[one] % np.uint64(buckets)).astype(np.int64), {"h": h[one], "doc": doc[one], "unit": unit[one]})]
-                para = one[(unit[one] >= 0) & ((u.b - u.a)[able[one]] >= LEAST)]
-                keys = _bands(u, able[para], n)
-                flat = keys.ravel()
-                cols = {"key": flat, "low": np.repeat((h[para] >> np.uint64(32)).astype(np.uint32), BANDS), "doc": np.repeat(doc[para], BANDS), "unit": np.repeat(unit[para], BANDS)}
-                for k, c in deal((flat % np.uint64(buckets)).astype(np.int64), cols):
-                    rows.append((k, pack({"key": (c["key"] >> np.uint64(24)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5].copy(), "low": c["low"], "doc": c["doc"], "unit": c["unit"].astype(np.int32)})))
-                yield batch(rows)
+            for part in slices(b, AT_ONCE, 2):
+                docs_, rows_ = (part.column(c).to_numpy() for c in (0, 1))
+                u = lines_of(part.column(2))
+                able = np.flatnonzero(u.b - u.a >= line)
+                h, h2 = (_digests(u.words, u.a[able], u.b[able], w) for w in (0, 1))
+                doc, row, unit = docs_[u.text[able]], rows_[u.text[able]], u.number[able].astype(np.int32)
+                # of equal lines in this slice only the first is sent
+                one, later = _first_and_later(h, h2, doc, row, unit)
+                out = [(_spread(r, buckets), pack({"known": np.array([d, r]), "unit": c["unit"]})) for d, r, c in _by_row(doc[later], row[later], {"unit": unit[later]})]
+                out += _gram_rows(u, rows_, passage, buckets)
+                cols = {"h": h, "h2": h2, "doc": doc, "row": row, "unit": unit}
+                out += [(k, pack(c)) for k, c in deal((h[one] % np.uint64(buckets)).astype(np.int64), {c: v[one] for c, v in cols.items()})]
+                para = one[(u.b - u.a)[able[one]] >= n]
+                key = _bands(u, able[para], n).ravel()
+                cols = {"key": key, **{c: np.repeat(v[para], BANDS) for c, v in cols.items() if c != "h2"}}
+                for k, c in deal((key % np.uint64(buckets)).astype(np.int64), cols):
+                    c["key"] = (c["key"] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].copy()
+                    out.append((k, pack(c)))
+                yield batch(out)
 
     return docs.mapInArrow(work, ROWS)
 
 
-MET = "id long, key long, unit long, blob binary"
+def _met(kind: int, doc, row, value=None, unit=None, blob=None) -> pa.RecordBatch:
+    n = len(row)
+    arrays = [pa.array(np.full(n, kind, np.int32)), *(pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((doc, pa.int64()), (row, pa.int64()), (value, pa.int64()), (unit, pa.int32()), (blob, pa.binary())))]
+    return pa.RecordBatch.from_arrays(arrays, names=["kind", "doc", "row", "value", "unit", "blob"])
 
 
 def _meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Units to remove by document (blob), members (key, id, unit) of bands that more than one class shares, and by document its repeated grams (unit 0, blob)."""
-    gone: list[tuple[int, bytes]] = []
+    """Lines that go (GONE, by row), members of bands that more than one class shares (MEMBER), repeated minima by row (AGAIN)."""
+    gone: list[tuple[int, int, bytes]] = []
     exact, bands, again, asked = [], [], [], []
     for p in parts:
         if "known" in p:
-            gone.append((int(p["known"][0]), pack({"unit": p["unit"]})))
+            gone.append((*p["known"].tolist(), pack({"unit": p["unit"]})))
         elif "again" in p:
             again.append((int(p["again"][0]), p["gram"].tobytes()))
-        elif "gram" in p:
-            asked.append(p)
         else:
-            (bands if "key" in p else exact).append(p)
+            (asked if "gram" in p else bands if "key" in p else exact).append(p)
     if exact:
         x = joined(exact)
-        order = np.lexsort((x["unit"], x["doc"], x["h"]))
-        h, d, k = x["h"][order], x["doc"][order], x["unit"][order]
-        head = np.ones(len(h), bool)
-        head[1:] = h[1:] != h[:-1]
-        first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-        later = (d != d[first]) | (k != k[first])
-        gone += _removals(d[later], k[later])
+        _, later = _first_and_later(x["h"], x["h2"], x["doc"], x["row"], x["unit"])
+        gone += [(d, r, pack(c)) for d, r, c in _by_row(x["doc"][later], x["row"][later], {"unit": x["unit"][later]})]
+    if gone:
+        yield _met(GONE, *([g[i] for g in gone] for i in (0, 1)), blob=[g[2] for g in gone])
     if asked:
         x = joined(asked)
         order = np.argsort(x["gram"], kind="stable")
@@ -241,195 +221,169 @@ def _meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         twice[1:] |= g[1:] == g[:-1]
         twice[:-1] |= g[1:] == g[:-1]
         keep = order[twice & ~x["many"][order]]
-        again += [(d, c["gram"].tobytes()) for d, c in deal(x["doc"][keep], {"gram": x["gram"][keep]})]
-    key = doc = unit = np.zeros(0, np.int64)
+        again += [(r, c["gram"].tobytes()) for r, c in deal(x["row"][keep], {"gram": x["gram"][keep]})]
+    if again:
+        yield _met(AGAIN, None, [r for r, _ in again], blob=[x for _, x in again])
     if bands:
         x = joined(bands)
-        wide = np.zeros((len(x["low"]), 8), np.uint8)
+        wide = np.zeros((len(x["h"]), 8), np.uint8)
         wide[:, :5] = x["key"].reshape(-1, 5)
-        key, low = wide.view(np.uint64).ravel(), x["low"]
-        order = np.lexsort((x["unit"], x["doc"], low, key))
-        key, low, doc, unit = key[order], low[order], x["doc"][order], x["unit"][order].astype(np.int64)
-        new_key = np.ones(len(key), bool)
-        new_key[1:] = key[1:] != key[:-1]
-        new = new_key.copy()
-        new[1:] |= low[1:] != low[:-1]
+        key = wide.view(np.uint64).ravel()
+        order = np.lexsort((x["unit"], x["row"], x["doc"], x["h"], key))
+        key, h, doc, row, unit = (v[order] for v in (key, x["h"], x["doc"], x["row"], x["unit"]))
+        new_key = np.append(True, key[1:] != key[:-1])
+        new = new_key | np.append(True, h[1:] != h[:-1])
         classes = np.bincount(np.cumsum(new_key) - 1, new)
-        keep = new & (classes[np.cumsum(new_key) - 1] > 1)  # the first unit of each class
-        key, doc, unit = key[keep].view(np.int64), doc[keep], unit[keep]
-    n = len(gone)
-    nulls = lambda k, t: pa.nulls(k, t)
-    yield pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([pa.array([d for d, _ in gone], pa.int64()), pa.array(doc, pa.int64())]), pa.concat_arrays([nulls(n, pa.int64()), pa.array(key)]), pa.concat_arrays([nulls(n, pa.int64()), pa.array(unit, pa.int64())]), pa.concat_arrays([pa.array([b for _, b in gone], pa.binary()), nulls(len(doc), pa.binary())])],
-        names=["id", "key", "unit", "blob"],
-    )
-    if again:
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in again], pa.int64()), nulls(len(again), pa.int64()), pa.array(np.zeros(len(again), np.int64)), pa.array([b for _, b in again], pa.binary())], names=["id", "key", "unit", "blob"])
+        keep = new & (classes[np.cumsum(new_key) - 1] > 1)  # the first line of each class
+        yield _met(MEMBER, doc[keep], row[keep], key[keep].view(np.int64), unit[keep])
 
 
-def _stretches(doc: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """By document the stretches of words, from a to b, of windows that begin at `at`."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order].astype(np.int64)
-    new = np.flatnonzero((np.diff(doc, prepend=doc[:1]) != 0) | (np.diff(at, prepend=at[:1] - 2) > 1))
-    return deal(doc[new], {"a": at[new], "b": at[np.append(new[1:], len(at))[: len(new)] - 1] + size})
+def _stretches(doc: np.ndarray, row: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+    """By row the stretches of words, from a to b, of windows that begin at `at`."""
+    order = np.lexsort((at, doc, row))
+    doc, row, at = doc[order], row[order], at[order].astype(np.int64)
+    apart = np.append(True, (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(at) > 1))[: len(at)]
+    new = np.flatnonzero(apart)
+    return _by_row(doc[new], row[new], {"a": at[new], "b": at[np.append(new[1:], len(at))[: len(new)] - 1] + size})
 
 
-def _repeats(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first window of each digest, and of its later ones."""
-    order = np.lexsort((at, doc, h))
-    head = np.append(True, h[order[1:]] != h[order[:-1]])[: len(order)]
-    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    return order[head], order[(doc[order] != doc[first]) | (at[order] != at[first])]
+SECOND = "bucket int, blob binary, id long, doc long, row long, unit int, n long, sk binary, set binary"
 
 
-def _passages(docs: DataFrame, grams: DataFrame, buckets: int, size: int) -> DataFrame:
-    """id, blob (stretches a, b of words) of what windows of size words cover that also start earlier; grams(id, blob) are those that repeat."""
+def _second(docs: DataFrame, asks: DataFrame, buckets: int, size: int, n: int) -> DataFrame:
+    """Of docs(doc, row, text): packed windows at the repeated minima (bucket, blob), and sets of the wanted lines (id ...); asks(row, blobs, lines) has both."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, AT_ONCE):
-                ids, blobs = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
-                words, start = word_hashes(part.column(1))
-                at, anchor, text, g = _windows(words, start, size)
-                keep, cut = np.zeros(len(at), bool), np.searchsorted(text, np.arange(len(ids) + 1))
+            for part in slices(b, AT_ONCE, 2):
+                docs_, rows_, blobs, wanted = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3).to_pylist(), part.column(4).to_pylist()
+                u = lines_of(part.column(2))
+                at, anchor, text, g = _windows(u.words, u.start, size)
+                keep, cut = np.zeros(len(at), bool), np.searchsorted(text, np.arange(part.num_rows + 1))
                 for t, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                    if y > x:
+                    if y > x and blobs[t]:
                         keep[x:y] = np.isin(g[anchor[x:y]], np.frombuffer(b"".join(blobs[t]), np.uint64))
                 at, text = at[keep], text[keep]
-                h, doc, place = _digests(words, at, at + size), ids[text], at - start[text]
-                one, later = _repeats(h, doc, place)
-                rows = [(_doc_bucket(d, buckets), pack({"known": np.array([d]), **c})) for d, c in _stretches(doc[later], place[later], size)]
-                rows += [(k, pack(c)) for k, c in deal((h[one] % np.uint64(buckets)).astype(np.int64), {"h": h[one], "doc": doc[one], "at": place[one].astype(np.int32)})]
-                yield batch(rows)
-
+                h, h2 = _digests(u.words, at, at + size), _digests(u.words, at, at + size, 1)
+                doc, row, place = docs_[text], rows_[text], (at - u.start[text]).astype(np.int32)
+                one, later = _first_and_later(h, h2, doc, row, place)
+                out = [(_spread(r, buckets), pack({"known": np.array([d, r]), **c})) for d, r, c in _stretches(doc[later], row[later], place[later], size)]
+                cols = {"h": h[one], "h2": h2[one], "doc": doc[one], "row": row[one], "at": place[one]}
+                out += [(k, pack(c)) for k, c in deal((h[one] % np.uint64(buckets)).astype(np.int64), cols)]
+                s, sets = _shingles(u.words, n), []
+                line_at = np.searchsorted(u.text, np.arange(part.num_rows))
+                for t, some in enumerate(wanted):
+                    for x in some:
+                        i = int(line_at[t]) + x["unit"]
+                        if i < len(u.text) and u.text[i] == t and u.b[i] - u.a[i] >= n:
+                            v = np.unique(s[u.a[i] : u.b[i] - n + 1])
+                            sets.append((x["id"], int(docs_[t]), int(rows_[t]), x["unit"], len(v), packed_sketch(v), v.tobytes()))
+                k, m = len(out), len(sets)
+                own = [pa.concat_arrays([pa.array([x[i] for x in out], t), pa.nulls(m, t)]) for i, t in enumerate((pa.int32(), pa.binary()))]
+                theirs = [pa.concat_arrays([pa.nulls(k, t), pa.array([x[i] for x in sets], t)]) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*own, *theirs], names=["bucket", "blob", "id", "doc", "row", "unit", "n", "sk", "set"])
+
+    return docs.join(asks, "row").select("doc", "row", "text", "blobs", "lines").mapInArrow(work, SECOND)
+
+
+def _meet_windows(size: int):
     def meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         out, sent = [], []
         for p in parts:
             if "known" in p:
-                out.append((int(p["known"][0]), pack({"a": p["a"], "b": p["b"]})))
+                out.append((*p["known"].tolist(), pack({"a": p["a"], "b": p["b"]})))
             else:
                 sent.append(p)
         if sent:
             x = joined(sent)
-            _, later = _repeats(x["h"], x["doc"], x["at"])
-            out += [(d, pack(c)) for d, c in _stretches(x["doc"][later], x["at"][later], size)]
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["id", "blob"])
-
-    able = docs.join(grams.groupBy("id").agg(F.collect_list("blob").alias("blobs")), "id").select("id", "text", "blobs", "doc_id")
-    return by_bucket(able.mapInArrow(send, ROWS), buckets, meet, "id long, blob binary")
-
+            _, later = _first_and_later(x["h"], x["h2"], x["doc"], x["row"], x["at"])
+            out += [(d, r, pack(c)) for d, r, c in _stretches(x["doc"][later], x["row"][later], x["at"][later], size)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["doc", "row", "blob"])
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """id (identifier and line packed), n, sk, set of the wanted paragraphs (id, lines)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for part in slices(b, AT_ONCE):
-                u = units(part.column(1))
-                s = _shingles(u.words, n)
-                span = {(t, k): (x, y) for t, k, x, y in zip(u.text.tolist(), u.number.tolist(), u.a.tolist(), u.b.tolist(), strict=True) if k >= 0}
-                for t, (d, lines) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    for k in lines:
-                        x, y = span.get((t, k), (0, 0))
-                        if y - x >= LEAST:
-                            v = np.unique(s[x : y - n + 1])
-                            out.append((d * LINES + k, len(v), packed_sketch(v), v.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())], names=["id", "n", "sk", "set"])
-
-    return docs.join(wanted, "id").select("id", "text", "lines").mapInArrow(work, "id long, n long, sk binary, set binary")
+    return meet
 
 
 def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    word = re.compile(WORD)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile(WORD)
         for b in batches:
             for part in slices(b, AT_ONCE):
-                u = units(part.column(1))
-                total, lines = np.diff(u.start), np.bincount(u.text[u.number >= 0], minlength=part.num_rows)
-                cut = int((u.number >= 0).sum())  # lines come first, pieces after
-                by_line = np.searchsorted(u.text[:cut], np.arange(part.num_rows))
+                u = lines_of(part.column(1))
+                total, lines = np.diff(u.start), np.bincount(u.text, minlength=part.num_rows)
+                line_at = np.cumsum(lines) - lines
                 rows: list[list] = [[], [], [], []]
                 texts = part.column(1).to_pylist()
                 for t, blobs in enumerate(part.column(2).to_pylist()):
                     text, dropped, spans, chars = texts[t] or "", 0, 0, 0
                     if blobs:
-                        mark = np.zeros(int(total[t]) + 1, np.int32)
-                        s, pieces, held = int(u.start[t]), None, [unpack(x) for x in blobs]
-                        for x in held:
-                            if "a" in x:
-                                np.add.at(mark, np.minimum(x["a"], total[t]), 1)
-                                np.add.at(mark, np.minimum(x["b"], total[t]), -1)
-                        for k in np.unique(np.concatenate([np.zeros(0, np.int64), *[x["unit"] for x in held if "unit" in x]])).tolist():
-                            if k >= 0:
-                                i = int(by_line[t]) + k
-                            else:
-                                if pieces is None:
-                                    pieces = {-1 - p: j for j, p in _pieces(u, t, cut)}
-                                i = pieces.get(-1 - k, -1)
-                            if i >= 0 and i < len(u.a) and u.text[i] == t and u.number[i] == k:
-                                mark[u.a[i] - s] += 1
-                                mark[u.b[i] - s] -= 1
+                        mark, s = np.zeros(int(total[t]) + 1, np.int32), int(u.start[t])
+                        for x in map(unpack, blobs):
+                            a, z = (x["a"], x["b"]) if "a" in x else (u.a[line_at[t] + x["unit"]] - s, u.b[line_at[t] + x["unit"]] - s)
+                            np.add.at(mark, a, 1)
+                            np.add.at(mark, z, -1)
                         gone_ = np.cumsum(mark)[:-1] > 0
                         dropped = int(gone_.sum())
-                        if dropped:
-                            at = [m.span() for m in word.finditer(text)]
-                            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone_.astype(np.int8), [0]])))
-                            parts, done = [], 0
-                            for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                                a, z = at[x][0], at[y - 1][1]
-                                while z < len(text) and text[z] == " ":
-                                    z += 1
-                                parts.append(text[done:a])
-                                chars += z - a
-                                done, spans = z, spans + 1
-                            text = "".join([*parts, text[done:]])
+                        at = [m.span() for m in word.finditer(text)]
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone_.astype(np.int8), [0]])))
+                        parts, done = [], 0
+                        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                            a, z = at[x][0], at[y - 1][1]
+                            while z < len(text) and text[z] == " ":
+                                z += 1
+                            parts.append(text[done:a])
+                            chars += z - a
+                            done, spans = z, spans + 1
+                        text = "".join([*parts, text[done:]])
                     for c, v in zip(rows, (dropped, spans, chars, text), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([part.column(3), pa.array(lines, pa.int64()), pa.array(total, pa.int64()), *[pa.array(c, pa.int64()) for c in rows[:3]], pa.array(rows[3], pa.string())], names=["doc_id", "n_paragraphs", "n_words", "n_removed_words", "n_spans", "n_removed_chars", "text"])
-
-    held = gone.groupBy("id").agg(F.collect_list("blob").alias("blobs"))
-    return docs.join(held, "id", "left").select("id", "text", "blobs", "doc_id").mapInArrow(work, "doc_id long, n_paragraphs long, n_words long, n_removed_words long, n_spans long, n_removed_chars long, text string")
-
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lines, pa.int64()), pa.array(total, pa.int64()), *[pa.array(c, pa.int64()) for c in rows[:3]], pa.array(rows[3], pa.string())], names=["doc_id", "n_paragraphs", "n_words", "n_removed_words", "n_spans", "n_removed_chars", "text"])
 
-def _pieces(u: Units, t: int, cut: int) -> Iterator[tuple[int, int]]:
-    """Index and number of the pieces of text t."""
-    lo, hi = np.searchsorted(u.text[cut:], [t, t + 1])
-    for j in range(cut + int(lo), cut + int(hi)):
-        yield j, int(u.number[j])
+    held = gone.groupBy("doc", "row").agg(F.collect_list("blob").alias("blobs"))
+    return docs.join(held, ["doc", "row"], "left").select("doc_id", "text", "blobs").mapInArrow(work, "doc_id long, n_paragraphs long, n_words long, n_removed_words long, n_spans long, n_removed_chars long, text string")
 
 
-def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage: int = 0, line: int = LEAST) -> DataFrame:
-    """doc_id, n_paragraphs, n_words, n_removed_words, n_spans, n_removed_chars, text (what is left) of every row.
-
-    passage: repeated passages of so many words or more go whole; 0 leaves it at units.
-    line: equal lines of so many words or more are repeats."""
-    if not 1 <= line <= LEAST:
-        raise ValueError(f"lines have 1 to {LEAST} words at least")
-    if passage and passage < GRAM:
+def _pack_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        blobs = [pack({"unit": np.array(x, np.int32)}) for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["doc", "row", "blob"])
+
+
+def _near_lines(members: DataFrame, wanted: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+    """doc, row, blob (line numbers) of the lines that have a near copy before them; members(value, row, unit) share bands."""
+    listed = members.join(wanted, ["row", "unit"]).select("value", "id")
+    sizes = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
+    ranks = listed.join(sizes, "value").groupBy("id").agg(F.sum("members").alias("rank"))
+    full = listed.join(sets.select("id", "n", "sk"), "id").join(ranks, "id")
+    groups = components(link_lists(full, limit, lambda ids: sets.join(ids, "id").select("id", "set")))
+    placed = groups.join(sets.select("id", F.struct("doc", "row", "unit").alias("place")), "id")
+    first = placed.groupBy("component").agg(F.min("place").alias("first"))
+    later = placed.join(first, "component").where("place <> first")
+    return later.groupBy("place.doc", "place.row").agg(F.collect_list("place.unit").alias("units")).mapInArrow(_pack_units, "doc long, row long, blob binary")
+
+
+def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage: int = 25, line: int = LEAST) -> DataFrame:
+    """doc_id, n_paragraphs (lines), n_words, n_removed_words, n_spans, n_removed_chars, text (what is left) of every row.
+
+    passage: repeated passages of so many words or more go whole; line: words of the shortest line that is compared."""
+    if line < 1 or words < 1:
+        raise ValueError("lines and shingles have a word at least")
+    if passage < GRAM:
         raise ValueError(f"passages have {GRAM} words or more")
-    if not 1 <= words <= LEAST:
-        raise ValueError(f"shingles have 1 to {LEAST} words")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID).cast("long")))
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.select(id_.alias("doc_id"), "text", F.coalesce(id_, F.lit(NULL_ID)).alias("doc"), F.xxhash64(id_, "text").alias("row"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
-    met = table(by_bucket(_send(rows.select("id", "text"), buckets, words, passage, line), buckets, _meet, MET), "units")
-    members = met.where("key is not null").select("id", "key", "unit")
-    wanted = members.groupBy("id").agg(F.collect_set("unit").alias("lines"))
-    sets = table(_sets(rows.select("id", "text"), wanted, words), "unit-sets").dropDuplicates(["id"])
-    listed = members.select("key", (F.col("id") * LINES + F.col("unit")).alias("id")).join(sets.select("id", "n", "sk"), "id")
-    links = link_lists(listed.select(F.col("key").alias("value"), "id", "n", "sk", F.lit(0).cast("long").alias("rank")), limit, lambda ids: sets.join(ids, "id").select("id", "set"))
-    later = components(links).where("id <> component")
-    near = later.select(F.shiftright("id", 20).alias("doc"), F.pmod("id", F.lit(LINES)).cast("long").alias("unit"))
-    packed = near.groupBy(F.col("doc").alias("id")).agg(F.collect_list("unit").alias("units")).mapInArrow(_pack_units, "id long, blob binary")
-    gone = met.where("key is null and unit is null").select("id", "blob").unionByName(packed)
-    if passage:
-        gone = gone.unionByName(_passages(rows.select("id", "text", "doc_id"), met.where("key is null and unit = 0").select("id", "blob"), buckets, passage))
-    return _cut(rows.select("id", "text", "doc_id"), gone)
-
-
-def _pack_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        blobs = [pack({"unit": np.array(x, np.int64)}) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], names=["id", "blob"])
+    read = rows.select("doc", "row", "text")
+    met = table(by_bucket(_send(read, buckets, words, passage, line), buckets, _meet, MET), "units")
+    members = met.where(F.col("kind") == MEMBER).select("value", "row", "unit")
+    wanted = table(members.select("row", "unit").distinct().withColumn("id", F.monotonically_increasing_id()), "unit-ids")
+    asked = met.where(F.col("kind") == AGAIN).select("row", "blob", F.lit(None).cast("struct<unit:int,id:bigint>").alias("line"))
+    asks = asked.unionByName(wanted.select("row", F.lit(None).cast("binary").alias("blob"), F.struct("unit", "id").alias("line")))
+    asks = asks.groupBy("row").agg(F.collect_list("blob").alias("blobs"), F.collect_list("line").alias("lines"))
+    second = table(_second(read, asks, buckets, passage, words), "unit-sets")
+    windows = by_bucket(second.where("bucket is not null").select("bucket", "blob"), buckets, _meet_windows(passage), "doc long, row long, blob binary")
+    sets = table(second.where("id is not null").drop("bucket", "blob").dropDuplicates(["id"]), "unit-places")
+    near = _near_lines(members, wanted, sets, limit)
+    gone = met.where(F.col("kind") == GONE).select("doc", "row", "blob").unionByName(windows).unionByName(near)
+    return _cut(rows, gone)

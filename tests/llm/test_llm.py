@@ -367,66 +367,97 @@ def test_suffix_dedup_short_chunks(spark):
         assert [(r["n_bytes"], r["n_removed"]) for r in got] == [(n, 0)]
 
 
-def test_substring_dedup(docs, rows, spark):
-    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs).collect()}
+def brute_substrings(rows, passage, line, n=5):
+    """Words that go of each row (identifier, text), by comparing all lines and all stretches; rows in order."""
+    words, lines = [], []
+    for t, (_, text) in enumerate(rows):
+        at = 0
+        words.append(WORD.findall((text or "").translate(LOWER)))
+        for x in (text or "").split("\n"):
+            k = len(WORD.findall(x))
+            if k >= line:
+                lines.append((t, at, at + k, tuple(words[t][at : at + k])))
+            at += k
+    gone = [set() for _ in rows]
+    sets = {w: frozenset(w[i : i + n] for i in range(len(w) - n + 1)) for *_, w in lines}
+    kinds = sorted(sets, key=lambda w: min(i for i, x in enumerate(lines) if x[3] == w))
+    part = brute_components({i: sets[w] for i, w in enumerate(kinds)})
+    seen = set()
+    for t, a, b, w in lines:
+        c = part[kinds.index(w)]
+        if c in seen:
+            gone[t] |= set(range(a, b))
+        seen.add(c)
+    before = set()
+    for t, w in enumerate(words):
+        for i in range(len(w) - passage + 1):
+            if tuple(w[i : i + passage]) in before:
+                gone[t] |= set(range(i, i + passage))
+            before.add(tuple(w[i : i + passage]))
+    return words, gone
+
+
+def check_substrings(rows, got, passage=25, line=16):
+    words, gone = brute_substrings(rows, passage, line)
     assert len(got) == len(rows)
-    u = substring_dedup.units(pa.array([t for _, t in rows], pa.string()))
-    words = [WORD.findall((t or "").translate(LOWER)) for _, t in rows]
-    units = [(rows[t][0], k, tuple(words[t][a - u.start[t] : b - u.start[t]]), t, a - u.start[t], b - u.start[t]) for t, k, a, b in zip(u.text.tolist(), u.number.tolist(), u.a.tolist(), u.b.tolist(), strict=True) if b - a >= substring_dedup.LEAST]
-    classes = collections.defaultdict(list)
-    for x in units:
-        classes[x[2]].append(x)
-    gone, reps = set(), {}
-    for w, xs in classes.items():
-        xs.sort(key=lambda x: x[:2])
-        gone |= {x[:2] for x in xs[1:]}
-        if lines := [x[:2] for x in xs if x[1] >= 0]:
-            reps[lines[0]] = frozenset(w[i : i + 5] for i in range(len(w) - 4))
-    gone |= {k for k, c in brute_components(reps).items() if k != c}
-    spans = collections.defaultdict(set)
-    for x in units:
-        if x[:2] in gone:
-            spans[x[0]] |= set(range(x[4], x[5]))
-    for i, (d, t) in enumerate(rows):
-        assert got[d]["n_removed_words"] == len(spans[d]) and got[d]["n_words"] == len(words[i])
-        left = WORD.findall(got[d]["text"].translate(LOWER))
-        assert left == [w for k, w in enumerate(words[i]) if k not in spans[d]]
+    for t, (d, _) in enumerate(rows):
+        assert got[d]["n_words"] == len(words[t]) and got[d]["n_removed_words"] == len(gone[t])
+        assert WORD.findall(got[d]["text"].translate(LOWER)) == [w for i, w in enumerate(words[t]) if i not in gone[t]]
+
+
+@pytest.mark.parametrize("short,line", [(48, 16), (2, 8)])
+def test_substring_dedup(docs, rows, monkeypatch, short, line):
+    monkeypatch.setattr(near_dedup, "SHORT", short)
+    check_substrings(rows, {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs, line=line).collect()}, line=line)
 
 
 def test_substring_dedup_whole_passages(spark, tmp_path):
     r = random.Random(5)
     fresh = (f"w{i}" for i in range(1 << 30))
     new = lambda k: [next(fresh) for _ in range(k)]
-    shared = [new(k) for k in (50, 51, 64, 90, 200)]
+    shared = [new(k) for k in (25, 26, 50, 90, 200)]
     texts = {None: new(30) + shared[0] + new(4), -3: [], 5: new(120)}
     for d in range(10, 50):
-        w = new(r.randint(60, 90))  # so much besides the passages that no two lines are near copies
+        w = new(r.randint(60, 90))
         for _ in range(r.randint(1, 3)):
-            w += r.choice(shared) + new(r.randint(60, 90))
+            w += r.choice(shared) + new(r.randint(10, 90))
         texts[d] = w
     ends = {r.choice(p) for p in shared}  # a passage has a line's end in some documents
     sep = lambda d, x: "\n" if d % 3 == 0 and x in ends else r.choice([" ", "  "])
-    df = spark.createDataFrame([(d, "".join((x.upper() if d == 12 else x) + sep(d or 0, x) for x in w)) for d, w in texts.items()], "doc_id long, text string")
-    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(d, "".join((x.upper() if d == 12 else x) + sep(d or 0, x) for x in w)) for d, w in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = {x["doc_id"]: x for x in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
-    seen = set()
-    for d in sorted(texts, key=lambda d: (d is not None, d)):
-        w, gone = texts[d], set()
-        for i in range(len(w) - 49):
-            if tuple(w[i : i + 50]) in seen:
-                gone |= set(range(i, i + 50))
-            seen.add(tuple(w[i : i + 50]))
-        assert got[d]["text"].lower().split() == [x for i, x in enumerate(w) if i not in gone] and got[d]["n_removed_words"] == len(gone)
-
-
-def test_substring_dedup_short_lines(spark, tmp_path):
-    lines = {k: " ".join(f"s{k}x{i}" for i in range(k)) for k in range(1, 9)}
-    rows = [(d, "\n".join([f"{d}a {d}b {d}c", *lines.values(), f"{d}d {d}e"])) for d in (4, 2, 9)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {x["doc_id"]: x["text"].split() for x in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
-    for d, t in rows:
-        gone = {w for k in range(5, 9) for w in lines[k].split()} if d != 2 else set()
-        assert got[d] == [w for w in t.split() if w not in gone]
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0))
+    check_substrings(rows, got)
+
+
+def test_substring_dedup_edited_lines(spark):
+    """Near copies of lines around the limit, in families, with large and negative identifiers."""
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(200)]
+    base = [[r.choice(vocab) for _ in range(k)] for k in (20, 40, 80)]
+    rows = []
+    for i in range(60):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append((r.choice([-1, 1]) * (2**62 - i * 977), " ".join(r.choice(vocab) for _ in range(5)) + "\n" + " ".join(w)))
+    rows.sort()
+    check_substrings(rows, {x["doc_id"]: x for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), passage=100).collect()}, passage=100)
+
+
+def test_substring_dedup_odd_rows(spark):
+    for t in (None, "", "  ", "\n \n", "one"):  # alone in its slice
+        df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+        assert [(x["n_removed_words"], x["text"]) for x in substring_dedup.substring_dedup(df).collect()] == [(0, t or "")]
+    many = "\n" * (1 << 20) + " ".join(f"m{i}" for i in range(40))
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (7, a + "\n" + b), (7, c), (None, c + "\n" + many), (None, b), (None, "lone " + many), (3, a), (3, a)]
+    got = collections.Counter((x["doc_id"], x["text"].strip().strip("\n")) for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    left = " ".join(f"m{i}" for i in range(40))
+    assert got[(1, a)] == 1 and got[(3, "")] == 2 and got[(7, "")] == 2  # b and c stand in rows without identifier, which come first
+    nulls = sorted(t for (d, t) in got.elements() if d is None)
+    assert b in nulls and sum(left in t for t in nulls) == 1 and any(t.startswith(c) for t in nulls) and any(t.startswith("lone") for t in nulls)
 
 
 def test_chat(spark):
