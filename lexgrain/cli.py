@@ -9,9 +9,10 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .engine import INDEX_FOLDER, Engine
+from .engine import INDEX_FOLDER, Engine, find_index
 from .errors import LexgrainError
 from .operators import matching, render
+from .operators.index import StoredIndex
 from .schema import CLI_MAX_RESULTS, SearchOptions
 from .streaming.changes import run_watcher
 
@@ -79,7 +80,12 @@ def _run(a: argparse.Namespace, spark: SparkSession, stdin, out, err) -> int:
         text = stdin.read()
         result = engine.search_text(spark.createDataFrame([("(stdin)", text)], "path string, text string"), a.pattern, o)
     else:
-        result = engine.search(a.pattern, a.path or ".", o, not a.no_index, a.fresh, warn)
+        path = a.path or "."
+        folder = None if a.no_index or a.fresh or a.archive else find_index(path)
+        if folder and engine.stale(os.path.dirname(folder)):
+            built = StoredIndex(spark, f"file://{os.path.abspath(folder)}/index", check=False).meta["created_at_us"] / 1e6
+            print(f"lexgrain: files changed since the index was built at {time.strftime('%Y-%m-%d %H:%M:%S', time.localtime(built))}; --fresh rebuilds it", file=err)
+        result = engine.search(a.pattern, path, o, not a.no_index, a.fresh, warn)
     _print(a, o, result, out)
     if o.max_results and not a.count and result.capped():
         print(f"lexgrain: output capped at {o.max_results} results (use -n 0 for all)", file=err)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from .operators.index import StoredIndex
 from .operators.matching import as_text, eligible, limited, matches
 from .plans.planner import QueryPlan, plan
 from .schema import SearchOptions
-from .sources.files import listing, read_files
+from .sources.files import list_files, listing, load_files, read_files
 from .streaming.state import WatcherState
 
 INDEX_FOLDER = ".lexgrain"
@@ -51,9 +52,10 @@ def plan_for(pattern: str, o: SearchOptions, strict: bool = True) -> QueryPlan:
     return plan(pattern, o.regex, o.ignore_case, dot_all=o.multiline is not None, strict=strict)
 
 
-def search(files: DataFrame, pattern: str, options: SearchOptions | None = None, index: StoredIndex | None = None, strict: bool = True) -> SearchResult:
+def search(files: DataFrame, pattern: str, options: SearchOptions | None = None, index: StoredIndex | None = None, strict: bool = True, load: Callable[[DataFrame], DataFrame] | None = None) -> SearchResult:
     """Searches files(file_id, path, ext, content or text); with an index, only its candidates are read further.
 
+    load: gives the content of those of files that the index and the filters let through; files needs none then.
     Filters come before the limit, and results are in (path, line_number) order where a limit holds."""
     o = (options or SearchOptions()).checked()
     p = plan_for(pattern, o, strict)
@@ -64,6 +66,7 @@ def search(files: DataFrame, pattern: str, options: SearchOptions | None = None,
         all_files = index.files.select("file_id") if ids is None else ids
         scope = files.join(index.files.select("file_id") if ids is None else ids, "file_id", "left_semi")
     scope = eligible(scope, o)
+    scope = load(scope) if load else scope
     scope = as_text(scope, o.include_binary or o.stream) if "text" not in scope.columns else scope
     found = matches(scope, p, o)
     return SearchResult(limited(found, o), found, scope, all_files.select("file_id"), lookup, o, p)
@@ -97,7 +100,7 @@ class Engine:
         return index_ops.build(read_files(self.spark, root, decompress), f"file://{os.path.abspath(folder)}/index")
 
     def update(self, root: str, decompress: bool = False) -> dict[str, int]:
-        return index_ops.update(read_files(self.spark, root, decompress), f"file://{os.path.abspath(os.path.join(root, INDEX_FOLDER))}/index")
+        return index_ops.update(list_files(self.spark, root), f"file://{os.path.abspath(os.path.join(root, INDEX_FOLDER))}/index", lambda listed: load_files(listed, root, decompress))
 
     def stale(self, root: str) -> bool:
         """Whether files changed since the index was built; a live watcher keeps it fresh."""
@@ -123,8 +126,8 @@ class Engine:
         if rel != "." and not o.path_prefix:
             o = replace(o, path_prefix=rel)
         known = index.files.select("file_id", "path")
-        now = read_files(self.spark, root, o.decompress, False, warn).drop("file_id").join(known, "path")
-        return search(now, pattern, o, index)
+        now = list_files(self.spark, root, warn=warn).drop("file_id").join(known, "path")
+        return search(now, pattern, o, index, load=lambda listed: load_files(listed, root, o.decompress))
 
     def search_text(self, texts: DataFrame, pattern: str, options: SearchOptions | None = None) -> SearchResult:
         """Searches a stream of texts(path, text): line ends are no part of lines, offsets are 0, type, binary and multiline options don't count."""

@@ -1,7 +1,9 @@
-"""Column functions over file contents; all stay in the JVM."""
+"""Column functions over file contents; all but `line_starts` stay in the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,22 @@ def lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[^\\n]*\\n|[^\\n]+"), F.lit(0))
 
 
-def bytes_before(text: Column, i: Column) -> Column:
-    """Bytes of text before its line number i, from 0."""
-    return F.when(i == 0, F.lit(0)).otherwise(F.octet_length(F.call_function("substring_index", text, F.lit("\n"), i)) + 1)
+def line_starts(text: Column, numbers: Column) -> Column:
+    """Array of the bytes of text before each line of the array numbers (from 0): one pass over the line ends of a batch."""
+
+    @F.arrow_udf("array<bigint>")
+    def starts(texts: pa.Array, lines_: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+        ends = np.append(np.flatnonzero(data[at[0] : at[-1]] == 10) + at[0], 0)
+        first = np.searchsorted(ends[:-1], at[:-1])  # each text's first line end
+        ask, n = lines_.flatten().to_numpy().astype(np.int64), lines_.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(len(texts)), n)
+        out = np.where(ask > 0, ends[np.minimum(first[of] + ask - 1, len(ends) - 1)] + 1 - at[of], 0)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(out, pa.int64()))
+
+    return starts(text, numbers)
 
 
 def trim_end(line: Column) -> Column:

@@ -5,19 +5,22 @@ table) names the version in use, so readers never see a half-written one."""
 
 from __future__ import annotations
 
+import hashlib
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..errors import IndexCorrupted, IndexMissing, TableMissing, UnsupportedVersion
 from ..functions.text import is_binary
-from ..functions.trigrams import blooms, postings
-from ..schema import DICTIONARY, FILES, MAX_FILE_BYTES, POSTINGS, VERSION
+from ..functions.trigrams import postings
+from ..schema import DICTIONARY, FILES, MAX_FILE_BYTES, POSTINGS, SOURCE, VERSION
 
 SKIPPED = "path string, mtime_ns long, size_bytes long"
 TABLES = {"files": FILES, "postings": POSTINGS, "dictionary": DICTIONARY, "skipped": SKIPPED}
-META = "version_major int, version_minor int, created_at_us long, file_count long, posting_count long, trigram_count long, source_bytes long, skipped_binary long, skipped_size long"
+META = "version_major int, version_minor int, created_at_us long, file_count long, posting_count long, trigram_count long, source_bytes long, skipped_binary long, skipped_size long, checksum string"
 
 
 def file_system(spark: SparkSession, path: str):
@@ -76,21 +79,38 @@ def skipped(source: DataFrame) -> DataFrame:
     return source.where((F.col("size_bytes") > MAX_FILE_BYTES) | is_binary(F.col("content"))).select("path", "mtime_ns", "size_bytes")
 
 
+#: How postings lie on disk: runs of a trigram and small steps of identifiers.
+ENCODING = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#file_id": "false"}
+#: Rows of a posting file about.
+POSTED = 4_000_000
+
+
 def _write(spark: SparkSession, root: str, version: int, files: DataFrame, posted: DataFrame, left_out: DataFrame, counts: tuple[int, int]) -> None:
     at = f"{root}/v={version}"
     left_out.write.parquet(f"{at}/skipped")
+    # extracted once, then dealt
+    posted.select(*POSTINGS.names).write.option("compression", "zstd").parquet(f"{at}/raw")
+    raw = spark.read.schema(POSTINGS).parquet(f"{at}/raw")
+    total = raw.count()
     # frequent trigrams are split by file, and each file holds a narrow range, so a lookup skips most of them
-    posted.select(*POSTINGS.names).repartitionByRange("trigram", "file_id").sortWithinPartitions("trigram", "file_id").write.parquet(f"{at}/postings")
+    dealt = raw.repartitionByRange(max(1, -(-total // POSTED)), "trigram", "file_id") if total > POSTED else raw.coalesce(1)
+    dealt.sortWithinPartitions("trigram", "file_id").write.options(**ENCODING).parquet(f"{at}/postings")
     posted = spark.read.schema(POSTINGS).parquet(f"{at}/postings")
-    doc_frequency(posted).repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(f"{at}/dictionary")
-    per_file = posted.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    files.drop("trigram_count").join(per_file, "file_id", "left").withColumn("trigram_count", F.coalesce("n", F.lit(0))).select(*FILES.names).write.parquet(f"{at}/files")
+    doc_frequency(posted).repartitionByRange(max(1, -(-total // (16 * POSTED))), "trigram").sortWithinPartitions("trigram").write.options(**ENCODING).parquet(f"{at}/dictionary")
+    fs, p = file_system(spark, f"{at}/raw")
+    per_file = raw.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    files.drop("trigram_count").join(per_file, "file_id", "left").withColumn("trigram_count", F.coalesce("n", F.lit(0))).select(*FILES.names).write.option("compression", "zstd").parquet(f"{at}/files")
+    fs.delete(p, True)
     totals = spark.read.schema(FILES).parquet(f"{at}/files").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
-    row = (*VERSION, time.time_ns() // 1000, totals["n"], posted.count(), spark.read.parquet(f"{at}/dictionary").count(), totals["b"], *counts)
-    spark.createDataFrame([row], META).coalesce(1).write.parquet(f"{at}/meta")
+    row = (*VERSION, time.time_ns() // 1000, totals["n"], total, spark.read.parquet(f"{at}/dictionary").count(), totals["b"], *counts)
+    spark.createDataFrame([(*row, _checksum(row))], META).coalesce(1).write.parquet(f"{at}/meta")
     _publish(spark, root, version)
 
 
+def _checksum(row: tuple) -> str:
+    return hashlib.md5(repr(row).encode()).hexdigest()
+
+
 def build(source: DataFrame, root: str) -> dict:
     """Indexes source(file_id, path, ext, mtime_ns, size_bytes, content) and returns the build's statistics."""
     spark = source.sparkSession
@@ -114,6 +134,8 @@ class StoredIndex:
             raise IndexCorrupted(f"{root}: no metadata")
         if self.meta["version_major"] != VERSION[0] or self.meta["version_minor"] < VERSION[1]:
             raise UnsupportedVersion(f"{root}: {self.meta['version_major']}.{self.meta['version_minor']}")
+        if _checksum(tuple(self.meta)[:-1]) != self.meta["checksum"]:
+            raise IndexCorrupted(f"{root}: metadata and their checksum differ")
         self.files, self.postings, self.dictionary, self.skipped = (self._open(t, s) for t, s in TABLES.items())
         if check:
             self.check()
@@ -123,7 +145,8 @@ class StoredIndex:
         fs, p = file_system(self.spark, path)
         if not fs.exists(p):
             raise TableMissing(path)
-        return self.spark.read.schema(schema).parquet(path)
+        # a page that was damaged fails the read
+        return self.spark.read.schema(schema).option("parquet.page.verify-checksum.enabled", "true").parquet(path)
 
     def check(self) -> None:
         """Row counts against the metadata; they come from the files' footers."""
@@ -136,9 +159,6 @@ class StoredIndex:
         """doc_frequency of a query's trigrams that occur (as many rows as the query has trigrams at most)."""
         return {r["trigram"]: r["doc_frequency"] for r in self.dictionary.where(F.col("trigram").isin(trigrams)).collect()} if trigrams else {}
 
-    def blooms(self, source: DataFrame) -> DataFrame:
-        return blooms(source)
-
 
 def diff(current: DataFrame, stored: DataFrame) -> DataFrame:
     """path, change ("added", "modified", "deleted") between current(path, mtime_ns, size_bytes) and stored files."""
@@ -154,28 +174,34 @@ def is_stale(current: DataFrame, index: StoredIndex) -> bool:
     return last is not None and last // 1000 > index.meta["created_at_us"]
 
 
-def update(source: DataFrame, root: str) -> dict[str, int]:
-    """Brings the index to source: rows of unchanged files are kept, deleted ones dropped, changed and new ones extracted. Identifiers are the source's own."""
+def update(source: DataFrame, root: str, load: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
+    """Brings the index to source: rows of unchanged files are kept, deleted ones dropped, changed and new ones extracted. Identifiers are the source's own.
+
+    load: gives the content of those of source that are added or modified; source is only listed then."""
     spark = source.sparkSession
     if not exists(spark, root):
-        build(source, root)
+        build(load(source) if load else source, root)
         return {"added": StoredIndex(spark, root).meta["file_count"], "modified": 0, "deleted": 0}
     old = StoredIndex(spark, root)
     known = old.files.select("path", "mtime_ns", "size_bytes").unionByName(old.skipped)
-    changed = diff(source, known)
+    changed = diff(source, known).persist(StorageLevel.DISK_ONLY)
+    if changed.isEmpty():
+        return {"added": 0, "modified": 0, "deleted": 0}
     now = source.join(changed.where(F.col("change") != "deleted").select("path"), "path", "left_semi")
+    now = (load(now) if load else now.select(*SOURCE.names)).persist(StorageLevel.DISK_ONLY)
     left_out, fresh = skipped(now), usable(now)
     seen = changed.join(left_out.select("path"), "path", "left_anti").join(old.skipped.select("path", F.lit(True).alias("was")), "path", "left")
     seen = seen.where(~((F.col("change") == "deleted") & F.col("was").isNotNull()))
     counts = {"added": 0, "modified": 0, "deleted": 0} | {r["change"]: r["count"] for r in seen.groupBy("change").count().collect()}
-    if not any(counts.values()) and not changed.limit(1).count():
-        return counts
     kept = old.files.join(changed, "path", "left_anti")
     top = old.files.agg(F.max("file_id")).first()[0] or 0
     reused = old.postings.join(kept.select("file_id"), "file_id", "left_semi")
-    if source.join(kept.select("file_id", F.col("path").alias("p")), "file_id").where(F.col("path") != F.col("p")).limit(1).count():
+    if not source.join(kept.select("file_id", F.col("path").alias("p")), "file_id").where(F.col("path") != F.col("p")).isEmpty():
         fresh = fresh.withColumn("file_id", F.col("file_id") + F.lit(top + 1))  # the source numbered its files anew
     files = kept.unionByName(file_table(fresh))
-    stats = build_stats(source).first()
-    _write(spark, root, old.version + 1, files, reused.unionByName(postings(fresh)), old.skipped.join(changed, "path", "left_anti").unionByName(left_out), (stats["files_skipped_binary"], stats["files_skipped_size"]))
+    out = old.skipped.join(changed, "path", "left_anti").unionByName(left_out)
+    large = out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("size_bytes") > MAX_FILE_BYTES).cast("long")), F.lit(0)).alias("large")).first()
+    _write(spark, root, old.version + 1, files, reused.unionByName(postings(fresh)), out, (large["n"] - large["large"], large["large"]))
+    now.unpersist()
+    changed.unpersist()
     return counts

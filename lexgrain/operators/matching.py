@@ -1,7 +1,8 @@
 """Lines, matches, context and limits.
 
 A file's lines stay one array in its row; a filter over that array finds the matching
-ones, and only those are exploded, so neither positions nor context need a shuffle."""
+ones.  What is told of them is made within the row, and only that is exploded, so neither
+positions nor context need a shuffle and no text is copied for each of its lines."""
 
 from __future__ import annotations
 
@@ -9,17 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import bytes_before, is_binary, lines, trim_end, under
+from ..functions.text import is_binary, line_starts, lines, trim_end, under
 from ..plans.planner import QueryPlan
 from ..schema import SearchOptions
 
 
 def all_lines(files: DataFrame) -> DataFrame:
     """file_id, path, line_number, line_content, byte_offset of every line of files(file_id, path, text)."""
-    split = lines(F.coalesce("text", F.lit("")))
-    rows = files.select("file_id", "path", "text", F.posexplode(split).alias("i", "raw"))
-    before = bytes_before(F.col("text"), F.col("i"))
-    return rows.select("file_id", "path", (F.col("i") + 1).cast("int").alias("line_number"), trim_end(F.col("raw")).alias("line_content"), before.cast("long").alias("byte_offset"))
+    rows = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text")).withColumn("units", lines(F.col("text")))
+    numbers = F.when(F.size("units") > 0, F.sequence(F.lit(0), F.size("units") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("starts", line_starts(F.col("text"), numbers))
+    rows = rows.select("file_id", "path", F.posexplode(F.arrays_zip("units", "starts")).alias("i", "l"))
+    return rows.select("file_id", "path", (F.col("i") + 1).cast("int").alias("line_number"), trim_end(F.col("l.units")).alias("line_content"), F.col("l.starts").alias("byte_offset"))
 
 
 def eligible(files: DataFrame, o: SearchOptions) -> DataFrame:
@@ -50,7 +52,9 @@ def _place(line: Column, plan: QueryPlan) -> Column:
 
 
 def matches(files: DataFrame, plan: QueryPlan, o: SearchOptions) -> DataFrame:
-    """path, line_number, col, line_content, byte_offset, context_before, context_after, is_binary: the first match of each matching line of files(path, text)."""
+    """path, line_number, col, line_content, byte_offset, context_before, context_after, is_binary: the first match of each matching line of files(path, text).
+
+    A search that only counts has no contents and no offsets; of each file, as many matches as the limit has are enough."""
     for part in plan.contains:
         files = files.where(F.contains("text", F.lit(part)))
     whole = F.col("text")
@@ -62,26 +66,37 @@ def matches(files: DataFrame, plan: QueryPlan, o: SearchOptions) -> DataFrame:
         units = lines(whole)
     rows = files.select("path", "text", units.alias("units"))
     numbered = F.transform("units", lambda x, i: F.struct(i.alias("i"), x.alias("raw")))
-    found = rows.select("path", "text", "units", F.explode(F.filter(numbered, lambda s: _hit(s["raw"], plan))).alias("m"))
-    raw, i = F.col("m.raw"), F.col("m.i")
-    lead = F.octet_length(F.substring(raw, F.lit(1), _place(raw, plan) - 1))
-    before = bytes_before(F.col("text"), i)
+    hits = F.filter(numbered, lambda s: _hit(s["raw"], plan))
+    if o.max_results and not o.count_only:  # no file needs more; those after them in it are never shown
+        hits = F.slice(hits, 1, o.max_results)
+    rows = rows.withColumn("hits", hits)
     show = (lambda c: c) if o.stream else trim_end
     n = F.lit(o.context)
     none = F.array().cast("array<string>")
-    first = F.greatest(i - n, F.lit(0))
-    ahead = F.transform(F.slice("units", first + 1, i - first), show) if o.context else none
-    behind = F.transform(F.slice("units", i + 2, n), show) if o.context else none
-    number = i + 1
-    if o.multiline == "document":  # lines up to the match, and its byte within the last
+
+    def told(s: Column) -> Column:
+        raw, i = s["raw"], s["i"]
         head = F.substring(raw, F.lit(1), _place(raw, plan) - 1)
-        number, offset = F.size(F.split(head, "\n")), lead
-        lead = F.octet_length(F.substring_index(head, "\n", -1))
-        before = offset - lead
+        first = F.greatest(i - n, F.lit(0))
+        ahead = F.transform(F.slice("units", first + 1, i - first), show) if o.context else none
+        behind = F.transform(F.slice("units", i + 2, n), show) if o.context else none
+        number, lead = i + 1, F.octet_length(head)
+        if o.multiline == "document":  # lines up to the match, and its byte within the last
+            number, lead = F.size(F.split(head, "\n")), F.octet_length(F.substring_index(head, "\n", -1))
+        return F.struct(
+            number.cast("int").alias("line_number"), lead.alias("lead"), F.octet_length(head).alias("within"), (F.lit("") if o.count_only else show(raw)).alias("line_content"),
+            ahead.alias("context_before"), behind.alias("context_after"),
+        )
+
+    placed = not (o.stream or o.count_only or o.multiline == "document")
+    # a text without a match stays in the JVM
+    starts = line_starts(F.when(F.size("hits") > 0, F.col("text")), F.transform("hits", lambda s: s["i"])) if placed else F.transform("hits", lambda s: F.lit(0).cast("long"))
+    found = rows.select("path", F.transform("hits", told).alias("hits"), starts.alias("starts")).select("path", F.explode(F.arrays_zip("hits", "starts")).alias("m"))
+    m = F.col("m.hits")
     return found.select(
-        "path", number.cast("int").alias("line_number"), (lead + 1).cast("int").alias("col"), F.lit("").alias("line_content") if o.count_only else show(raw).alias("line_content"),
-        (F.lit(0) if o.stream else before + lead).cast("long").alias("byte_offset"), ahead.alias("context_before"), behind.alias("context_after"), F.lit(False).alias("is_binary"),
-    )
+        "path", m["line_number"].alias("line_number"), (m["lead"] + 1).cast("int").alias("col"), m["line_content"].alias("line_content"),
+        (F.lit(0) if o.stream or o.count_only else F.col("m.starts") + m["within"]).cast("long").alias("byte_offset"), m["context_before"].alias("context_before"), m["context_after"].alias("context_after"), F.lit(False).alias("is_binary"),
+    )
 
 
 def limited(found: DataFrame, o: SearchOptions) -> DataFrame:

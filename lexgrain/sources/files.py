@@ -23,9 +23,9 @@ PER_TASK = 256
 
 
 def decompressed(data: bytes, ext: str) -> bytes:
-    """The first stream of a compressed file; other extensions as they are."""
+    """The contents of a compressed file, all streams of it; other extensions as they are."""
     if ext == "gz":
-        return gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+        return gzip.decompress(data)
     if ext == "bz2":
         return bz2.decompress(data)
     if ext == "xz":
@@ -33,7 +33,7 @@ def decompressed(data: bytes, ext: str) -> bytes:
     if ext == "zst":
         import zstandard
 
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read()
+        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
     return data
 
 
@@ -81,14 +81,25 @@ def expand(files: DataFrame, decompress: bool = False, archives: bool = False) -
     return files.select(*SOURCE.names).mapInArrow(work, SOURCE)
 
 
-def read_files(spark: SparkSession, root: str, decompress: bool = False, archives: bool = False, warn=None, paths: list[str] | None = None) -> DataFrame:
-    """SOURCE rows of the files under root, a folder that all executors see; identifiers count paths in sorted order.
+LISTED = "file_id long, path string, ext string, mtime_ns long, size_bytes long"
+
+
+def list_files(spark: SparkSession, root: str, archives: bool = False, warn=None, paths: list[str] | None = None) -> DataFrame:
+    """LISTED rows of the files under root, none of which is opened; identifiers count paths in sorted order. paths: only these, relative to root."""
+    only = None if paths is None else set(paths)
+    found = [f for f in walk(root, warn, archives) if only is None or f.path in only]
+    if not found:
+        return spark.createDataFrame([], LISTED)
+    columns = {"file_id": pa.array(range(len(found)), pa.int64()), "path": pa.array([f.path for f in found], pa.string()), "ext": pa.array([f.ext for f in found], pa.string())}
+    return spark.createDataFrame(pa.table(columns | {"mtime_ns": pa.array([f.mtime_ns for f in found], pa.int64()), "size_bytes": pa.array([f.size for f in found], pa.int64())}))
+
 
-    Files above the size limit are listed without content, except compressed ones that are to be read decompressed.
-    A file that can't be read, or is broken inside, is left out.  paths: only these, relative to root."""
-    found = [f for f in walk(root, warn, archives) if paths is None or f.path in set(paths)]
+def load_files(listed: DataFrame, root: str, decompress: bool = False, archives: bool = False, files: int | None = None) -> DataFrame:
+    """SOURCE rows of listed files (LISTED) under root, a folder that all executors see; only these are opened.
+
+    Files above the size limit come without content, except compressed ones that are to be read decompressed.
+    A file that can't be read, or is broken inside, is left out.  files: how many there are about."""
     base = os.path.dirname(os.path.abspath(root)) if os.path.isfile(root) else os.path.abspath(root)
-    listed = pa.table({"file_id": pa.array(range(len(found)), pa.int64()), "path": pa.array([f.path for f in found], pa.string()), "ext": pa.array([f.ext for f in found], pa.string()), "mtime_ns": pa.array([f.mtime_ns for f in found], pa.int64()), "size_bytes": pa.array([f.size for f in found], pa.int64())})
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,8 +113,14 @@ def read_files(spark: SparkSession, root: str, decompress: bool = False, archive
                         continue
                 yield from _expanded(file_id, path, ext, mtime, size, data, decompress, archives)
 
-    rows = spark.createDataFrame(listed) if len(found) else spark.createDataFrame([], "file_id long, path string, ext string, mtime_ns long, size_bytes long")
-    return rows.repartition(max(1, -(-len(found) // PER_TASK))).mapInArrow(load, SOURCE)
+    n = listed.count() if files is None else files
+    cores = listed.sparkSession.sparkContext.defaultParallelism
+    return listed.select(*SOURCE.names[:-1]).repartition(max(1, min(n, cores), -(-n // PER_TASK))).mapInArrow(load, SOURCE)
+
+
+def read_files(spark: SparkSession, root: str, decompress: bool = False, archives: bool = False, warn=None, paths: list[str] | None = None) -> DataFrame:
+    """SOURCE rows of all files under root, or of those of paths."""
+    return load_files(list_files(spark, root, archives, warn, paths), root, decompress, archives)
 
 
 def listing(spark: SparkSession, root: str, warn=None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import signal
 import threading
 import time
 from collections.abc import Callable
@@ -16,7 +17,7 @@ from ..operators import index as index_ops
 from ..operators.matching import eligible, matches
 from ..plans.planner import QueryPlan
 from ..schema import SearchOptions
-from ..sources.files import read_files
+from ..sources.files import list_files, load_files, read_files
 from ..sources.walk import walk
 from .state import IdleTracker, WatcherState
 
@@ -110,10 +111,12 @@ class Watcher:
 
 
 def run_watcher(spark: SparkSession, root: str, index_root: str, watcher: Watcher | None = None, rounds: int | None = None, decompress: bool = False) -> IdleTracker:
-    """Builds the index, then updates it after each batch of changes until the watcher stops (or for some rounds)."""
+    """Builds the index, then updates it after each batch of changes until the watcher stops, also by SIGTERM (or for some rounds)."""
     watcher, tracker = watcher or Watcher(root), IdleTracker()
     state = WatcherState.new(os.path.abspath(root))
     state.write(index_root)
+    main = threading.current_thread() is threading.main_thread()
+    before = signal.signal(signal.SIGTERM, lambda *_: watcher.stop()) if main else None
     try:
         index_ops.build(read_files(spark, root, decompress), f"{index_root}/index")
         while watcher.is_running and rounds != 0:
@@ -123,10 +126,12 @@ def run_watcher(spark: SparkSession, root: str, index_root: str, watcher: Watche
                 tracker.record_change()
                 state.status, state.last_event_at = "indexing", int(time.time())
                 state.write(index_root)
-                index_ops.update(read_files(spark, root, decompress), f"{index_root}/index")
+                index_ops.update(list_files(spark, root), f"{index_root}/index", lambda listed: load_files(listed, root, decompress))
             state.status = "idle"
             state.write(index_root)
     finally:
         watcher.stop()
         WatcherState.remove(index_root)
+        if main:
+            signal.signal(signal.SIGTERM, before)
     return tracker

@@ -19,7 +19,7 @@ from lexgrain.operators import index as index_ops
 from lexgrain.operators import matching, render
 from lexgrain.operators.index import META, StoredIndex
 from lexgrain.schema import SOURCE, SearchOptions
-from lexgrain.sources.files import expand, read_files
+from lexgrain.sources.files import expand, list_files, load_files, read_files
 from lexgrain.streaming import changes
 from lexgrain.streaming.state import WatcherState
 
@@ -71,6 +71,18 @@ def test_sizes_and_repeats(spark):
     assert r.stats().first()["total_matches"] == 100 and r.capped()
 
 
+def test_large_file(spark):
+    line = "a line like any other with one pattern in it.\n"
+    big = source(spark, {"big.txt": line * (10 * 2**20 // len(line))})
+    r = search(big, "pattern", SearchOptions(max_results=10))
+    assert r.found.count() == 10 and r.stats().first()["files_verified"] == 1
+    n = 10 * 2**20 // len(line)
+    last = search(big, "pattern").found.orderBy("line_number", ascending=False).first()
+    assert (last["line_number"], last["byte_offset"]) == (n, (n - 1) * len(line) + line.index("pattern"))
+    lines = matching.all_lines(search(big, "a").verified).orderBy("line_number", ascending=False).first()
+    assert (lines["line_number"], lines["byte_offset"]) == (n, (n - 1) * len(line))
+
+
 def test_context(spark):
     text = {"f.txt": "match\nmatch\nmatch\nother\nother\nmatch"}
     rows = sorted(search(source(spark, text), "match", SearchOptions(context=1)).found.collect(), key=lambda r: r["line_number"])
@@ -158,6 +170,44 @@ def test_update_equals_rebuild(spark, tmp_path):
     assert index_ops.update(source(spark, new), f"file://{tmp_path}/fresh")["added"] == len(new)
 
 
+def test_only_candidates_and_changes_are_loaded(spark, tmp_path):
+    d = tmp_path / "w"
+    d.mkdir()
+    for i in range(40):
+        (d / f"{i}.txt").write_text(f"text number {i}\nneedle\n" if i % 20 == 0 else f"text number {i}\n")
+    loaded = []
+
+    def load(listed):
+        loaded.append(sorted(r["path"] for r in listed.collect()))
+        return load_files(listed, str(d))
+
+    root = f"file://{tmp_path}/i"
+    index_ops.build(load_files(list_files(spark, str(d)), str(d)), root)
+    files = list_files(spark, str(d))
+    r = search(files, "needle", SearchOptions(), StoredIndex(spark, root), load=load)
+    assert r.found.count() == 2 and loaded == [["0.txt", "20.txt"]]
+    assert search(files, "needle", SearchOptions(path_prefix="20.txt"), StoredIndex(spark, root), load=load).found.count() == 1 and loaded[1:] == [["20.txt"]]
+    assert search(files, "no such text", SearchOptions(), StoredIndex(spark, root), load=load).found.count() == 0 and loaded[2:] == [[]]
+    (d / "3.txt").write_text("needle now\n")
+    os.utime(d / "3.txt", (4e9, 4e9))
+    (d / "new.txt").write_text("needle too\n")
+    os.remove(d / "5.txt")
+    assert index_ops.update(list_files(spark, str(d)), root, load) == {"added": 1, "modified": 1, "deleted": 1} and loaded[3:] == [["3.txt", "new.txt"]]
+    assert sorted(x["path"] for x in search(list_files(spark, str(d)).drop("file_id").join(StoredIndex(spark, root).files.select("file_id", "path"), "path"), "needle", SearchOptions(), StoredIndex(spark, root), load=load).found.collect()) == ["0.txt", "20.txt", "3.txt", "new.txt"]
+
+
+def test_damaged_postings(spark, tmp_path):
+    root = tmp_path / "i"
+    index_ops.build(source(spark, TEXTS), f"file://{root}")
+    part = next(p for p in (root / "v=1" / "postings").iterdir() if p.name.startswith("part-"))
+    data = bytearray(part.read_bytes())
+    data[len(data) // 3] ^= 1
+    part.write_bytes(bytes(data))
+    (part.parent / f".{part.name}.crc").unlink()  # the file system's own checksum is not what finds it
+    with pytest.raises(Exception):  # noqa: B017  Spark's own error
+        StoredIndex(spark, f"file://{root}").postings.collect()
+
+
 def test_integrity(spark, tmp_path):
     root = str(tmp_path / "i")
     with pytest.raises(IndexMissing):
@@ -165,7 +215,7 @@ def test_integrity(spark, tmp_path):
     index_ops.build(source(spark, TEXTS), f"file://{root}")
     meta = StoredIndex(spark, f"file://{root}").meta.asDict()
     folder = f"file://{root}/v=1/meta"
-    for change, error in (({"version_major": 99}, UnsupportedVersion), ({"posting_count": 1}, IndexCorrupted)):
+    for change, error in (({"version_major": 99}, UnsupportedVersion), ({"posting_count": 1}, IndexCorrupted), ({"created_at_us": 1}, IndexCorrupted)):
         spark.createDataFrame([tuple((meta | change).values())], META).write.mode("overwrite").parquet(folder)
         with pytest.raises(error):
             StoredIndex(spark, f"file://{root}")
@@ -286,5 +336,26 @@ def test_run_watcher(spark, tmp_path):
     assert StoredIndex(spark, f"file://{folder}/index").meta["file_count"] == 2 and WatcherState.read(folder) is None
 
 
+def test_watcher_ends_on_sigterm(spark, tmp_path):
+    import signal
+    import threading
+
+    (tmp_path / "a.txt").write_text("needle\n")
+    folder = str(tmp_path / ".lexgrain")
+    before = signal.getsignal(signal.SIGTERM)
+    threading.Timer(3.0, lambda: os.kill(os.getpid(), signal.SIGTERM)).start()
+    changes.run_watcher(spark, str(tmp_path), folder, changes.Watcher(str(tmp_path), poll_s=0.02))
+    assert WatcherState.read(folder) is None and signal.getsignal(signal.SIGTERM) == before
+
+
+def test_stale_warning(spark, folder):
+    assert run(spark, "--build", str(folder))[0] == 0
+    assert run(spark, "needle", str(folder), "-c") == (0, "3\n", "")
+    (folder / "late.txt").write_text("other\n")
+    os.utime(folder / "late.txt", (4e9, 4e9))
+    assert "files changed since the index was built at 20" in run(spark, "needle", str(folder), "-c")[2]
+    assert run(spark, "needle", str(folder), "-c", "--fresh")[2] == ""
+
+
 def test_read_only_paths(spark, folder):
     assert read_files(spark, str(folder), paths=["_u.txt"]).count() == 1
