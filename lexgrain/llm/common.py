@@ -19,10 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share. Without one only a local session runs, in a folder of our own, as in tests."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lexgrain-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -41,5 +43,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+#: Bits of a set of marks; its table has a 64th as many rows at most.
+MARK_BITS = 1 << 26
+
+
+def marked(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """rows with a boolean `maybe`: true wherever the long column `on` is in keys, and false for most others.
+
+    The marks are one bit a key, MARK_BITS // 64 rows at most whatever the input, so they are broadcast; with far more keys than bits all rows are true."""
+    at = F.pmod(F.xxhash64(on), F.lit(MARK_BITS))
+    bits = keys.select(F.shiftright(at, 6).alias("mark_word"), F.expr("1L").alias("one"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = table(bits.groupBy("mark_word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("mark_bits")), "marks")
+    here = rows.withColumn("mark_word", F.shiftright(at, 6)).join(F.broadcast(words), "mark_word", "left")
+    bit = F.call_function("shiftright", F.col("mark_bits"), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return here.withColumn("maybe", F.coalesce(bit == 1, F.lit(False))).drop("mark_word", "mark_bits")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

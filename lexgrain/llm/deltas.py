@@ -1,10 +1,10 @@
 """Links within long inverted lists, without comparing all pairs of a list.
 
-Lists get a pivot p: each member knows the most central member that it shares a list with,
-and a list takes the one that most of its members know, so the lists of one family share
-their pivot and are one.  Of every other member x only the difference D(x) = x xor p is
-looked at.  With s = |x xor y| the limit P % asks for (100 + P) s <= (100 - P) (|x| + |y|),
-and s = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  So
+Lists get a pivot p: each member knows the foremost member that it shares a list with, and a
+list joins the family of the one that most of its members know.  A family's pivot is the
+member whose sketch values most others have.  Of every other member x only the difference
+D(x) = x xor p is looked at.  With s = |x xor y| the limit P % asks for
+(100 + P) s <= (100 - P) (|x| + |y|), and s = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  So
 
 * members whose difference is small are linked to the pivot, and need no link among
   themselves;
@@ -16,9 +16,10 @@ and s = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  So
   whose places don't, or whose sizes differ too much, are not made.
 
 Nothing is estimated here, so no link is lost.  Where more than CROWDED pairs of a list of
-one element are left, or it has more than WIDE members, that list is taken on in the next
-round, with the member that differs least as its pivot; such a list lacks the pivots before,
-so each round's lists are smaller and the rounds end.
+one element are left, or it has more than WIDE members, its sets are compared in memory by
+`connect`, which gives a link less than members.  A list of more than SETS_BYTES is taken on
+in another round, led by the member that differs least; such a list lacks the pivots before,
+so the rounds end.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from .shingles import mix
 CROWDED, WIDE = 1200, 4096
 #: Bytes of sets behind one bucket of differences.
 BUCKET_BYTES = 16 << 20
+#: Sets that are compared in memory.
+SETS_BYTES = 48 << 20
 
 MET = "kind int, value long, a long, b long"
 LINK, PAIR, LISTED = 0, 1, 2
@@ -153,40 +156,134 @@ def _pairs(x: dict[str, np.ndarray], percent: int, k: int, m: int) -> list[tuple
     return [(PAIR, np.zeros(len(both), np.int64), both[:, 0].copy(), both[:, 1].copy()), (LISTED, x["key"][on].view(np.int64), x["id"][on], x["far"][on].astype(np.int64))]
 
 
+def connect(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of indices that connect all pairs of sets that reach percent: a leader is compared with all sets, and all outside the largest component lead."""
+    m = len(sets)
+    n = np.array([len(x) for x in sets], np.int64)
+    owner, flat = np.repeat(np.arange(m), n), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    head = np.append(True, flat[1:] != flat[:-1])
+    kinds, start = flat[head], np.flatnonzero(head)
+    stop = np.append(start[1:], len(flat))
+    size = stop - start
+    at = [np.searchsorted(kinds, x) for x in sets]
+    central = np.array([int(size[x].sum()) for x in at])
+    part, links, led = np.arange(m), [], np.zeros(m, bool)
+    while True:
+        largest = np.bincount(part).argmax()
+        waiting = np.flatnonzero(~led & (part != largest)) if led.any() else np.arange(m)
+        if not len(waiting):
+            return links
+        i = int(waiting[central[waiting].argmax()])
+        led[i] = True
+        shared = at[i][size[at[i]] > 1]
+        both = np.bincount(np.concatenate([owner[start[e] : stop[e]] for e in shared.tolist()]), minlength=m) if len(shared) else np.zeros(m, np.int64)
+        for j in np.flatnonzero(100 * both >= percent * (n[i] + n - both)).tolist():
+            if part[j] != part[i] and both[j]:
+                links.append((i, j))
+                part[part == part[j]] = part[i]
+
+
+def _connected(percent: int):
+    """Links (a, b) of rows (value, id, set) sorted by value."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        at = None
+
+        def out() -> pa.RecordBatch:
+            links = connect([x for _, x in held], percent) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([held[k[c]][0] for k in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for value, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if value != at and held:
+                    yield out()
+                    held.clear()
+                at = value
+                held.append((i, np.frombuffer(x.as_py(), np.uint64)))
+        yield out()
+
+    return work
+
+
 def _families(lists: DataFrame) -> DataFrame:
-    """value, id, pivot: lists(value, id, rank) with a pivot each, of high rank; lists of one pivot are one."""
+    """value, id: the members of lists(value, id, rank) by family, which has the name of a member of high rank."""
     central = F.struct("rank", (-F.col("id")).alias("back"), F.col("id").alias("head"))
     heads = lists.groupBy("value").agg(F.max(central).alias("h"))
     known = lists.join(heads, "value").groupBy("id").agg(F.max("h").alias("h"))
     votes = lists.join(known, "id").groupBy("value", "h").agg(F.count(F.lit(1)).alias("votes"))
-    chosen = votes.groupBy("value").agg(F.max(F.struct("votes", "h")).alias("v")).select("value", F.col("v.h.head").alias("pivot"))
-    return lists.join(chosen, "value").where("id <> pivot").select(F.col("pivot").alias("value"), "id", "pivot").distinct()
+    chosen = votes.groupBy("value").agg(F.max(F.struct("votes", "h")).alias("v")).select("value", F.col("v.h.head").alias("head"))
+    named = lists.join(chosen, "value")
+    return named.select(F.col("head").alias("value"), "id").unionByName(named.select(F.col("head").alias("value"), F.col("head").alias("id"))).distinct()
+
+
+def _with_pivots(families: DataFrame, sketches: DataFrame, buckets: int) -> DataFrame:
+    """value, id, pivot: each family(value, id) is led by the member whose values of sketches(id, sk) most of its members have."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value, id_, values = b.column(0).to_numpy(), b.column(1).to_numpy(), [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
+            n = np.array([len(x) for x in values], np.int64)
+            if len(n):
+                value, id_ = np.repeat(value, n), np.repeat(id_, n)
+                key = mix(np.concatenate(values).astype(np.uint64) + mix(value.view(np.uint64)))
+                yield batch([(k, pack(c)) for k, c in deal((key % np.uint64(buckets)).astype(np.int64), {"key": key, "value": value, "id": id_})])
+
+    def summed(x: dict[str, np.ndarray], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((x["id"], x["value"]))
+        value, id_ = x["value"][order], x["id"][order]
+        new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (id_[1:] != id_[:-1])))
+        return value[new], id_[new], np.add.reduceat(times[order], new)
+
+    def count(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        x = joined(list(parts))
+        _, inverse, times = np.unique(x["key"], return_inverse=True, return_counts=True)
+        value, id_, rank = summed(x, times[inverse])
+        yield batch([(k, pack(c)) for k, c in deal((mix(id_.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), {"value": value, "id": id_, "rank": rank})])
+
+    def add(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        x = joined(list(parts))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in summed(x, x["rank"])], names=["value", "id", "rank"])
+
+    sent = families.join(sketches, "id").select("value", "id", "sk").mapInArrow(send, ROWS)
+    ranks = by_bucket(by_bucket(sent, buckets, count, ROWS), buckets, add, "value long, id long, rank long")
+    best = ranks.groupBy("value").agg(F.max(F.struct("rank", (-F.col("id")).alias("back"), "id")).alias("h")).select("value", F.col("h.id").alias("pivot"))
+    return families.join(best, "value").where("id <> pivot")
 
 
-def _nearest(lists: DataFrame) -> DataFrame:
-    """value, id, pivot: lists(value, id, far), each led by the member that differs least; of lists with the same members one is left."""
-    heads = lists.groupBy("value").agg(F.min(F.struct("far", "id")).alias("h"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("members"))
-    one = heads.groupBy("mark", "members", F.col("h.id").alias("pivot")).agg(F.min("value").alias("value"))
-    return lists.join(one, "value").where("id <> pivot").select("value", "id", "pivot").distinct()
+def _crowded(lists: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of lists(value, id, far): value, id, set of those to compare in memory; value, id, pivot of those that are too large. Of lists with the same members one is left."""
+    sized = lists.join(sets.select("id", F.length("set").cast("long").alias("size")), "id")
+    heads = sized.groupBy("value").agg(F.min(F.struct("far", "id")).alias("h"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("members"))
+    one = table(heads.groupBy("mark", "members", "bytes").agg(F.min(F.struct("value", F.col("h.id").alias("pivot"))).alias("v")).select("v.value", "v.pivot", "bytes"), "crowded")
+    chosen = lists.join(one, "value")
+    small = chosen.where(F.col("bytes") <= SETS_BYTES).select("value", "id").join(sets, "id").select("value", "id", "set")
+    return small, chosen.where((F.col("bytes") > SETS_BYTES) & (F.col("id") != F.col("pivot"))).select("value", "id", "pivot")
 
 
-def long_list_pairs(lists: DataFrame, sets: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) with pivots, and pairs (a, b) to verify, which together connect what the pairs within lists(value, id, rank) connect.
+def long_list_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and pairs (a, b) to verify, which together connect what the pairs within lists(value, id, rank) connect.
 
-    rank: how central a member is; sets(id, set) has every member."""
+    rank: about how central a member is; sets(id, set) and sketches(id, sk) have every member."""
     percent, links, pairs = round(limit * 100), [], []
-    spark = lists.sparkSession
-    lists = _families(table(lists, "long-lists"))
+    n = partitions(lists.sparkSession)
+    lists = _with_pivots(table(_families(table(lists, "long-lists")), "families"), sketches, n)
     while True:
         lists = table(lists, "pivots")
         volume = lists.join(sets.select("id", F.length("set").cast("long").alias("size")), "id").agg(F.sum("size")).first()[0] or 0
-        buckets = max(partitions(spark), -(-volume // BUCKET_BYTES))
+        buckets = max(n, -(-volume // BUCKET_BYTES))
         both = lists.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("other")), "pivot")
         sent = both.select("value", "id", "pivot", "set", "other").mapInArrow(_differences(percent, buckets), ROWS)
         out = table(by_bucket(sent, buckets, _shared(percent), MET), "pivot-links")
         links.append(out.where(F.col("kind") == LINK).select("a", "b"))
         pairs.append(out.where(F.col("kind") == PAIR).select("a", "b"))
-        again = out.where(F.col("kind") == LISTED)
+        again = out.where(F.col("kind") == LISTED).select("value", F.col("a").alias("id"), F.col("b").alias("far"))
         if again.isEmpty():
-            return reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, pairs).distinct()
-        lists = _nearest(again.select("value", F.col("a").alias("id"), F.col("b").alias("far")))
+            break
+        small, lists = _crowded(again, sets)
+        links.append(table(small.repartition("value").sortWithinPartitions("value").mapInArrow(_connected(percent), "a long, b long"), "crowded-links"))
+        if lists.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, pairs).distinct()

@@ -220,8 +220,8 @@ def link_lists(listed: DataFrame, limit: float, sets_of: Callable[[DataFrame], D
     links = compared(found, sets, limit)
     if long.isEmpty():
         return links
-    near, pairs = long_list_pairs(long, sets, limit)
-    sketch = listed.join(long.select("id").distinct(), "id").select("id", "sk").dropDuplicates(["id"])
+    sketch = table(listed.join(long.select("id").distinct(), "id").select("id", "sk").dropDuplicates(["id"]), "near-long-sketches")
+    near, pairs = long_list_pairs(long, sets, sketch, limit)
     both = pairs.join(sketch.select(F.col("id").alias("a"), "sk"), "a").join(sketch.select(F.col("id").alias("b"), F.col("sk").alias("other")), "b")
     likely = both.select("a", "b", "sk", "other").mapInArrow(_filter_pairs(limit), "a long, b long")
     return links.unionByName(near).unionByName(compared(likely, sets, limit))

@@ -3,7 +3,7 @@
 Paragraphs are the lines of LEAST words or more, and every stretch of `passage` words.
 
 Lines get BANDS bands of ROWS_A_BAND minima over their word shingles: two of Jaccard
-similarity 0.8 share a band with a probability of 0.9992.  Equal lines, by 128 bits of
+similarity 0.8 share a band with a probability of 0.9997.  Equal lines, by 128 bits of
 digest, are one class; classes that share a band are joined (short lists in memory, long
 ones by their differences from a pivot, as near_dedup does), verified by exact Jaccard over
 full sets of shingles, and clustered by connected components, of which the first line stays.
@@ -11,7 +11,8 @@ full sets of shingles, and clustered by connected components, of which the first
 Stretches overlap, so they get one minimum: that of the GRAM-word grams in them, leftmost of
 ties, which equal stretches have at the same place.  Minima that occur once can't have equal
 stretches and are dropped; stretches at the others are joined and compared by digest of all
-their words, and all but the first of equal ones go.  So repeated passages of `passage` words
+their words, and all but the first of equal ones go; those within a line that goes anyway are not
+compared.  So repeated passages of `passage` words
 or more go whole, wherever they begin and end, also within longer lines and across lines.
 
 "First" is by (doc_id, hash of the text, place).  Words are compared with A-Z lower-cased; a
@@ -38,16 +39,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions, table
+from .common import WORD, marked, partitions, table
 from .components import components
 from .near_dedup import link_lists, packed_sketch
 from .packed import ROWS, batch, by_bucket, deal, joined, pack, unpack
 from .packing import slices
 from .shingles import _ODD, mix, word_hashes
 
-LEAST, BANDS, ROWS_A_BAND = 16, 10, 3
+LEAST, BANDS, ROWS_A_BAND = 16, 8, 2
 #: Words of the grams whose minimum stands for a stretch.
-GRAM = 10
+GRAM = 16
 #: Text worked on at once, and text behind one bucket.
 AT_ONCE, BUCKET_BYTES = 3 << 20, 8 << 20
 #: Order of null identifiers.
@@ -57,7 +58,7 @@ _FACTOR = [mix(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(BA
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Kinds of rows that meetings yield.
 GONE, MEMBER, AGAIN = 0, 1, 2
-MET = "kind int, doc long, row long, value long, unit int, blob binary"
+MET = "kind int, bucket int, blob binary, doc long, row long, value long, unit int"
 
 
 @dataclass
@@ -133,8 +134,13 @@ def _bands(u: Lines, which: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _spread(row: int, buckets: int) -> int:
-    return int(mix(np.array([row], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+def _spread(row: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that gathers what is known of a row."""
+    return (mix(row.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _to_rows(columns: dict[str, np.ndarray], buckets: int, by: str = "row") -> list[tuple[int, bytes]]:
+    return [(k, pack(c)) for k, c in deal(_spread(columns[by], buckets), columns)]
 
 
 def _first_and_later(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +151,6 @@ def _first_and_later(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, row: np.nda
     return order[head], order[(doc[order] != doc[first]) | (row[order] != row[first]) | (at[order] != at[first])]
 
 
-def _by_row(doc: np.ndarray, row: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
-    for r, c in deal(row, {"doc": doc, **columns}):
-        for d, x in deal(c.pop("doc"), c):
-            yield d, r, x
-
-
 def _gram_rows(u: Lines, row: np.ndarray, size: int, buckets: int) -> list[tuple[int, bytes]]:
     """Minima of a slice's stretches by bucket, each once, and to its rows those that repeat in it."""
     _, anchor, text, grams = _windows(u.words, u.start, size)
@@ -158,8 +158,7 @@ def _gram_rows(u: Lines, row: np.ndarray, size: int, buckets: int) -> list[tuple
     g, of = grams[anchor], row[text[one]]
     kind, first, inv, n = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
     here = n[inv] > 1
-    rows = [(_spread(r, buckets), pack({"again": np.array([r]), "gram": c["gram"]})) for r, c in deal(of[here], {"gram": g[here]})]
-    return rows + [(k, pack(c)) for k, c in deal((kind % np.uint64(buckets)).astype(np.int64), {"gram": kind, "row": of[first], "many": n > 1})]
+    return _to_rows({"row": of[here], "again": g[here]}, buckets) + [(k, pack(c)) for k, c in deal((kind % np.uint64(buckets)).astype(np.int64), {"gram": kind, "row": of[first], "many": n > 1})]
 
 
 def _send(docs: DataFrame, buckets: int, n: int, passage: int, line: int) -> DataFrame:
@@ -175,7 +174,7 @@ def _send(docs: DataFrame, buckets: int, n: int, passage: int, line: int) -> Dat
                 doc, row, unit = docs_[u.text[able]], rows_[u.text[able]], u.number[able].astype(np.int32)
                 # of equal lines in this slice only the first is sent
                 one, later = _first_and_later(h, h2, doc, row, unit)
-                out = [(_spread(r, buckets), pack({"known": np.array([d, r]), "unit": c["unit"]})) for d, r, c in _by_row(doc[later], row[later], {"unit": unit[later]})]
+                out = _to_rows({"doc": doc[later], "row": row[later], "gone": unit[later]}, buckets)
                 out += _gram_rows(u, rows_, passage, buckets)
                 cols = {"h": h, "h2": h2, "doc": doc, "row": row, "unit": unit}
                 out += [(k, pack(c)) for k, c in deal((h[one] % np.uint64(buckets)).astype(np.int64), {c: v[one] for c, v in cols.items()})]
@@ -190,115 +189,146 @@ def _send(docs: DataFrame, buckets: int, n: int, passage: int, line: int) -> Dat
     return docs.mapInArrow(work, ROWS)
 
 
-def _met(kind: int, doc, row, value=None, unit=None, blob=None) -> pa.RecordBatch:
-    n = len(row)
-    arrays = [pa.array(np.full(n, kind, np.int32)), *(pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((doc, pa.int64()), (row, pa.int64()), (value, pa.int64()), (unit, pa.int32()), (blob, pa.binary())))]
-    return pa.RecordBatch.from_arrays(arrays, names=["kind", "doc", "row", "value", "unit", "blob"])
-
-
-def _meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Lines that go (GONE, by row), members of bands that more than one class shares (MEMBER), repeated minima by row (AGAIN)."""
-    gone: list[tuple[int, int, bytes]] = []
-    exact, bands, again, asked = [], [], [], []
-    for p in parts:
-        if "known" in p:
-            gone.append((*p["known"].tolist(), pack({"unit": p["unit"]})))
-        elif "again" in p:
-            again.append((int(p["again"][0]), p["gram"].tobytes()))
-        else:
-            (asked if "gram" in p else bands if "key" in p else exact).append(p)
-    if exact:
-        x = joined(exact)
-        _, later = _first_and_later(x["h"], x["h2"], x["doc"], x["row"], x["unit"])
-        gone += [(d, r, pack(c)) for d, r, c in _by_row(x["doc"][later], x["row"][later], {"unit": x["unit"][later]})]
-    if gone:
-        yield _met(GONE, *([g[i] for g in gone] for i in (0, 1)), blob=[g[2] for g in gone])
-    if asked:
-        x = joined(asked)
-        order = np.argsort(x["gram"], kind="stable")
-        g = x["gram"][order]
-        twice = np.zeros(len(g), bool)
-        twice[1:] |= g[1:] == g[:-1]
-        twice[:-1] |= g[1:] == g[:-1]
-        keep = order[twice & ~x["many"][order]]
-        again += [(r, c["gram"].tobytes()) for r, c in deal(x["row"][keep], {"gram": x["gram"][keep]})]
-    if again:
-        yield _met(AGAIN, None, [r for r, _ in again], blob=[x for _, x in again])
-    if bands:
-        x = joined(bands)
-        wide = np.zeros((len(x["h"]), 8), np.uint8)
-        wide[:, :5] = x["key"].reshape(-1, 5)
-        key = wide.view(np.uint64).ravel()
-        order = np.lexsort((x["unit"], x["row"], x["doc"], x["h"], key))
-        key, h, doc, row, unit = (v[order] for v in (key, x["h"], x["doc"], x["row"], x["unit"]))
-        new_key = np.append(True, key[1:] != key[:-1])
-        new = new_key | np.append(True, h[1:] != h[:-1])
-        classes = np.bincount(np.cumsum(new_key) - 1, new)
-        keep = new & (classes[np.cumsum(new_key) - 1] > 1)  # the first line of each class
-        yield _met(MEMBER, doc[keep], row[keep], key[keep].view(np.int64), unit[keep])
-
-
-def _stretches(doc: np.ndarray, row: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
-    """By row the stretches of words, from a to b, of windows that begin at `at`."""
+def _met(kind: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = {"kind": pa.int32(), "bucket": pa.int32(), "blob": pa.binary(), "doc": pa.int64(), "row": pa.int64(), "value": pa.int64(), "unit": pa.int32()}
+    columns["kind"] = np.full(n, kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
+
+def _packed(kind: int, blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    if blobs:
+        yield _met(kind, bucket=[k for k, _ in blobs], blob=[x for _, x in blobs])
+
+
+def _meet(buckets: int):
+    """Lines that go (GONE, by row, packed), members of bands that more than one class shares (MEMBER), repeated minima (AGAIN, by row, packed)."""
+
+    def meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        exact, bands, gone, again, asked = [], [], [], [], []
+        for p in parts:
+            (gone if "gone" in p else again if "again" in p else asked if "gram" in p else bands if "key" in p else exact).append(p)
+        if exact:
+            x = joined(exact)
+            _, later = _first_and_later(x["h"], x["h2"], x["doc"], x["row"], x["unit"])
+            gone.append({"doc": x["doc"][later], "row": x["row"][later], "gone": x["unit"][later]})
+        if gone:
+            yield from _packed(GONE, _to_rows(joined(gone), buckets))
+        if asked:
+            x = joined(asked)
+            order = np.argsort(x["gram"], kind="stable")
+            g = x["gram"][order]
+            twice = np.zeros(len(g), bool)
+            twice[1:] |= g[1:] == g[:-1]
+            twice[:-1] |= g[1:] == g[:-1]
+            keep = order[twice & ~x["many"][order]]
+            again.append({"row": x["row"][keep], "again": x["gram"][keep]})
+        if again:
+            yield from _packed(AGAIN, _to_rows(joined(again), buckets))
+        if bands:
+            yield _members(joined(bands))
+
+    return meet
+
+
+def _members(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+    wide = np.zeros((len(x["h"]), 8), np.uint8)
+    wide[:, :5] = x["key"].reshape(-1, 5)
+    key = wide.view(np.uint64).ravel()
+    order = np.lexsort((x["unit"], x["row"], x["doc"], x["h"], key))
+    key, h, doc, row, unit = (v[order] for v in (key, x["h"], x["doc"], x["row"], x["unit"]))
+    new_key = np.append(True, key[1:] != key[:-1])
+    new = new_key | np.append(True, h[1:] != h[:-1])
+    classes = np.bincount(np.cumsum(new_key) - 1, new)
+    keep = new & (classes[np.cumsum(new_key) - 1] > 1)  # the first line of each class
+    return _met(MEMBER, doc=doc[keep], row=row[keep], value=key[keep].view(np.int64), unit=unit[keep])
+
+
+def _grams_of_rows(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """row, blob: the repeated minima of a row, each once."""
+    x = joined(list(parts))
+    out = [(r, np.unique(c["again"]).tobytes()) for r, c in deal(x["row"], {"again": x["again"]})]
+    yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.binary())], names=["row", "blob"])
+
+
+def _removals_of_rows(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """doc, row, blob: what goes of a row, lines by number or stretches."""
+    x = joined(list(parts))
+    out = [(d, r, pack(y)) for r, c in deal(x["row"], {k: v for k, v in x.items() if k != "row"}) for d, y in deal(c.pop("doc"), c)]
+    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc", "row", "blob"])
+
+
+def _stretches(doc: np.ndarray, row: np.ndarray, at: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """The stretches of words of each row, from a to b, of windows that begin at `at`."""
     order = np.lexsort((at, doc, row))
     doc, row, at = doc[order], row[order], at[order].astype(np.int64)
     apart = np.append(True, (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(at) > 1))[: len(at)]
     new = np.flatnonzero(apart)
-    return _by_row(doc[new], row[new], {"a": at[new], "b": at[np.append(new[1:], len(at))[: len(new)] - 1] + size})
+    return {"doc": doc[new], "row": row[new], "a": at[new], "b": at[np.append(new[1:], len(at))[: len(new)] - 1] + size}
 
 
-SECOND = "bucket int, blob binary, id long, doc long, row long, unit int, n long, sk binary, set binary"
+PLACED = "bucket int, blob binary, doc long, row long, id long, unit int, n long, sk binary, set binary"
 
 
 def _second(docs: DataFrame, asks: DataFrame, buckets: int, size: int, n: int) -> DataFrame:
-    """Of docs(doc, row, text): packed windows at the repeated minima (bucket, blob), and sets of the wanted lines (id ...); asks(row, blobs, lines) has both."""
+    """Of docs(doc, row, text): packed windows at the repeated minima, and sets of the wanted lines; asks(row, blobs, gone, lines) has both, and the lines that go."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, AT_ONCE, 2):
-                docs_, rows_, blobs, wanted = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3).to_pylist(), part.column(4).to_pylist()
+                docs_, rows_ = (part.column(c).to_numpy() for c in (0, 1))
+                blobs, gone, wanted = (part.column(c).to_pylist() for c in (3, 4, 5))
                 u = lines_of(part.column(2))
+                line_at = np.searchsorted(u.text, np.arange(part.num_rows))
+                going = np.zeros(len(u.text), bool)
+                for t, some in enumerate(gone):
+                    for x in some:
+                        going[line_at[t] + unpack(x)["gone"]] = True
                 at, anchor, text, g = _windows(u.words, u.start, size)
                 keep, cut = np.zeros(len(at), bool), np.searchsorted(text, np.arange(part.num_rows + 1))
                 for t, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     if y > x and blobs[t]:
                         keep[x:y] = np.isin(g[anchor[x:y]], np.frombuffer(b"".join(blobs[t]), np.uint64))
+                line = np.repeat(np.arange(len(u.a)), u.b - u.a)
+                if len(at):
+                    keep &= ~(going[line[at]] & (line[at] == line[at + size - 1]))
                 at, text = at[keep], text[keep]
                 h, h2 = _digests(u.words, at, at + size), _digests(u.words, at, at + size, 1)
                 doc, row, place = docs_[text], rows_[text], (at - u.start[text]).astype(np.int32)
                 one, later = _first_and_later(h, h2, doc, row, place)
-                out = [(_spread(r, buckets), pack({"known": np.array([d, r]), **c})) for d, r, c in _stretches(doc[later], row[later], place[later], size)]
+                out = _to_rows(_stretches(doc[later], row[later], place[later], size), buckets)
                 cols = {"h": h[one], "h2": h2[one], "doc": doc[one], "row": row[one], "at": place[one]}
                 out += [(k, pack(c)) for k, c in deal((h[one] % np.uint64(buckets)).astype(np.int64), cols)]
-                s, sets = _shingles(u.words, n), []
-                line_at = np.searchsorted(u.text, np.arange(part.num_rows))
+                s = _shingles(u.words, n)
                 for t, some in enumerate(wanted):
                     for x in some:
                         i = int(line_at[t]) + x["unit"]
                         if i < len(u.text) and u.text[i] == t and u.b[i] - u.a[i] >= n:
                             v = np.unique(s[u.a[i] : u.b[i] - n + 1])
-                            sets.append((x["id"], int(docs_[t]), int(rows_[t]), x["unit"], len(v), packed_sketch(v), v.tobytes()))
-                k, m = len(out), len(sets)
-                own = [pa.concat_arrays([pa.array([x[i] for x in out], t), pa.nulls(m, t)]) for i, t in enumerate((pa.int32(), pa.binary()))]
-                theirs = [pa.concat_arrays([pa.nulls(k, t), pa.array([x[i] for x in sets], t)]) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([*own, *theirs], names=["bucket", "blob", "id", "doc", "row", "unit", "n", "sk", "set"])
+                            out.append((x["id"] % buckets, pack({"line": np.array([docs_[t], rows_[t], x["id"], x["unit"]]), "set": v})))
+                yield batch(out)
+
+    return docs.join(asks, "row").select("doc", "row", "text", "blobs", "gone", "lines").mapInArrow(work, ROWS)
 
-    return docs.join(asks, "row").select("doc", "row", "text", "blobs", "lines").mapInArrow(work, SECOND)
 
+def _meet_windows(size: int, buckets: int):
+    """Stretches that go, by row and packed, and the wanted lines with their sets as they came."""
 
-def _meet_windows(size: int):
     def meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        out, sent = [], []
+        gone, sent, sets = [], [], []
         for p in parts:
-            if "known" in p:
-                out.append((*p["known"].tolist(), pack({"a": p["a"], "b": p["b"]})))
+            if "line" in p:
+                d, r, i, k = p["line"].tolist()
+                sets.append((None, None, d, r, i, k, len(p["set"]), packed_sketch(p["set"]), p["set"].tobytes()))
             else:
-                sent.append(p)
+                (gone if "a" in p else sent).append(p)
         if sent:
             x = joined(sent)
             _, later = _first_and_later(x["h"], x["h2"], x["doc"], x["row"], x["at"])
-            out += [(d, r, pack(c)) for d, r, c in _stretches(x["doc"][later], x["row"][later], x["at"][later], size)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["doc", "row", "blob"])
+            gone.append(_stretches(x["doc"][later], x["row"][later], x["at"][later], size))
+        rows = [(k, x, *[None] * 7) for k, x in _to_rows(joined(gone), buckets)] if gone else []
+        kinds = [pa.int32(), pa.binary(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows + sets], t) for c, t in enumerate(kinds)], names=["bucket", "blob", "doc", "row", "id", "unit", "n", "sk", "set"])
 
     return meet
 
@@ -319,7 +349,7 @@ def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
                     if blobs:
                         mark, s = np.zeros(int(total[t]) + 1, np.int32), int(u.start[t])
                         for x in map(unpack, blobs):
-                            a, z = (x["a"], x["b"]) if "a" in x else (u.a[line_at[t] + x["unit"]] - s, u.b[line_at[t] + x["unit"]] - s)
+                            a, z = (x["a"], x["b"]) if "a" in x else (u.a[line_at[t] + x["gone"]] - s, u.b[line_at[t] + x["gone"]] - s)
                             np.add.at(mark, a, 1)
                             np.add.at(mark, z, -1)
                         gone_ = np.cumsum(mark)[:-1] > 0
@@ -340,12 +370,15 @@ def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lines, pa.int64()), pa.array(total, pa.int64()), *[pa.array(c, pa.int64()) for c in rows[:3]], pa.array(rows[3], pa.string())], names=["doc_id", "n_paragraphs", "n_words", "n_removed_words", "n_spans", "n_removed_chars", "text"])
 
     held = gone.groupBy("doc", "row").agg(F.collect_list("blob").alias("blobs"))
-    return docs.join(held, ["doc", "row"], "left").select("doc_id", "text", "blobs").mapInArrow(work, "doc_id long, n_paragraphs long, n_words long, n_removed_words long, n_spans long, n_removed_chars long, text string")
+    parted = marked(docs, gone.select("row"), "row")  # rows that lose nothing stay where they are
+    whole = parted.where(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("blobs"))
+    touched = parted.where("maybe").join(held, ["doc", "row"], "left").select("doc_id", "text", "blobs")
+    return whole.unionByName(touched).mapInArrow(work, "doc_id long, n_paragraphs long, n_words long, n_removed_words long, n_spans long, n_removed_chars long, text string")
 
 
 def _pack_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        blobs = [pack({"unit": np.array(x, np.int32)}) for x in b.column(2).to_pylist()]
+        blobs = [pack({"gone": np.array(x, np.int32)}) for x in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["doc", "row", "blob"])
 
 
@@ -362,7 +395,7 @@ def _near_lines(members: DataFrame, wanted: DataFrame, sets: DataFrame, limit: f
     return later.groupBy("place.doc", "place.row").agg(F.collect_list("place.unit").alias("units")).mapInArrow(_pack_units, "doc long, row long, blob binary")
 
 
-def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage: int = 25, line: int = LEAST) -> DataFrame:
+def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage: int = 32, line: int = LEAST) -> DataFrame:
     """doc_id, n_paragraphs (lines), n_words, n_removed_words, n_spans, n_removed_chars, text (what is left) of every row.
 
     passage: repeated passages of so many words or more go whole; line: words of the shortest line that is compared."""
@@ -375,15 +408,21 @@ def substring_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8, passage
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
     read = rows.select("doc", "row", "text")
-    met = table(by_bucket(_send(read, buckets, words, passage, line), buckets, _meet, MET), "units")
-    members = met.where(F.col("kind") == MEMBER).select("value", "row", "unit")
+    met = table(by_bucket(_send(read, buckets, words, passage, line), buckets, _meet(buckets), MET), "units")
+    kind = lambda k: met.where(F.col("kind") == k)
+    members = kind(MEMBER).select("value", "row", "unit")
     wanted = table(members.select("row", "unit").distinct().withColumn("id", F.monotonically_increasing_id()), "unit-ids")
-    asked = met.where(F.col("kind") == AGAIN).select("row", "blob", F.lit(None).cast("struct<unit:int,id:bigint>").alias("line"))
-    asks = asked.unionByName(wanted.select("row", F.lit(None).cast("binary").alias("blob"), F.struct("unit", "id").alias("line")))
-    asks = asks.groupBy("row").agg(F.collect_list("blob").alias("blobs"), F.collect_list("line").alias("lines"))
-    second = table(_second(read, asks, buckets, passage, words), "unit-sets")
-    windows = by_bucket(second.where("bucket is not null").select("bucket", "blob"), buckets, _meet_windows(passage), "doc long, row long, blob binary")
-    sets = table(second.where("id is not null").drop("bucket", "blob").dropDuplicates(["id"]), "unit-places")
+    grams = by_bucket(kind(AGAIN).select("bucket", "blob"), buckets, _grams_of_rows, "row long, blob binary")
+    gone = table(by_bucket(kind(GONE).select("bucket", "blob"), buckets, _removals_of_rows, "doc long, row long, blob binary"), "unit-gone")
+    ask = lambda df, **c: df.select("row", *[c.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("blob", "binary"), ("gone", "binary"), ("line", "struct<unit:int,id:bigint>"))])
+    asks = ask(grams, blob=F.col("blob")).unionByName(ask(wanted, line=F.struct("unit", "id"))).unionByName(ask(gone, gone=F.col("blob")))
+    asks = asks.groupBy("row").agg(*[F.collect_list(c).alias(a) for c, a in (("blob", "blobs"), ("gone", "gone"), ("line", "lines"))])
+    # what a row loses with its lines is no reason to read it again
+    asks = table(asks.where((F.size("blobs") > 0) | (F.size("lines") > 0)), "unit-asks")
+    again = marked(read, asks.select("row"), "row").where("maybe").drop("maybe")
+    placed = table(by_bucket(_second(again, asks, buckets, passage, words), buckets, _meet_windows(passage, buckets), PLACED), "unit-places")
+    sets = placed.where("id is not null").drop("bucket", "blob").dropDuplicates(["id"])
     near = _near_lines(members, wanted, sets, limit)
-    gone = met.where(F.col("kind") == GONE).select("doc", "row", "blob").unionByName(windows).unionByName(near)
+    stretches = by_bucket(placed.where("id is null").select("bucket", "blob"), buckets, _removals_of_rows, "doc long, row long, blob binary")
+    gone = table(gone.unionByName(stretches).unionByName(near), "unit-removals")
     return _cut(rows, gone)
