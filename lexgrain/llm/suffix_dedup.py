@@ -11,7 +11,7 @@ gram's windows are a stretch of starts around it.  Four steps:
    repeat within a task are settled there, and only the first is sent.
 3. Buckets sort suffixes by their leading gram, then the windows of equal grams by
    multikey quicksort, eight bytes a key, tied windows on to the next key.  Windows
-   still tied are equal; all but the first in (doc_id, start) order are removed.
+   still tied are equal; all but the first in (doc_id, hash of the text, start) order are removed.
    Splitters are whole grams, so neighbours across a boundary differ in their gram.
 4. Each document gets its removed stretches and is cut.
 
@@ -20,9 +20,9 @@ dealt one by one, by two independent 64-bit hashes, which then decide equality.
 
 Results for odd input: a null or empty text has no bytes and loses none; texts shorter
 than a window lose none; an empty table gives an empty result; rows that share an
-identifier count as readings of one document, and the same start in them as one; a null
-identifier is before all others; very long texts go in overlapping pieces; extra columns
-are ignored.
+identifier are documents of their own, in order of a hash of their text, and rows that repeat
+both are one and cut alike; null identifiers are before all others; very long texts go in
+overlapping pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import marked, partitions, table
 from .packed import ROWS, batch, by_bucket, deal, joined, pack
 from .shingles import mix
 
@@ -136,13 +136,14 @@ def _grams_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, GRAM)[at]).view(f"S{GRAM}").ravel()
 
 
-def _ids(b: pa.RecordBatch) -> np.ndarray:
-    return b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+def _spread(row: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that gathers what is known of a row."""
+    return (mix(row.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _spans(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Removed stretches of bytes by document, of stretches of windows."""
-    return deal(doc, {"a": first.astype(np.int64), "b": last.astype(np.int64) + WINDOW})
+def _spans(doc: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Removed stretches of bytes, of stretches of windows, packed by row."""
+    return [(k, pack(c)) for k, c in deal(_spread(row, buckets), {"doc": doc, "row": row, "a": first.astype(np.int64), "b": last.astype(np.int64) + WINDOW})]
 
 
 def _stretches(keep: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,41 +158,45 @@ def _stretches(keep: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.
 
 
 def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, blob (hashes h of the document's anchors whose gram occurs elsewhere too)."""
+    """row, blob (hashes h of the anchors of docs(row, text) whose gram occurs elsewhere too)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = _ids(b)
+            ids = b.column(0).to_numpy()
             for c in chunks(b.column(1)):
                 grams, _ = c.hashes()
                 anchor, _, _, text = c.runs(grams)
-                h, doc = grams[anchor], ids[c.rows[text]] if len(text) else np.zeros(0, np.int64)
+                h, row = grams[anchor], ids[c.rows[text]] if len(text) else np.zeros(0, np.int64)
                 kind, at, inv, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                rows = [(k, pack(cols)) for k, cols in deal((kind % np.uint64(buckets)).astype(np.int64), {"h": kind, "doc": doc[at], "many": n > 1})]
+                rows = [(k, pack(cols)) for k, cols in deal((kind % np.uint64(buckets)).astype(np.int64), {"h": kind, "row": row[at], "many": n > 1})]
                 here = n[inv] > 1  # known to repeat without asking
-                rows += [(int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(buckets)), pack({"known": np.array([d]), "h": cols["h"]})) for d, cols in deal(doc[here], {"h": h[here]})]
+                rows += [(k, pack(cols)) for k, cols in deal(_spread(row[here], buckets), {"row": row[here], "known": h[here]})]
                 yield batch(rows)
 
     def meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        asked, out = [], []
+        asked, known = [], []
         for p in parts:
-            if "known" in p:
-                out.append((int(p["known"][0]), p["h"].tobytes()))
-            else:
-                asked.append(p)
+            (known if "known" in p else asked).append(p)
         if asked:
             a = joined(asked)
             order = np.argsort(a["h"], kind="stable")
-            h, doc, many = a["h"][order], a["doc"][order], a["many"][order]
+            h, row, many = a["h"][order], a["row"][order], a["many"][order]
             same = h[1:] == h[:-1]
             twice = np.zeros(len(h), bool)
             twice[1:] |= same
             twice[:-1] |= same
             keep = twice & ~many
-            out += [(d, cols["h"].tobytes()) for d, cols in deal(doc[keep], {"h": h[keep]})]
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["id", "blob"])
+            known.append({"row": row[keep], "known": h[keep]})
+        if known:
+            x = joined(known)
+            yield batch([(k, pack(cols)) for k, cols in deal(_spread(x["row"], buckets), x)])
 
-    return by_bucket(docs.mapInArrow(send, ROWS), buckets, meet, "id long, blob binary")
+    def gather(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        x = joined(list(parts))
+        out = [(r, np.unique(cols["known"]).tobytes()) for r, cols in deal(x["row"], {"known": x["known"]})]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([y for _, y in out], pa.binary())], names=["row", "blob"])
+
+    return by_bucket(by_bucket(docs.mapInArrow(send, ROWS), buckets, meet, ROWS), buckets, gather, "row long, blob binary")
 
 
 def splitters(docs: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, set[bytes]]:
@@ -209,7 +214,7 @@ def splitters(docs: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, se
                 yield pa.RecordBatch.from_arrays([pa.array(_grams_at(c.data, anchor[drawn]).tolist(), pa.binary())], names=["g"])
 
     # of a small share, a quarter of the documents is read, and more of each
-    part = docs.where(F.pmod(F.xxhash64(F.lit("grams"), "doc_id"), F.lit(4)) == 0) if share < 0.25 else docs
+    part = docs.where(F.pmod(F.xxhash64(F.lit("grams"), "row"), F.lit(4)) == 0) if share < 0.25 else docs
     got = np.array(sorted(r["g"] for r in part.mapInArrow(take, "g binary").collect()), f"S{GRAM}")
     if not len(got):
         return got, set()
@@ -219,13 +224,13 @@ def splitters(docs: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, se
 
 
 def suffixes(docs: DataFrame, cuts: np.ndarray, heavy: set[bytes], buckets: int) -> DataFrame:
-    """Packed suffixes of docs(doc_id, text, blobs) at repeated anchors, by bucket; and what a task has settled itself."""
+    """Packed suffixes of docs(doc, text, row, blob) at repeated anchors, by bucket; and what a task has settled itself."""
     shared = docs.sparkSession.sparkContext.broadcast((cuts, np.array(sorted(heavy), f"S{GRAM}")))  # SAMPLE * buckets grams at most
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, heavy = shared.value
         for b in batches:
-            ids, blobs = _ids(b), b.column(2).to_pylist()
+            ids, keys, blobs = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()
             for c in chunks(b.column(1)):
                 grams, whole = c.hashes()
                 anchor, first, last, text = c.runs(grams)
@@ -233,43 +238,44 @@ def suffixes(docs: DataFrame, cuts: np.ndarray, heavy: set[bytes], buckets: int)
                 cut = np.searchsorted(text, np.arange(len(c.rows) + 1))
                 for t, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     if e > s:
-                        keep[s:e] = np.isin(grams[anchor[s:e]], np.frombuffer(b"".join(blobs[c.rows[t]]), np.uint64))
+                        keep[s:e] = np.isin(grams[anchor[s:e]], np.frombuffer(blobs[c.rows[t]], np.uint64))
                 anchor, first, last, text = anchor[keep], first[keep], last[keep], text[keep]
                 if not len(anchor):
                     continue
                 n = last - first + 1
                 run = np.repeat(np.arange(len(n)), n)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[run]
-                doc = ids[c.rows[text]]
+                doc, key = ids[c.rows[text]], keys[c.rows[text]]
                 place = at - c.starts[text][run] + c.base
                 # of equal windows in this chunk all but the first are settled
                 h = whole[at]
                 same = np.zeros(len(at), bool)
                 in_order = bool((np.diff(ids[c.rows]) > 0).all())
-                order = np.argsort(h) if in_order else np.lexsort((place, doc[run], h))
+                order = np.argsort(h) if in_order else np.lexsort((place, key[run], doc[run], h))
                 head = np.append(True, h[order[1:]] != h[order[:-1]])
                 heads = np.flatnonzero(head)
                 if len(heads) < len(order):
                     group = np.cumsum(head) - 1
                     # windows stand in (document, start) order if the documents do
                     least = (np.minimum.reduceat(order, heads) if in_order else order[heads])[group]
-                    more = np.flatnonzero(order != least)
-                    same[order[more]] = _same_ends(c.data, at[order[more]], at[least[more]])
+                    of = key[run]
+                    more = np.flatnonzero((of[order] != of[least]) | (place[order] != place[least]))  # a repeated row isn't later than itself
+                    same[order[more]] = _same(c.data, at[order[more]], at[least[more]])
                 rows = []
                 s, e = _stretches(same, at, run)
-                rows += [(int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(buckets)), pack({"doc": np.array([d]), **cols})) for d, cols in _spans(doc[run[s]], place[s], place[e])]
+                rows += _spans(doc[run[s]], key[run[s]], place[s], place[e], buckets)
                 s, e = _stretches(~same, at, run)
                 leads = _grams_at(c.data, anchor[run[s]])
                 hot = np.isin(leads, heavy)
                 if hot.any():
                     _, other = c.hashes(1)
                     w = np.concatenate([np.arange(i, j + 1) for i, j in zip(s[hot].tolist(), e[hot].tolist(), strict=True)])
-                    cols = {"h": h[w], "h2": other[at[w]], "doc": doc[run[w]], "at": place[w].astype(np.int64)}
+                    cols = {"h": h[w], "h2": other[at[w]], "doc": doc[run[w]], "row": key[run[w]], "at": place[w].astype(np.int64)}
                     rows += [(k, pack(x)) for k, x in deal((h[w] % np.uint64(buckets)).astype(np.int64), cols)]
                 s, e, leads = s[~hot], e[~hot], leads[~hot]
                 if len(s):
                     r = run[s]
-                    cols = {"doc": doc[r], "start": place[s].astype(np.int64), "n": (e - s + 1).astype(np.int32), "anchor": (anchor[r] - at[s]).astype(np.int32), "from": at[s]}
+                    cols = {"doc": doc[r], "row": key[r], "start": place[s].astype(np.int64), "n": (e - s + 1).astype(np.int32), "anchor": (anchor[r] - at[s]).astype(np.int32), "from": at[s]}
                     for k, x in deal(np.searchsorted(cuts, leads, "right"), cols):
                         x["bytes"] = c.data[_expand(x.pop("from"), x["n"].astype(np.int64) + WINDOW - 1)]
                         rows.append((k, pack(x)))
@@ -288,9 +294,12 @@ def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").ravel().astype(np.uint64)
 
 
-def _same_ends(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether two windows begin and end alike; with equal hashes they are taken as equal."""
-    return (_word(data, x) == _word(data, y)) & (_word(data, x + WINDOW - 8) == _word(data, y + WINDOW - 8))
+def _same(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two windows are equal in all their bytes."""
+    out = np.ones(len(x), bool)
+    for at in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
+        out &= _word(data, x + at) == _word(data, y + at)
+    return out
 
 
 def multikey_sort(data: np.ndarray, at: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,44 +330,40 @@ def multikey_sort(data: np.ndarray, at: np.ndarray, lead: np.ndarray) -> tuple[n
     return who, np.cumsum(new) - 1
 
 
-def _later(group: np.ndarray, index: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _later(group: np.ndarray, index: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Rows of each group (ascending) after the one with the least index; a repeated place isn't later than itself."""
     if not len(group):
         return np.zeros(0, bool)
     first = np.minimum.reduceat(index, np.flatnonzero(np.append(True, group[1:] != group[:-1])))[group]
-    return (doc[index] != doc[first]) | (place[index] != place[first])
+    return (row[index] != row[first]) | (place[index] != place[first])
 
 
-def _sort_bucket(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, bytes]] = []
-    sent, hot = [], []
+def _sort_bucket(parts: Iterator[dict[str, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    settled, sent, hot = [], [], []
     for p in parts:
-        if "a" in p:
-            out.append((int(p["doc"][0]), pack({"a": p["a"], "b": p["b"]})))
-        else:
-            (hot if "h2" in p else sent).append(p)
+        (settled if "a" in p else hot if "h2" in p else sent).append(p)
 
-    def remove(doc: np.ndarray, place: np.ndarray) -> None:
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        s, e = _stretches(np.ones(len(doc), bool), place, doc)
-        out.extend((d, pack(cols)) for d, cols in _spans(doc[s], place[s], place[e]))
+    def remove(doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
+        order = np.lexsort((place, row))
+        doc, row, place = doc[order], row[order], place[order]
+        s, e = _stretches(np.ones(len(row), bool), place, row)
+        settled.append({"doc": doc[s], "row": row[s], "a": place[s].astype(np.int64), "b": place[e].astype(np.int64) + WINDOW})
 
     if hot:
         x = joined(hot)
-        x = {k: v[np.lexsort((x["at"], x["doc"]))] for k, v in x.items()}
+        x = {k: v[np.lexsort((x["at"], x["row"], x["doc"]))] for k, v in x.items()}
         order = np.lexsort((x["h2"], x["h"]))
         h, h2 = x["h"][order], x["h2"][order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-        later = order[_later(np.cumsum(new) - 1, order, x["doc"], x["at"])]
-        remove(x["doc"][later], x["at"][later])
+        later = order[_later(np.cumsum(new) - 1, order, x["row"], x["at"])]
+        remove(x["doc"][later], x["row"][later], x["at"][later])
     if sent:
         x = joined(sent)
         size = x["n"].astype(np.int64) + WINDOW - 1
         begin = np.cumsum(size) - size
         leads = _grams_at(x["bytes"], begin + x["anchor"])
-        order = np.lexsort((x["start"], x["doc"], leads))
+        order = np.lexsort((x["start"], x["row"], x["doc"], leads))
         leads = leads[order]
         new = np.ones(len(order), bool)
         new[1:] = leads[1:] != leads[:-1]
@@ -371,30 +376,39 @@ def _sort_bucket(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBa
             to = max(at + 1, int(np.searchsorted(windows[cut], windows[cut[at]] + SORTED, "right")) - 1)
             some = order[cut[at] : cut[to]]
             n, long = x["n"][some].astype(np.int64), size[some]
-            place, doc = _expand(x["start"][some], n), np.repeat(x["doc"][some], n)
+            place, doc, row = _expand(x["start"][some], n), np.repeat(x["doc"][some], n), np.repeat(x["row"][some], n)
             gram = np.repeat(np.cumsum(new[cut[at] : cut[to]]), n)
             offset = np.repeat(x["anchor"][some].astype(np.int64), n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            # windows come in (gram, doc, start) order; equal ones have their gram at one offset
+            # windows come in (gram, doc, row, start) order; equal ones have their gram at one offset
             who, group = multikey_sort(x["bytes"][_expand(begin[some], long)], _expand(np.cumsum(long) - long, n), gram * WINDOW + offset)
-            later = who[_later(group, who, doc, place)]
-            remove(doc[later], place[later])
+            later = who[_later(group, who, row, place)]
+            remove(doc[later], row[later], place[later])
             at = to
-    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["id", "blob"])
+    if settled:
+        x = joined(settled)
+        yield batch([(k, pack(c)) for k, c in deal(_spread(x["row"], buckets), x)])
+
+
+def _of_rows(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """doc, row, blob: all stretches of a row that go."""
+    x = joined(list(parts))
+    out = [(d, r, pack(y)) for r, c in deal(x["row"], {k: x[k] for k in ("doc", "a", "b")}) for d, y in deal(c.pop("doc"), c)]
+    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc", "row", "blob"])
 
 
 def cut_texts(docs: DataFrame, spans: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs(doc_id, text), and with texts the kept bytes; spans(id, blob) say what goes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs(doc_id, text, doc, row), and with texts the kept bytes; spans(doc, row, blob) say what goes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .packed import unpack
 
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for text, blobs in zip(b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
+            for text, blob in zip(b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
                 data = text.as_py() or b""
                 n, removed = len(data), []
-                if blobs:
-                    x = joined([unpack(y) for y in blobs])
+                if blob:
+                    x = unpack(blob)
                     order = np.argsort(x["a"], kind="stable")
                     s, e = x["a"][order], np.maximum.accumulate(x["b"][order])
                     new = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
@@ -410,18 +424,21 @@ def cut_texts(docs: DataFrame, spans: DataFrame, texts: bool = False) -> DataFra
             arrays = [b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]]
             yield pa.RecordBatch.from_arrays(arrays if texts else arrays[:-1], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5])
 
-    held = spans.groupBy("id").agg(F.collect_list("blob").alias("blobs"))
-    all_ = docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID).cast("long"))).join(held, "id", "left").select("doc_id", "text", "blobs")
-    return all_.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    spans = table(spans, "suffix-spans")
+    parted = marked(docs, spans.select("row"), "row")  # rows that lose nothing stay where they are
+    whole = parted.where(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast("binary").alias("blob"))
+    touched = parted.where("maybe").join(spans, ["doc", "row"], "left").select("doc_id", "text", "blob")
+    return whole.unionByName(touched).mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with texts the kept bytes) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.select(id_.alias("doc_id"), "text", F.coalesce(id_, F.lit(NULL_ID)).alias("doc"), F.xxhash64(id_, "text").alias("row"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
-    cuts, heavy = splitters(rows, buckets, total)
-    again = repeated_grams(rows, buckets).groupBy("id").agg(F.collect_list("blob").alias("blobs"))
-    able = rows.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID).cast("long"))).join(again, "id").select("doc_id", "text", "blobs")
-    spans = by_bucket(suffixes(able, cuts, heavy, buckets), buckets, _sort_bucket, "id long, blob binary")
-    return cut_texts(rows, spans, texts)
+    cuts, heavy = splitters(rows.select("row", "text"), buckets, total)
+    again = table(repeated_grams(rows.select("row", "text"), buckets), "suffix-grams")
+    able = marked(rows.select("doc", "text", "row"), again.select("row"), "row").where("maybe").join(again, "row").select("doc", "text", "row", "blob")
+    settled = by_bucket(suffixes(able, cuts, heavy, buckets), buckets, lambda parts: _sort_bucket(parts, buckets), ROWS)
+    return cut_texts(rows, by_bucket(settled, buckets, _of_rows, "doc long, row long, blob binary"), texts)
