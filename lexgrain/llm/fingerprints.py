@@ -13,7 +13,7 @@ bits confirms.  Equal fingerprints are collapsed first.
 Results for odd input: a null text counts as empty; no terms give the zero
 fingerprint; an empty table gives an empty result; equal texts have equal
 fingerprints; rows that repeat an identifier stay separate, ordered by text, and
-rows that repeat both give one; extra columns are ignored.
+rows that repeat both too; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_id, next_text in descending doc_id (null last, repeated identifiers by text; after the last the first).
+    """doc_id, text, next_id, next_text, part, nth (together a row's own) in descending doc_id (null last, repeated identifiers by text; after the last the first).
 
     Identifiers are range-partitioned at splitters that are identifiers of the table; each
     splitter's rows are also sent to the range below, where the row before them needs them."""
@@ -86,7 +86,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = rows.select("doc_id", "text", F.explode(F.concat(own, F.coalesce(up.cast("array<struct<part:int,ghost:int>>"), none), F.coalesce(wrap, none))).alias("p")).select("doc_id", "text", "p.part", "p.ghost")
     # ghosts stand after the rows of their range: first the range below's top row, at the very end the table's first
     w = W.partitionBy("part").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("text"))
-    return dealt.repartitionByRange(n, "part").withColumns({"next_text": F.lead("text").over(w), "next_id": F.lead("doc_id").over(w)}).where("ghost = 0").select("doc_id", "text", "next_id", "next_text")
+    return dealt.repartitionByRange(n, "part").withColumns({"next_text": F.lead("text").over(w), "next_id": F.lead("doc_id").over(w), "nth": F.row_number().over(w).cast("long")}).where("ghost = 0").select("doc_id", "text", "next_id", "next_text", "part", "nth")
 
 
 #: A SHA-256 in hex travels as five longs of 13 digits, which a hash aggregate can hold.
@@ -100,17 +100,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     m = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - m), F.substring("next_text", F.lit(1), m))
-    rows = with_next(docs).select("doc_id", F.xxhash64("text").alias("th"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_id", F.xxhash64("next_text").alias("next_th"))
+    rows = with_next(docs).select("part", "nth", "doc_id", F.xxhash64("text").alias("th"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_id", F.xxhash64("next_text").alias("next_th"))
     rows = rows.withColumn("sha", F.sha2(F.encode("edited", "UTF-8"), 256))
     sha = [F.conv(F.substring("sha", at, k), 16, 10).cast("long").alias(f"x{i}") for i, (at, k) in enumerate(SHA_PARTS)]
-    carry = ("n_chars", "next_id", "next_th", *[f"x{i}" for i in range(5)])
+    carry = ("doc_id", "th", "n_chars", "next_id", "next_th", *[f"x{i}" for i in range(5)])
     both = F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text")), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text"))))
-    texts = rows.select("doc_id", "th", *carry[:3], *sha, both.alias("e")).select("doc_id", "th", *carry, "e.edit", "e.text")
-    voted = fingerprints(texts, ("doc_id", "th", "edit"), carry)
+    texts = rows.select("part", "nth", *carry[:5], *sha, both.alias("e")).select("part", "nth", *carry, "e.edit", "e.text")
+    voted = fingerprints(texts, ("part", "nth", "edit"), carry)
     own, other = F.col("edit") == 0, F.col("edit") == 1
     picks = [F.max(F.when(w, F.col(f))).alias(a) for w, f, a in ((own, "f0", "f0"), (own, "f1", "f1"), (other, "f0", "e0"), (other, "f1", "e1"))]
-    each = table(voted.groupBy("doc_id", "th").agg(*[F.max(c).alias(c) for c in carry], *picks), "fingerprints")
-    after = each.select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
+    each = table(voted.groupBy("part", "nth").agg(*[F.max(c).alias(c) for c in carry], *picks), "fingerprints")
+    after = each.select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("f0").alias("g0"), F.col("f1").alias("g1")).dropDuplicates(["next_id", "next_th"])
     joined = each.alias("a").join(after.alias("b"), F.col("a.next_id").eqNullSafe(F.col("b.next_id")) & (F.col("a.next_th") == F.col("b.next_th")), "left")
     digest = F.concat(*[F.lpad(F.hex(f"x{i}"), k, "0") for i, (_, k) in enumerate(SHA_PARTS)])
     return joined.select(
