@@ -1,10 +1,11 @@
 r"""Chat formatting of reply trees, with DataFrame operations only.
 
-Nodes are replies that name their parent.  Self-joins that double the known part of
-every path (a node's path is joined to the path of the node above its top) enumerate
-all root-to-leaf paths in log2(depth) rounds, each written to the shared folder;
-branches are ranked by summed score and each chosen path is formatted as one
-conversation:
+Nodes are replies that name their parent.  Self-joins double the distance of a table of
+jumps (node, the node so far above it), log2(depth) tables, each written to the shared
+folder.  From the leaves these jumps, longest first, reach every node above once: each
+round joins what is reached to one table, so all root-to-leaf paths are enumerated with
+a row a step and no path is held as a whole.  Branches are ranked by summed score and
+each chosen path is formatted as one conversation:
 
     <|im_start|>ROLE\nTEXT<|im_end|>\n
 
@@ -24,8 +25,6 @@ One conversation is one output row, so its turns meet in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,34 +48,37 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """leaf, path (array of structs n, i: nodes from root to leaf, i counting from 0) of nodes(node, parent)."""
-    known = nodes.select("node").withColumnRenamed("node", "p")
-    up = nodes.join(known, nodes.parent == known.p, "left").select("node", F.col("p").alias("up"), F.array("node").alias("path"))
-    inner = nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
-    finished: list[DataFrame] = []  # a path is done when nothing is above its top
-    for _ in range(MAX_ROUNDS):
-        up = table(up, "paths")
-        finished.append(up.where(F.col("up").isNull()))
-        open_ = up.where(F.col("up").isNotNull())
-        if not open_.limit(1).count():
-            done = reduce(DataFrame.unionByName, finished)
+def steps(nodes: DataFrame) -> DataFrame:
+    """leaf, node, above (how far above the leaf, from 0): a row for each step of each root-to-leaf path of nodes(node, parent)."""
+    known = nodes.select(F.col("node").alias("up")).distinct()
+    jump = nodes.select("node", F.col("parent").alias("up")).join(known, "up").select("node", "up")
+    jumps: list[DataFrame] = []
+    while True:
+        jump = table(jump, "jumps")
+        if jump.isEmpty():
             break
-        above = reduce(DataFrame.unionByName, finished, open_).select(F.col("node").alias("t"), F.col("up").alias("t_up"), F.col("path").alias("t_path"))
-        up = open_.join(above, F.col("up") == F.col("t")).select("node", F.col("t_up").alias("up"), F.concat("t_path", "path").alias("path"))
-    else:
-        raise ValueError("the replies form a cycle")
-    return done.join(inner, "node", "left_anti").select(F.col("node").alias("leaf"), "path")
+        if len(jumps) == MAX_ROUNDS:
+            raise ValueError("the replies form a cycle")
+        jumps.append(jump)
+        jump = jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
+    inner = nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
+    reached = nodes.join(inner, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
+    for k in reversed(range(len(jumps))):
+        here = F.struct("node", "above")
+        there = F.struct(F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
+        both = F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there)))
+        reached = reached.join(jumps[k], "node", "left").select("leaf", both.alias("s")).select("leaf", "s.node", "s.above")
+    return reached
 
 
 def format_paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """tree, leaf, score, rank, formatted, loss: one row a root-to-leaf path of nodes(tree, node, parent, role, text, score).
 
     best: only so many best-scored paths a tree."""
-    steps = paths(nodes.select("node", "parent")).select("leaf", F.posexplode("path").alias("i", "node")).join(nodes.drop("parent"), "node")
+    path = steps(nodes.select("node", "parent")).select("leaf", "node", (-F.col("above")).alias("i")).join(nodes.drop("parent"), "node")
     role, text = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("\\\n")), escape(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(START), role, F.lit("\n"))
-    parts = steps.select("tree", "leaf", "i", "score", head.alias("head"), text.alias("body"), (F.col("role") == MASKED).alias("masked"))
+    parts = path.select("tree", "leaf", "i", "score", head.alias("head"), text.alias("body"), (F.col("role") == MASKED).alias("masked"))
     part = F.struct("i", F.concat("head", "body", F.lit(END + "\n")).alias("s"), F.char_length("head").cast("long").alias("h"), F.char_length("body").cast("long").alias("b"), F.coalesce("masked", F.lit(False)).alias("m"))
     held = parts.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(part)).alias("ps"))
     # one pass over the turns: length so far, spans of the loss
