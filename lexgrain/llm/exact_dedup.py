@@ -75,11 +75,13 @@ def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     n, names = partitions(docs.sparkSession), docs.columns
     best = F.max if keep == "max" else F.min
     heavy = table(heavy_texts(docs.select("doc_id", "text"), n), "exact-heavy")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", F.encode(normalised(F.col("text")), "UTF-8").alias("norm"))
-    keyed = keyed.withColumn("text_sha256", F.sha2("norm", 256)).join(F.broadcast(heavy.withColumn("hot", F.lit(True))), "text_sha256", "left")
-    keyed = keyed.withColumns({"lead": F.substring("norm", 1, LEAD), "salt": F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).otherwise(-1)})
+    norm = lambda text: F.encode(normalised(text), "UTF-8")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", F.substring(norm(F.col("text")), 1, LEAD).alias("lead"), F.sha2(norm(F.col("text")), 256).alias("text_sha256"))
+    keyed = keyed.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), "text_sha256", "left")
+    keyed = keyed.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).otherwise(-1))
     merged = keyed.where("hot").groupBy("text_sha256").agg(best("doc_id").alias("all_id"))
-    dealt = keyed.drop("hot", "norm").repartitionByRange(n, "lead", "text_sha256", "salt")
-    run = W.partitionBy("lead", "text_sha256", "salt").orderBy(F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last())
+    dealt = keyed.drop("hot").repartitionByRange(n, "lead", "text_sha256", "salt")
+    # the texts travel once, and are compared whole where they stand next to each other
+    run = W.partitionBy("lead", "text_sha256", "salt", norm(F.col("row.text"))).orderBy(F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last())
     first = dealt.withColumn("nth", F.row_number().over(run)).where("nth = 1").join(F.broadcast(merged), "text_sha256", "left")
     return first.where((F.col("salt") < 0) | F.col("doc_id").eqNullSafe(F.col("all_id"))).select("row.*")

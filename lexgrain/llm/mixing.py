@@ -20,6 +20,8 @@ overshoot; extra columns stay in `mix`, not in `mix_sizes`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,4 +141,5 @@ def mix(docs: DataFrame, share_percent: int = 150, most: int = 2, weights: tuple
     copies = mix_sizes(docs, share_percent, most, weights, seed, worth=worth).groupBy("doc_id", "th").agg(F.max("copies").alias("copies"))
     names = [F.col(f"d.`{c}`") for c in docs.columns]
     taken = docs.alias("d").join(copies.where("copies > 0").alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.xxhash64("d.text") == F.col("c.th")))
-    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("__copy")).drop("__copy")
+    nth = f"copy {uuid.uuid4().hex}"
+    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias(nth)).drop(nth)

@@ -10,7 +10,7 @@ and its ids are cut into windows of powers of two, which need no padding.
 
 Tokenising works on distinct chunks: a text is cut before each space that stands
 between two other characters that are not white space, where a byte-level BPE with a
-" ?word" pattern never joins tokens; each chunk is tokenised once for a worker.
+" ?word" pattern never joins tokens; each chunk is tokenised once while it is remembered.
 Texts with other white space around a space, or with a special token's string, are
 tokenised whole.
 
@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Chunks of text that a worker remembers, and characters that it tokenises at once.
-REMEMBERED, AT_ONCE = 1_000_000, 2_000_000
+#: Bytes of the chunks that a task remembers (each counted with 150 more), and of text that it tokenises at once.
+REMEMBERED, AT_ONCE = 96 << 20, 2_000_000
 
 
 #: Fixed value: how the byte-level vocabulary splits a text before merging.
@@ -75,6 +75,7 @@ class ChunkTokenizer:
         self.bodies: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.n = np.zeros(1 << 14, np.int64), 0
+        self.bytes = 0
 
     def _ids(self, chunks: list[str]) -> list[list[int]]:
         plain = [max(c, default="") < chr(PLAIN) for c in chunks]
@@ -97,10 +98,11 @@ class ChunkTokenizer:
         at.update(zip(new, range(self.n, self.n + len(new)), strict=True))
         self.used += more
         self.n += len(new)
+        self.bytes += sum(map(len, new)) + 150 * len(new)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's count."""
-        if self.n > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self.forget()
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
@@ -233,6 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
                 yield rows(packer, base)
         packer.drain()
         yield rows(packer, base)
+        tok.forget()  # the worker lives on
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(work, SCHEMA)
 

@@ -129,6 +129,37 @@ def test_fingerprints(docs, rows):
     assert np.mean(near) > np.mean(far) + 0.1
 
 
+def simhash(text):
+    """128 bits, from the definition: three-word terms vote with the bits of two 64-bit hashes."""
+    import xxhash
+
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    terms = [w[i : i + 3] for i in range(len(w) - 2)] if len(w) >= 3 else [w] if w else []
+    votes = np.zeros(128, int)
+    for t in terms:
+        h = 42
+        for x in t:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        h1 = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42))
+        votes += [1 if (v >> b) & 1 else -1 for v in (h, h1) for b in range(64)]
+    f = [sum(1 << b for b in range(64) if votes[64 * k + b] > 0) for k in (0, 1)]
+    return f"{f[0]:016x}{f[1]:016x}"
+
+
+def test_fingerprints_are_the_votes(spark, docs, rows):
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    order = sorted(rows, key=lambda x: -x[0])
+    bits = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 128
+    for (d, t), (e, after) in zip(order, [*order[1:], order[0]], strict=True):
+        t, after = t or "", after or ""
+        m = len(t) // 3
+        f, g = simhash(t), simhash(t[: len(t) - m] + after[:m])
+        assert (got[d]["fingerprint"], got[d]["edited_fingerprint"]) == (f, g) and got[d]["near_edited"] == pytest.approx(bits(f, g)) and got[d]["near_next"] == pytest.approx(bits(f, simhash(after)))
+    same = [(5, "one two three four"), (5, "one two three four"), (5, "other words"), (None, None), (None, "x"), (None, "x")]
+    out = fingerprints.fingerprint_edits(spark.createDataFrame(same, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["fingerprint"]) for r in out) == sorted((d or 0, simhash(t or "")) for d, t in same)
+
+
 def test_fingerprint_search(spark):
     r = random.Random(5)
     base = [(r.getrandbits(64) - 2**63, r.getrandbits(64) - 2**63) for _ in range(40)]
@@ -217,11 +248,48 @@ def test_language(spark):
     assert all(got[i]["lang_pred"] == k and got[i]["score"] > 0.9 for i, _, k, _, _ in rows)
     assert [got[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1002]["score"] == 0
     assert [s["lang"] for s in got[1003]["lang_spans"]] == ["en", "fr"] and sum(s["words"] for s in got[1003]["lang_spans"]) == len((en + " " + fr).split())
-    assert got[1004]["lang_pred"] == "ru" and got[1005]["lang_pred"] in ("en", "fr", "ru")
+    assert got[1004]["lang_pred"] == "ru" and got[1005]["lang_pred"] in ("en", "fr", "ru") and got[1005]["score"] == 0
     kept = {r["doc_id"] for r in language.accepted(df).collect()}
     assert kept >= {r[0] for r in rows} and not kept & {1000, 1001, 1002}
 
 
+def test_language_of_quoted_and_unspaced_words(spark):
+    fr, en = "le chat est sur la table et il mange une pomme avec des amis", "the quick brown fox jumps over the lazy dog and then the cat"
+    ja, zh = "これはペンです。私は学生です。あなたは先生ですか", "我是学生。他们在学校学习中文,你好吗"
+    rows = [(i, x, k) for i, (x, k) in enumerate([(fr, "fr"), (en, "en"), (ja, "ja"), (zh, "zh")] * 20)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = [(0, " ".join(f"\u201c{w}\u201d" for w in fr.split()), "fr"), (1, "\U0001f600 " + fr, "fr"), (2, ja[3:15], "ja"), (3, zh[2:12], "zh"), (4, "\u00abla pomme des amis\u00bb", "fr")]
+    df = spark.createDataFrame([(i, t, 7.0, "x") for i, t, _ in odd], "doc_id long, text string, score double, lang_pred string")  # columns that predict adds
+    got = {r["doc_id"]: r for r in language.predict(df, model, spans=True).collect()}
+    assert {i: got[i]["lang_pred"] for i, *_ in odd} == {i: k for i, _, k in odd} and all(got[i]["score"] > 0.9 for i, *_ in odd)
+    assert got[2]["lang_spans"][0]["words"] > 5
+    kept = language.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("z")))
+    assert kept.count() == len(rows) and kept.columns == ["doc_id", "text", "lang", "score", "lang_pred"]
+    none = spark.createDataFrame([(1, "some text", None), (2, "1", None)], "doc_id long, text string, lang string")
+    assert language.accepted(none).count() == 2 and {r["lang_pred"] for r in language.predict(none, language.train(none)).collect()} == {"und"}
+
+
+def test_language_learns_from_long_texts(spark):
+    r = random.Random(4)
+    words = {"aa": ["kato", "mira", "selo", "tanu"], "bb": ["wrych", "gwyth", "llyn", "pwll"]}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    rows = [(i, text("aa", 30_000), "aa") for i in range(3)] + [(10 + i, text("bb", 20), "bb") for i in range(9)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = language.predict(spark.createDataFrame([(1, text("aa", 9)), (2, text("bb", 9))], "doc_id long, text string"), model).collect()
+    assert [x["lang_pred"] for x in sorted(got, key=lambda x: x["doc_id"])] == ["aa", "bb"]
+
+
+def test_language_held_out_accuracy(spark):
+    from pathlib import Path
+
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).exists():
+        pytest.skip("no test tables")
+    out = queries.op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("true")), "doc_id")
+    held = out.where("held_out and true is not null and lang_pred <> 'und'").agg(F.avg((F.col("true") == F.col("lang_pred")).cast("double")).alias("a"), F.count(F.lit(1)).alias("n")).first()
+    assert held["n"] > 200 and held["a"] > 0.9
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(1)
     scores, first = r.normal(0, 3, (9, 3)).astype(np.float32), np.array([0, 4, 4, 9])
@@ -270,13 +338,14 @@ def test_near_dedup(docs, rows, monkeypatch, short):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {d: (len(s), want[d], want[d] == d) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("crowded,wide", [(1200, 4096), (3, 4096), (0, 3)])
-def test_near_dedup_families(spark, monkeypatch, crowded, wide):
+@pytest.mark.parametrize("crowded,wide,held", [(1200, 4096, 1 << 25), (3, 4096, 1 << 25), (0, 3, 1 << 13), (3, 99, 0)])
+def test_near_dedup_families(spark, monkeypatch, crowded, wide, held):
     """Families of edited copies, most of them about as like as the limit asks for, and texts that share a passage."""
     r = random.Random(11)
     monkeypatch.setattr(near_dedup, "SHORT", 3)
     monkeypatch.setattr(deltas, "CROWDED", crowded)
     monkeypatch.setattr(deltas, "WIDE", wide)
+    monkeypatch.setattr(deltas, "SETS_BYTES", held)  # 0: no list is compared in memory
     vocab = [f"v{i}" for i in range(300)]
     texts, passage = [], [r.choice(vocab) for _ in range(40)]
     for size, copies in ((60, 60), (35, 30)):
@@ -339,6 +408,17 @@ def test_suffix_dedup(docs, rows, monkeypatch, heavy):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == (len(b), int(mark.sum()), spans, left) and r["kept_sha256"] == hashlib.sha256(left).hexdigest()
 
 
+def test_suffix_dedup_shared_and_null_identifiers(spark):
+    r = random.Random(9)
+    a, b, c, d = ("".join(r.choice("abcdefgh ") for _ in range(240)) for _ in range(4))
+    rows = [(1, a), (7, a + b), (7, c), (None, d), (None, d + b), (None, None), (3, c), (3, c), (9, d)]
+    got = collections.Counter((x["doc_id"], bytes(x["kept"]).decode()) for x in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect())
+    assert sum(got.values()) == len(rows) and got[(1, a)] == 1 and got[(3, c)] == 2 and got[(9, "")] == 1
+    nulls = [t for (k, t) in got.elements() if k is None]
+    assert sorted(map(len, nulls)) in ([0, 240, 240], [0, 0, 480]) and any(t.endswith(b) for t in nulls)
+    assert got[(7, "")] == 2  # a, b and c all stand in rows before
+
+
 def test_suffix_dedup_long_pieces(spark, monkeypatch):
     r = random.Random(1)
     body = "".join(r.choice("ab cd") for _ in range(3000))
@@ -397,7 +477,7 @@ def brute_substrings(rows, passage, line, n=5):
     return words, gone
 
 
-def check_substrings(rows, got, passage=25, line=16):
+def check_substrings(rows, got, passage=32, line=16):
     words, gone = brute_substrings(rows, passage, line)
     assert len(got) == len(rows)
     for t, (d, _) in enumerate(rows):
@@ -415,7 +495,7 @@ def test_substring_dedup_whole_passages(spark, tmp_path):
     r = random.Random(5)
     fresh = (f"w{i}" for i in range(1 << 30))
     new = lambda k: [next(fresh) for _ in range(k)]
-    shared = [new(k) for k in (25, 26, 50, 90, 200)]
+    shared = [new(k) for k in (32, 33, 50, 90, 200)]
     texts = {None: new(30) + shared[0] + new(4), -3: [], 5: new(120)}
     for d in range(10, 50):
         w = new(r.randint(60, 90))
@@ -472,6 +552,24 @@ def test_chat(spark):
         assert not any(m in got[tree]["formatted"].replace(chat.START, "").replace(chat.END, "") for m in chat.CONTROLS)
 
 
+def test_long_and_wide_trees(spark):
+    r = random.Random(6)
+    parent = {0: None} | {i: i - 1 for i in range(1, 700)}  # a chain
+    parent |= {i: r.choice([0, 5, 600]) for i in range(700, 800)} | {i: r.randrange(700, i) for i in range(801, 900)} | {800: None}
+    df = spark.createDataFrame([(str(k), None if p is None else str(p)) for k, p in parent.items()], "node string, parent string")
+    got = collections.defaultdict(dict)
+    for x in chat.steps(df).collect():
+        got[int(x["leaf"])][x["above"]] = int(x["node"])
+    leaves = set(parent) - set(parent.values())
+    assert set(got) == leaves
+    for leaf in leaves:
+        path, at = [], leaf
+        while at is not None:
+            path.append(at)
+            at = parent[at]
+        assert [got[leaf][i] for i in range(len(path))] == path and len(got[leaf]) == len(path)
+
+
 def test_reply_trees(spark):
     nodes = [("t", "a", None, "user", "q", 0.0), ("t", "b", "a", "assistant", "good", 2.0), ("t", "c", "a", "assistant", "bad", 1.0), ("t", "d", "b", "user", "more", 0.5), ("t", "e", "missing", "user", "orphan", 9.0)]
     df = spark.createDataFrame(nodes, "tree string, node string, parent string, role string, text string, score double")
