@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def trim() -> None:
+    """A Python worker, which lives on after its task, gives its free memory back."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, and `trim` after it."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -51,7 +73,7 @@ def marked(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """rows with a boolean `maybe`: true wherever the long column `on` is in keys, and false for most others.
 
     The marks are one bit a key, MARK_BITS // 64 rows at most whatever the input, so they are broadcast; with far more keys than bits all rows are true."""
-    at = F.pmod(F.xxhash64(on), F.lit(MARK_BITS))
+    at = F.pmod(F.xxhash64(F.col(f"`{on}`")), F.lit(MARK_BITS))
     bits = keys.select(F.shiftright(at, 6).alias("mark_word"), F.expr("1L").alias("one"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
     words = table(bits.groupBy("mark_word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("mark_bits")), "marks")
     here = rows.withColumn("mark_word", F.shiftright(at, 6)).join(F.broadcast(words), "mark_word", "left")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import lean, partitions, table
 from .packed import ROWS, batch, by_bucket, deal, joined, pack
 from .shingles import mix
 
@@ -247,7 +247,7 @@ def _with_pivots(families: DataFrame, sketches: DataFrame, buckets: int) -> Data
         x = joined(list(parts))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in summed(x, x["rank"])], names=["value", "id", "rank"])
 
-    sent = families.join(sketches, "id").select("value", "id", "sk").mapInArrow(send, ROWS)
+    sent = families.join(sketches, "id").select("value", "id", "sk").mapInArrow(lean(send), ROWS)
     ranks = by_bucket(by_bucket(sent, buckets, count, ROWS), buckets, add, "value long, id long, rank long")
     best = ranks.groupBy("value").agg(F.max(F.struct("rank", (-F.col("id")).alias("back"), "id")).alias("h")).select("value", F.col("h.id").alias("pivot"))
     return families.join(best, "value").where("id <> pivot")
@@ -275,7 +275,7 @@ def long_list_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, limi
         volume = lists.join(sets.select("id", F.length("set").cast("long").alias("size")), "id").agg(F.sum("size")).first()[0] or 0
         buckets = max(n, -(-volume // BUCKET_BYTES))
         both = lists.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("other")), "pivot")
-        sent = both.select("value", "id", "pivot", "set", "other").mapInArrow(_differences(percent, buckets), ROWS)
+        sent = both.select("value", "id", "pivot", "set", "other").mapInArrow(lean(_differences(percent, buckets)), ROWS)
         out = table(by_bucket(sent, buckets, _shared(percent), MET), "pivot-links")
         links.append(out.where(F.col("kind") == LINK).select("a", "b"))
         pairs.append(out.where(F.col("kind") == PAIR).select("a", "b"))
@@ -283,7 +283,7 @@ def long_list_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, limi
         if again.isEmpty():
             break
         small, lists = _crowded(again, sets)
-        links.append(table(small.repartition("value").sortWithinPartitions("value").mapInArrow(_connected(percent), "a long, b long"), "crowded-links"))
+        links.append(table(small.repartition("value").sortWithinPartitions("value").mapInArrow(lean(_connected(percent)), "a long, b long"), "crowded-links"))
         if lists.isEmpty():
             break
     return reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, pairs).distinct()

@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, trim
 from .packed import pack, unpack
 from .packing import slices
 
@@ -140,12 +141,13 @@ class Remembered:
         texts = words.to_pylist()
         new = [w for w in texts if w not in at]
         if new:
-            fresh = pa.array(new, pa.string())
-            self.bytes += fresh.nbytes + 100 * len(new)
+            self.bytes += sum(map(len, new)) + 100 * len(new)
             while n + len(new) > len(self.held[1]):
                 self.held = [np.concatenate([x, np.zeros_like(x)]) for x in self.held]
-            for x, y in zip(self.held, self.model.score(fresh), strict=True):
-                x[n : n + len(new)] = y
+            for a in range(0, len(new), SCORED):
+                b = min(a + SCORED, len(new))
+                for x, y in zip(self.held, self.model.score(pa.array(new[a:b], pa.string())), strict=True):
+                    x[n + a : n + b] = y
             at.update(zip(new, range(n, n + len(new)), strict=True))
         slots = np.fromiter((at[w] for w in texts), np.int64, len(texts))
         return tuple(x[slots] for x in self.held)
@@ -228,11 +230,11 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             yield sent()
 
     sample = rows.where(drawn).select("lang", "text").repartition(len(counts), "lang").sortWithinPartitions("lang")
-    return modelled({r["lang"]: ((x := unpack(r["blob"]))["n"], x["wrote"]) for r in sample.mapInArrow(work, "lang string, blob binary").collect()})
+    return modelled({r["lang"]: ((x := unpack(r["blob"]))["n"], x["wrote"]) for r in sample.mapInArrow(lean(work), "lang string, blob binary").collect()})
 
 
-#: Bytes of text that are labelled at once.
-AT_ONCE = 4_000_000
+#: Bytes of text that are labelled at once, and new words that are scored at once.
+AT_ONCE, SCORED = 4_000_000, 1 << 14
 
 
 def judged(docs: DataFrame, model: Model, spans: bool = False) -> Column:
@@ -248,6 +250,9 @@ def judged(docs: DataFrame, model: Model, spans: bool = False) -> Column:
             whole = [pa.concat_arrays([p[i] for p in parts]) for i in range(2 + spans)] if parts else label(m, texts, spans)
             yield pa.StructArray.from_arrays(whole, names=["lang", "score", "spans"][: 2 + spans])
 
+        m.forget()
+        trim()
+
     return work(F.col("text"))
 
 

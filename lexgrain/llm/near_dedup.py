@@ -23,6 +23,7 @@ with nothing and kept; very long texts are read whole; extra columns are ignored
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, marked, table
 from .components import components
 from .deltas import long_list_pairs
 from .packing import slices
@@ -72,7 +73,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 flat = np.concatenate(least) if least else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(packed, pa.binary())], names=["doc_id", "n_shingles", "s0", "s1", "sketch", "sk"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, s0 long, s1 long, sketch array<long>, sk binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(work), "doc_id long, n_shingles long, s0 long, s1 long, sketch array<long>, sk binary")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -86,8 +87,10 @@ def sets_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                 ok = (own[:, 0] == part.column(3).to_numpy()) & (own[:, 1] == part.column(4).to_numpy())
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array(sets, pa.binary())], names=["id", "set"]).filter(pa.array(ok))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes, "doc_id")
-    return rows.select("doc_id", "text", "id", "s0", "s1").mapInArrow(work, "id long, set binary").dropDuplicates(["id"])
+    classes = table(classes, "near-wanted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = marked(rows, classes.select("doc_id"), "doc_id").where("maybe").join(classes, "doc_id")  # the others aren't shuffled
+    return rows.select("doc_id", "text", "id", "s0", "s1").mapInArrow(lean(work), "id long, set binary").dropDuplicates(["id"])
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,7 +216,7 @@ def link_lists(listed: DataFrame, limit: float, sets_of: Callable[[DataFrame], D
     sizes = table(listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-list-sizes")
     sized = listed.join(sizes, "value")
     short = sized.where(F.col("members") <= SHORT).select("value", "id", "n", "sk")
-    found = table(short.repartition("value").sortWithinPartitions("value").mapInArrow(_list_pairs(limit), "a long, b long").distinct(), "near-found")
+    found = table(short.repartition("value").sortWithinPartitions("value").mapInArrow(lean(_list_pairs(limit)), "a long, b long").distinct(), "near-found")
     long = table(sized.where(F.col("members") > SHORT).select("value", "id", "rank"), "near-long")
     wanted = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).unionByName(long.select("id")).distinct()
     sets = table(sets_of(wanted), "near-sets")
@@ -223,14 +226,14 @@ def link_lists(listed: DataFrame, limit: float, sets_of: Callable[[DataFrame], D
     sketch = table(listed.join(long.select("id").distinct(), "id").select("id", "sk").dropDuplicates(["id"]), "near-long-sketches")
     near, pairs = long_list_pairs(long, sets, sketch, limit)
     both = pairs.join(sketch.select(F.col("id").alias("a"), "sk"), "a").join(sketch.select(F.col("id").alias("b"), F.col("sk").alias("other")), "b")
-    likely = both.select("a", "b", "sk", "other").mapInArrow(_filter_pairs(limit), "a long, b long")
+    likely = both.select("a", "b", "sk", "other").mapInArrow(lean(_filter_pairs(limit)), "a long, b long")
     return links.unionByName(near).unionByName(compared(likely, sets, limit))
 
 
 def compared(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     """Those of pairs(a, b) whose full sets, of sets(id, set), reach limit."""
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return table(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(limit), "a long, b long"), "near-links")
+    return table(joined.select("a", "b", "sa", "sb").mapInArrow(lean(_verify(limit)), "a long, b long"), "near-links")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame:
@@ -260,5 +263,9 @@ def near_dedup(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame
 
 def drop_near(docs: DataFrame, words: int = 5, limit: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies; all columns stay."""
-    gone = near_dedup(docs, words, limit).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = table(near_dedup(docs, words, limit).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    key, names = f"key {uuid.uuid4().hex}", [F.col(f"`{c}`") for c in docs.columns]
+    parted = marked(docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias(key)), gone.select(F.col("doc_id").alias(key)), key)
+    sure = parted.where(~F.col("maybe"))  # rows that surely stay aren't shuffled
+    left = parted.where("maybe").join(gone.select(F.col("doc_id").alias(key)), key, "left_anti")
+    return sure.select("row.*").unionByName(left.select("row.*"))

@@ -10,6 +10,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Rows of an exchange: a bucket, and packed columns.
 ROWS = "bucket int, blob binary"
 
@@ -53,7 +55,7 @@ def by_bucket(df: DataFrame, buckets: int, work: Callable[[Iterator[dict[str, np
         if held:
             yield from work(map(unpack, held))
 
-    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), schema)
 
 
 def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

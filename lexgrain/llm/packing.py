@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of the chunks that a task remembers (each counted with 150 more), and of text that it tokenises at once.
 REMEMBERED, AT_ONCE = 96 << 20, 2_000_000
@@ -237,7 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
         yield rows(packer, base)
         tok.forget()  # the worker lives on
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(work, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lean(work), SCHEMA)
 
 
 _KEPT: dict[str, ChunkTokenizer] = {}

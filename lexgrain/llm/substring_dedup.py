@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, marked, partitions, table
+from .common import WORD, lean, marked, partitions, table
 from .components import components
 from .near_dedup import link_lists, packed_sketch
 from .packed import ROWS, batch, by_bucket, deal, joined, pack, unpack
@@ -50,7 +50,7 @@ LEAST, BANDS, ROWS_A_BAND = 16, 8, 2
 #: Words of the grams whose minimum stands for a stretch.
 GRAM = 16
 #: Text worked on at once, and text behind one bucket.
-AT_ONCE, BUCKET_BYTES = 3 << 20, 8 << 20
+AT_ONCE, BUCKET_BYTES = 2 << 20, 8 << 20
 #: Order of null identifiers.
 NULL_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 32) - 1)
@@ -186,7 +186,7 @@ def _send(docs: DataFrame, buckets: int, n: int, passage: int, line: int) -> Dat
                     out.append((k, pack(c)))
                 yield batch(out)
 
-    return docs.mapInArrow(work, ROWS)
+    return docs.mapInArrow(lean(work), ROWS)
 
 
 def _met(kind: int, **columns) -> pa.RecordBatch:
@@ -308,7 +308,7 @@ def _second(docs: DataFrame, asks: DataFrame, buckets: int, size: int, n: int) -
                             out.append((x["id"] % buckets, pack({"line": np.array([docs_[t], rows_[t], x["id"], x["unit"]]), "set": v})))
                 yield batch(out)
 
-    return docs.join(asks, "row").select("doc", "row", "text", "blobs", "gone", "lines").mapInArrow(work, ROWS)
+    return docs.join(asks, "row").select("doc", "row", "text", "blobs", "gone", "lines").mapInArrow(lean(work), ROWS)
 
 
 def _meet_windows(size: int, buckets: int):
@@ -373,7 +373,7 @@ def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
     parted = marked(docs, gone.select("row"), "row")  # rows that lose nothing stay where they are
     whole = parted.where(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("blobs"))
     touched = parted.where("maybe").join(held, ["doc", "row"], "left").select("doc_id", "text", "blobs")
-    return whole.unionByName(touched).mapInArrow(work, "doc_id long, n_paragraphs long, n_words long, n_removed_words long, n_spans long, n_removed_chars long, text string")
+    return whole.unionByName(touched).mapInArrow(lean(work), "doc_id long, n_paragraphs long, n_words long, n_removed_words long, n_spans long, n_removed_chars long, text string")
 
 
 def _pack_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

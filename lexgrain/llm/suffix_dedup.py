@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, partitions, table
+from .common import lean, marked, partitions, table
 from .packed import ROWS, batch, by_bucket, deal, joined, pack
 from .shingles import mix
 
@@ -196,7 +196,7 @@ def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
         out = [(r, np.unique(cols["known"]).tobytes()) for r, cols in deal(x["row"], {"known": x["known"]})]
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([y for _, y in out], pa.binary())], names=["row", "blob"])
 
-    return by_bucket(by_bucket(docs.mapInArrow(send, ROWS), buckets, meet, ROWS), buckets, gather, "row long, blob binary")
+    return by_bucket(by_bucket(docs.mapInArrow(lean(send), ROWS), buckets, meet, ROWS), buckets, gather, "row long, blob binary")
 
 
 def splitters(docs: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, set[bytes]]:
@@ -215,7 +215,7 @@ def splitters(docs: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, se
 
     # of a small share, a quarter of the documents is read, and more of each
     part = docs.where(F.pmod(F.xxhash64(F.lit("grams"), "row"), F.lit(4)) == 0) if share < 0.25 else docs
-    got = np.array(sorted(r["g"] for r in part.mapInArrow(take, "g binary").collect()), f"S{GRAM}")
+    got = np.array(sorted(r["g"] for r in part.mapInArrow(lean(take), "g binary").collect()), f"S{GRAM}")
     if not len(got):
         return got, set()
     kinds, n = np.unique(got, return_counts=True)
@@ -281,7 +281,7 @@ def suffixes(docs: DataFrame, cuts: np.ndarray, heavy: set[bytes], buckets: int)
                         rows.append((k, pack(x)))
                 yield batch(rows)
 
-    return docs.mapInArrow(send, ROWS)
+    return docs.mapInArrow(lean(send), ROWS)
 
 
 def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -428,7 +428,7 @@ def cut_texts(docs: DataFrame, spans: DataFrame, texts: bool = False) -> DataFra
     parted = marked(docs, spans.select("row"), "row")  # rows that lose nothing stay where they are
     whole = parted.where(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast("binary").alias("blob"))
     touched = parted.where("maybe").join(spans, ["doc", "row"], "left").select("doc_id", "text", "blob")
-    return whole.unionByName(touched).mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return whole.unionByName(touched).mapInArrow(lean(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
