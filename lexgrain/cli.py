@@ -74,7 +74,7 @@ def _run(a: argparse.Namespace, spark: SparkSession, stdin, out, err) -> int:
     began = time.time()
     multiline = ("document" if a.document else "line") if a.multiline else None
     # a count is of all matches
-    o = SearchOptions(a.regex, a.ignore_case, multiline, tuple(a.type), None, a.context, 0 if a.count else a.max_results, a.count, a.files_only, a.binary, a.decompress, a.archive).checked()
+    o = SearchOptions(a.regex, a.ignore_case, multiline, tuple(a.type), None, a.context, 0 if a.count else a.max_results, a.count, a.binary, a.decompress, a.archive).checked()
     warn = lambda path, e: print(f"lexgrain: skipping {path}: {e}", file=err)
     if a.path is None and stdin is not None:
         text = stdin.read()

@@ -52,9 +52,10 @@ def plan_for(pattern: str, o: SearchOptions, strict: bool = True) -> QueryPlan:
     return plan(pattern, o.regex, o.ignore_case, dot_all=o.multiline is not None, strict=strict)
 
 
-def search(files: DataFrame, pattern: str, options: SearchOptions | None = None, index: StoredIndex | None = None, strict: bool = True, load: Callable[[DataFrame], DataFrame] | None = None) -> SearchResult:
+def search(files: DataFrame, pattern: str, options: SearchOptions | None = None, index: StoredIndex | None = None, strict: bool = True, load: Callable[[DataFrame], DataFrame] | None = None, filters: bool = False) -> SearchResult:
     """Searches files(file_id, path, ext, content or text); with an index, only its candidates are read further.
 
+    filters: the index's stored filters narrow its candidates further.
     load: gives the content of those of files that the index and the filters let through; files needs none then.
     Filters come before the limit, and results are in (path, line_number) order where a limit holds."""
     o = (options or SearchOptions()).checked()
@@ -62,7 +63,7 @@ def search(files: DataFrame, pattern: str, options: SearchOptions | None = None,
     lookup = {"trigrams_queried": 0, "posting_lists_decoded": 0}
     scope = all_files = files
     if index is not None and not o.include_binary:
-        ids, lookup = candidates(p, index)
+        ids, lookup = candidates(p, index, filters)
         all_files = index.files.select("file_id") if ids is None else ids
         scope = files.join(index.files.select("file_id") if ids is None else ids, "file_id", "left_semi")
     scope = eligible(scope, o)
@@ -127,7 +128,7 @@ class Engine:
             o = replace(o, path_prefix=rel)
         known = index.files.select("file_id", "path")
         now = list_files(self.spark, root, warn=warn).drop("file_id").join(known, "path")
-        return search(now, pattern, o, index, load=lambda listed: load_files(listed, root, o.decompress))
+        return search(now, pattern, o, index, load=lambda listed: load_files(listed, root, o.decompress), filters=True)
 
     def search_text(self, texts: DataFrame, pattern: str, options: SearchOptions | None = None) -> SearchResult:
         """Searches a stream of texts(path, text): line ends are no part of lines, offsets are 0, type, binary and multiline options don't count."""

@@ -35,7 +35,3 @@ class TableMissing(IndexCorrupted):
 
 class WatcherRunning(LexgrainError):
     """A live watcher owns the index, so it isn't rebuilt by hand."""
-
-
-class UnreadableSource(LexgrainError):
-    """A source that had to be read can't be."""

@@ -58,24 +58,29 @@ def with_offsets(data: bytes) -> list[tuple[int, int]]:
 
 
 def _bits(grams: np.ndarray) -> np.ndarray:
+    """BLOOM_HASHES places for each trigram."""
     raw = [int(g).to_bytes(4, "little") for g in grams]
     h1 = np.array([xxhash.xxh64_intdigest(x, 0) for x in raw], np.uint64)
     h2 = np.array([xxhash.xxh64_intdigest(x, 1) for x in raw], np.uint64)
-    return np.concatenate([(h1 + np.uint64(i) * h2) % np.uint64(BLOOM_BYTES * 8) for i in range(BLOOM_HASHES)]) if len(raw) else h1
+    return np.stack([(h1 + np.uint64(i) * h2) % np.uint64(BLOOM_BYTES * 8) for i in range(BLOOM_HASHES)]).astype(np.int64)
 
 
-def bloom(grams: np.ndarray) -> bytes:
+def _filter(places: np.ndarray) -> bytes:
     bits = np.zeros(BLOOM_BYTES * 8, np.uint8)
-    bits[_bits(grams).astype(np.int64)] = 1
+    bits[places.ravel()] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def bloom(grams: np.ndarray) -> bytes:
+    return _filter(_bits(grams))
+
+
 def bloom_may_contain(filter_: bytes | None, gram: int) -> bool:
     """False only if gram is certainly not in it; an unreadable filter may contain anything."""
     if not filter_ or len(filter_) != BLOOM_BYTES:
         return True
     bits = np.unpackbits(np.frombuffer(filter_, np.uint8), bitorder="little")
-    return bool(bits[_bits(np.array([gram])).astype(np.int64)].all())
+    return bool(bits[_bits(np.array([gram]))].all())
 
 
 def postings(files: DataFrame, offsets: bool = False) -> DataFrame:
@@ -104,11 +109,28 @@ def postings(files: DataFrame, offsets: bool = False) -> DataFrame:
 
 
 def blooms(files: DataFrame) -> DataFrame:
-    """file_id, bloom of files(file_id, content)."""
+    """file_id, bloom of files(file_id, content); each distinct trigram of a batch is hashed once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [bloom(np.unique(c[c >= 0])) for c in (codes(x.as_py() or b"") for x in b.column(1))]
+            each = [np.unique(c[c >= 0]) for c in (codes(x.as_py() or b"") for x in b.column(1))]
+            kinds = np.unique(np.concatenate([np.zeros(0, np.int32), *each]))
+            places = _bits(kinds)
+            out = [_filter(places[:, np.searchsorted(kinds, c)]) for c in each]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["file_id", "bloom"])
 
     return files.select("file_id", "content").mapInArrow(work, "file_id long, bloom binary")
+
+
+def may_contain(filters: DataFrame, grams: list[int]) -> DataFrame:
+    """file_id of filters(file_id, bloom) that may hold all of grams: a filter has all their bits, or can't be read."""
+    wanted = _filter(_bits(np.array(sorted(set(grams)), np.int64))) if grams else bytes(BLOOM_BYTES)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.frombuffer(wanted, np.uint8)
+        for b in batches:
+            got = [x.as_py() for x in b.column(1)]
+            keep = [x is None or len(x) != BLOOM_BYTES or bool(((np.frombuffer(x, np.uint8) & mask) == mask).all()) for x in got]
+            yield b.filter(pa.array(keep, pa.bool_())).select(["file_id"])
+
+    return filters.select("file_id", "bloom").mapInArrow(work, "file_id long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.trigrams import may_contain
 from ..plans.planner import CaseInsensitive, Literal, QueryPlan, RegexWithLiterals
 from .index import StoredIndex
 
@@ -27,8 +28,10 @@ def grouped(postings: DataFrame, groups: list[tuple[int, ...]]) -> DataFrame:
     return held.groupBy("file_id").agg(F.countDistinct("grp").alias("n")).where(F.col("n") == len({g for _, g in rows})).select("file_id")
 
 
-def candidates(plan: QueryPlan, index: StoredIndex) -> tuple[DataFrame | None, dict[str, int]]:
-    """file_id of candidates (None: all files) and the lookup part of the statistics."""
+def candidates(plan: QueryPlan, index: StoredIndex, filters: bool = False) -> tuple[DataFrame | None, dict[str, int]]:
+    """file_id of candidates (None: all files) and the lookup part of the statistics.
+
+    filters: the files' stored filters are asked for the required trigrams whose lists weren't read."""
     stats = {"trigrams_queried": 0, "posting_lists_decoded": 0}
     if isinstance(plan, Literal | RegexWithLiterals):
         sets = [plan.trigrams] if isinstance(plan, Literal) else plan.trigram_sets
@@ -41,7 +44,10 @@ def candidates(plan: QueryPlan, index: StoredIndex) -> tuple[DataFrame | None, d
                     return index.files.select("file_id").limit(0), stats | {"posting_lists_decoded": 0}
             chosen |= set(sorted(s, key=lambda t: (df[t], t))[:RAREST])
         stats["posting_lists_decoded"] = len(chosen)
-        return division(index.postings, sorted(chosen)), stats
+        found, rest = division(index.postings, sorted(chosen)), sorted({t for s in sets for t in s} - chosen)
+        if filters and rest:
+            found = may_contain(index.blooms.join(found, "file_id"), rest)
+        return found, stats
     if isinstance(plan, CaseInsensitive):
         stats["trigrams_queried"] = sum(map(len, plan.groups))
         df = index.frequencies(sorted({t for g in plan.groups for t in g}))

@@ -1,6 +1,6 @@
 """The stored index: files, postings, dictionary and metadata as Parquet tables under one version folder.
 
-Layout: ROOT/v=N/{files,postings,dictionary,skipped,meta}; ROOT/CURRENT/v=N (an empty marker
+Layout: ROOT/v=N/{files,postings,dictionary,blooms,skipped,meta}; ROOT/CURRENT/v=N (an empty marker
 table) names the version in use, so readers never see a half-written one."""
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from pyspark.storagelevel import StorageLevel
 
 from ..errors import IndexCorrupted, IndexMissing, TableMissing, UnsupportedVersion
 from ..functions.text import is_binary
-from ..functions.trigrams import postings
-from ..schema import DICTIONARY, FILES, MAX_FILE_BYTES, POSTINGS, SOURCE, VERSION
+from ..functions.trigrams import blooms, postings
+from ..schema import BLOOMS, DICTIONARY, FILES, MAX_FILE_BYTES, POSTINGS, SOURCE, VERSION
 
 SKIPPED = "path string, mtime_ns long, size_bytes long"
-TABLES = {"files": FILES, "postings": POSTINGS, "dictionary": DICTIONARY, "skipped": SKIPPED}
+TABLES = {"files": FILES, "postings": POSTINGS, "dictionary": DICTIONARY, "skipped": SKIPPED, "blooms": BLOOMS}
 META = "version_major int, version_minor int, created_at_us long, file_count long, posting_count long, trigram_count long, source_bytes long, skipped_binary long, skipped_size long, checksum string"
 
 
@@ -85,9 +85,10 @@ ENCODING = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enab
 POSTED = 4_000_000
 
 
-def _write(spark: SparkSession, root: str, version: int, files: DataFrame, posted: DataFrame, left_out: DataFrame, counts: tuple[int, int]) -> None:
+def _write(spark: SparkSession, root: str, version: int, files: DataFrame, posted: DataFrame, filters: DataFrame, left_out: DataFrame, counts: tuple[int, int]) -> None:
     at = f"{root}/v={version}"
     left_out.write.parquet(f"{at}/skipped")
+    filters.select(*BLOOMS.names).write.option("compression", "zstd").parquet(f"{at}/blooms")
     # extracted once, then dealt
     posted.select(*POSTINGS.names).write.option("compression", "zstd").parquet(f"{at}/raw")
     raw = spark.read.schema(POSTINGS).parquet(f"{at}/raw")
@@ -116,7 +117,7 @@ def build(source: DataFrame, root: str) -> dict:
     spark = source.sparkSession
     stats = build_stats(source).first().asDict()
     good = usable(source)
-    _write(spark, root, max(versions(spark, root), default=0) + 1, file_table(good), postings(good), skipped(source), (stats["files_skipped_binary"], stats["files_skipped_size"]))
+    _write(spark, root, max(versions(spark, root), default=0) + 1, file_table(good), postings(good), blooms(good), skipped(source), (stats["files_skipped_binary"], stats["files_skipped_size"]))
     return stats
 
 
@@ -136,7 +137,7 @@ class StoredIndex:
             raise UnsupportedVersion(f"{root}: {self.meta['version_major']}.{self.meta['version_minor']}")
         if _checksum(tuple(self.meta)[:-1]) != self.meta["checksum"]:
             raise IndexCorrupted(f"{root}: metadata and their checksum differ")
-        self.files, self.postings, self.dictionary, self.skipped = (self._open(t, s) for t, s in TABLES.items())
+        self.files, self.postings, self.dictionary, self.skipped, self.blooms = (self._open(t, s) for t, s in TABLES.items())
         if check:
             self.check()
 
@@ -201,7 +202,7 @@ def update(source: DataFrame, root: str, load: Callable[[DataFrame], DataFrame]
     files = kept.unionByName(file_table(fresh))
     out = old.skipped.join(changed, "path", "left_anti").unionByName(left_out)
     large = out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("size_bytes") > MAX_FILE_BYTES).cast("long")), F.lit(0)).alias("large")).first()
-    _write(spark, root, old.version + 1, files, reused.unionByName(postings(fresh)), out, (large["n"] - large["large"], large["large"]))
+    _write(spark, root, old.version + 1, files, reused.unionByName(postings(fresh)), old.blooms.join(kept.select("file_id"), "file_id", "left_semi").unionByName(blooms(fresh)), out, (large["n"] - large["large"], large["large"]))
     now.unpersist()
     changed.unpersist()
     return counts

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import hashlib
 import io
+import lzma
+import tarfile
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +25,7 @@ from .operators import index as index_ops
 from .operators import matching, render
 from .operators.index import StoredIndex
 from .plans.planner import CaseInsensitive, plan
-from .schema import SOURCE, SearchOptions
+from .schema import MAX_FILE_BYTES, SOURCE, SearchOptions
 from .sources import tables
 from .sources.files import expand
 from .streaming import changes
@@ -39,7 +43,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexgrain-")).rstrip("/")
+    """The folder that driver and executors share; only a local session has one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lexgrain-")
+    return folder.rstrip("/")
 
 
 _BUILT: dict[tuple[str, str], str] = {}
@@ -172,14 +183,14 @@ def candidates_ignore_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose filter may hold all trigrams of a string: no false negatives, few others."""
-    grams = list(plan(RARE).trigrams)
+    """Files whose filter may hold all trigrams of a string, and that do: a filter denies none of them."""
+    grams, docs = list(plan(RARE).trigrams), _docs(spark, sf_dir)
+    return cand.division(tri.postings(docs), grams).join(tri.may_contain(tri.blooms(docs), grams), "file_id", "left_semi")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([all(tri.bloom_may_contain(x.as_py(), g) for g in grams) for x in b.column(1)], pa.bool_())).select(["file_id"])
 
-    return tri.blooms(_docs(spark, sf_dir)).mapInArrow(keep, "file_id long")
+def bloom_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search with the stored filters asked for the trigrams whose lists aren't read."""
+    return search(_text(spark, sf_dir), RARE, SearchOptions(), _index(spark, sf_dir), filters=True).found.select(*PLACE)
 
 
 def query_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,27 +220,57 @@ def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_ops.diff(docs, _snapshot(docs))
 
 
-def decompress_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([gzip.compress(x.as_py()) for x in b.column(5)], pa.binary())], names=b.schema.names)
+def _squeezed(ext: str, packed: Callable[[bytes], bytes]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([packed(x.as_py()) for x in b.column(5)], pa.binary())], names=b.schema.names)
+
+        files = _docs(spark, sf_dir).select(*SOURCE.names).withColumns({"path": F.concat("path", F.lit(f".{ext}")), "ext": F.lit(ext.rpartition(".")[2])}).mapInArrow(squeeze, SOURCE)
+        return search(expand(files, decompress=True, archives=ext in ("zip", "tar.gz")), LITERAL).found.select(*PLACE)
+
+    return query
+
+
+def _zipped(data: bytes) -> bytes:
+    with zipfile.ZipFile(buf := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("in/text.txt", data)
+    return buf.getvalue()
+
+
+def _tarred(data: bytes) -> bytes:
+    with tarfile.open(fileobj=(buf := io.BytesIO()), mode="w:gz", compresslevel=1) as t:
+        info = tarfile.TarInfo("in/text.txt")
+        info.size = len(data)
+        t.addfile(info, io.BytesIO(data))
+    return buf.getvalue()
+
+
+def _zst(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor().compress(data)
+
+
+def scan_dot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dot that also matches the line's end."""
+    return _found(spark, sf_dir, r"and\..", regex=True, multiline="line").select(*PLACE)
+
+
+def filter_type_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type that stands for several extensions."""
+    ext = F.when(F.col("ext") == "en", "cc").when(F.col("ext") == "fr", "cpp").when(F.col("ext") == "de", "h").otherwise(F.col("ext"))
+    return search(_text(spark, sf_dir).withColumn("ext", ext), LITERAL, SearchOptions(types=("cpp",))).found.select(*PLACE)
 
-    packed = _docs(spark, sf_dir).select(*SOURCE.names).withColumns({"path": F.concat("path", F.lit(".gz")), "ext": F.lit("gz")}).mapInArrow(squeeze, SOURCE)
-    return search(expand(packed, decompress=True), LITERAL).found.select(*PLACE)
 
+def scan_with_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_docs(spark, sf_dir).drop("text"), LITERAL, SearchOptions(include_binary=True)).found.select(*PLACE)
 
-def archive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x in b.column(5):
-                with zipfile.ZipFile(buf := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("in/text.txt", x.as_py())
-                out.append(buf.getvalue())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=b.schema.names)
 
-    packed = _docs(spark, sf_dir).select(*SOURCE.names).withColumn("path", F.concat("path", F.lit(".zip"))).mapInArrow(squeeze, SOURCE)
-    return search(expand(packed, archives=True), LITERAL).found.select(*PLACE)
+def size_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a build skips when a few files are recorded as too large."""
+    large = F.when(F.col("file_id") % 9 == 4, F.lit(MAX_FILE_BYTES + 1)).otherwise(F.col("size_bytes"))
+    return index_ops.build_stats(_docs(spark, sf_dir).withColumn("size_bytes", large.cast("long"))).drop("bytes_scanned")
 
 
 def multiline_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,10 +336,16 @@ QUERIES: dict[str, Query] = {
     "index_search_regex": _indexed(FRAGMENTS, regex=True),
     "index_search_ignore_case": _indexed(FOLDED, ignore_case=True),
     "index_full_scan": _indexed("Th"),
+    "decompress_search": _squeezed("gz", gzip.compress),
+    "decompress_bz2": _squeezed("bz2", bz2.compress),
+    "decompress_xz": _squeezed("xz", partial(lzma.compress, preset=0)),
+    "decompress_zst": _squeezed("zst", _zst),
+    "archive_search": _squeezed("zip", _zipped),
+    "archive_tar": _squeezed("tar.gz", _tarred),
 } | {f.__name__: f for f in (
     line_offsets, context_lines, context_merged, context_blocks, render_grep, render_grep_context, render_jsonl, count_matches, count_json, count_by_file, files_with_matches, files_json,
     max_results, truncated_lines, file_table, build_stats, trigram_postings, trigram_offsets, trigram_doc_frequency, candidates_literal, candidates_regex, candidates_ignore_case,
-    bloom_candidates, query_stats, index_update, stale_files, decompress_search, archive_search, multiline_document, scan_pages, stream_mode, stream_search, debounce_batches, idle_state,
+    bloom_candidates, bloom_stored, query_stats, index_update, stale_files, multiline_document, scan_dot_all, filter_type_alias, scan_with_binary, size_limit, scan_pages, stream_mode, stream_search, debounce_batches, idle_state,
 )}
 
 # --- SQL -------------------------------------------------------------------------------
@@ -418,6 +465,14 @@ SELECT {len(plan(RARE).trigrams)}::BIGINT AS trigrams_queried, 3::BIGINT AS post
 UNION ALL SELECT 'gone/' || path, 'deleted' FROM files WHERE file_id % 11 = 3""",
     "decompress_search": f"{_literal_sql(LITERAL)} SELECT path || '.gz' AS path, line_number, col, line_content, byte_offset FROM found",
     "archive_search": f"{_literal_sql(LITERAL)} SELECT path || '.zip:in/text.txt' AS path, line_number, col, line_content, byte_offset FROM found",
+    **{name: f"{_literal_sql(LITERAL)} SELECT path || '.{ext}' AS path, line_number, col, line_content, byte_offset FROM found" for name, ext in (("decompress_bz2", "bz2"), ("decompress_xz", "xz"), ("decompress_zst", "zst"))},
+    "archive_tar": f"{_literal_sql(LITERAL)} SELECT path || '.tar.gz:in/text.txt' AS path, line_number, col, line_content, byte_offset FROM found",
+    "scan_dot_all": _found_sql("regexp_matches(raw, 'and\\.(?s:.)')", "regexp_extract(raw, '(?s)^(.*?)and\\..', 1)") + _ALL,
+    "filter_type_alias": _literal_sql(LITERAL, "ext IN ('en', 'fr')") + _ALL,
+    "scan_with_binary": _literal_sql(LITERAL, scope="true") + _ALL,
+    "size_limit": f"WITH {_FILES} SELECT count(*) AS files_scanned, count(*) FILTER (is_binary AND file_id % 9 <> 4) AS files_skipped_binary, count(*) FILTER (file_id % 9 = 4) AS files_skipped_size FROM files",
+    "bloom_candidates": _division_sql(list(plan(RARE).trigrams)).replace(" WHERE NOT is_binary", ""),
+    "bloom_stored": _RARE_SQL + _ALL,
     "multiline_document": f"""WITH {_FILES}, m AS (SELECT path, regexp_extract(text, '(?s)^(.*?)and\\.\\n[A-Z]', 1) AS head FROM files WHERE NOT is_binary AND regexp_matches(text, 'and\\.\\n[A-Z]'))
 SELECT path, (1 + length(head) - length(replace(head, chr(10), '')))::INT AS line_number, (strlen(regexp_extract(head, '[^\\n]*$')) + 1)::INT AS col, strlen(head)::BIGINT AS byte_offset FROM m""",
     "scan_pages": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, substr(hex(encode(coalesce(html, ''))), 1, 1024) AS head FROM pages),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import types as T
 
 from .errors import InvalidOptions
 
-VERSION = (1, 0)
+VERSION = (1, 1)
 MAX_FILE_BYTES = 100 * 1024 * 1024
 #: Fixed value: results of the command line unless told otherwise; the library has no limit.
 CLI_MAX_RESULTS = 100
@@ -24,12 +24,7 @@ FILES = T.StructType([
 ])
 POSTINGS = T.StructType([T.StructField("trigram", T.IntegerType()), T.StructField("file_id", T.LongType()), T.StructField("tf", T.IntegerType())])
 DICTIONARY = T.StructType([T.StructField("trigram", T.IntegerType()), T.StructField("doc_frequency", T.LongType())])
-MATCHES = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("line_number", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("line_content", T.StringType()),
-    T.StructField("byte_offset", T.LongType()), T.StructField("context_before", T.ArrayType(T.StringType())), T.StructField("context_after", T.ArrayType(T.StringType())),
-    T.StructField("is_binary", T.BooleanType()),
-])
-
+BLOOMS = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("bloom", T.BinaryType())])
 
 @dataclass(frozen=True)
 class SearchOptions:
@@ -43,12 +38,10 @@ class SearchOptions:
     context: int = 0
     max_results: int = 0
     count_only: bool = False
-    files_only: bool = False
     include_binary: bool = False
     decompress: bool = False
     archives: bool = False
     stream: bool = False
-    extra: dict = field(default_factory=dict, compare=False)
 
     def checked(self) -> SearchOptions:
         if self.multiline not in (None, "line", "document"):

@@ -146,6 +146,19 @@ def test_index_finds_what_a_scan_finds(spark, stored, pattern, options):
     assert key(search(source(spark, TEXTS), pattern, o, StoredIndex(spark, stored))) == key(search(source(spark, TEXTS), pattern, o))
 
 
+def test_stored_filters(spark, stored):
+    from lexgrain.operators.candidates import candidates
+    from lexgrain.plans.planner import plan
+
+    index = StoredIndex(spark, stored)
+    assert index.blooms.count() == 7
+    for pattern in ("License under MIT", "needle in hay", "fn main() {"):
+        want = {r["path"] for r in search(source(spark, TEXTS), pattern).found.collect()}
+        ids = {r["file_id"] for r in candidates(plan(pattern), index, filters=True)[0].collect()}
+        plain = {r["file_id"] for r in candidates(plan(pattern), index)[0].collect()}
+        assert ids <= plain and want == {r["path"] for r in index.files.collect() if r["file_id"] in ids}
+
+
 def test_stats(spark, stored):
     s = search(source(spark, TEXTS), "needle", SearchOptions(), StoredIndex(spark, stored)).stats().first()
     assert (s["trigrams_queried"], s["candidate_files"], s["files_verified"], s["total_matches"]) == (4, 1, 1, 1) and s["bytes_verified"] == len(TEXTS["e.txt"])
