@@ -25,12 +25,16 @@ from .state import IdleTracker, WatcherState
 DEBOUNCE_MS = 500
 
 
-def debounce(events: DataFrame, path: Column, ts: Column, silence_ms: int = DEBOUNCE_MS, slice_s: int = 3600) -> DataFrame:
+def debounce(events: DataFrame, path: Column, ts: Column, silence_ms: int = DEBOUNCE_MS, slice_s: int = 3600, slice_rows: int = 500_000) -> DataFrame:
     """batch_start, batch_end, n_events, paths (distinct, sorted): a batch ends where nothing follows within silence_ms.
 
-    Gaps are found within slices of time; only each slice's ends meet in one place to join batches across slices."""
+    Gaps are found within slices of time, each slice_s long or, where it has more than slice_rows events, an even part of that;
+    only each slice's ends meet in one place to join batches across slices."""
     rows = events.select(path.alias("path"), F.unix_micros(ts).alias("us")).where(F.col("us").isNotNull())
-    rows = rows.withColumn("slice", F.floor(F.col("us") / F.lit(slice_s * 1_000_000)))
+    whole = slice_s * 1_000_000
+    rows = rows.withColumn("from", F.floor(F.col("us") / F.lit(whole)) * whole)
+    dense = rows.groupBy("from").agg(F.count(F.lit(1)).alias("n")).select("from", F.greatest(F.lit(1), F.floor(F.lit(whole) / F.ceil(F.col("n") / slice_rows))).alias("step"))
+    rows = rows.join(dense, "from").select("path", "us", (F.col("from") + F.floor((F.col("us") - F.col("from")) / F.col("step")) * F.col("step")).alias("slice"))
     ends = rows.groupBy("slice").agg(F.min("us").alias("first"), F.max("us").alias("last"))
     ends = ends.select("slice", F.lag("last").over(W.orderBy("slice")).alias("before"))
     w = W.partitionBy("slice").orderBy("us")

@@ -6,6 +6,8 @@ import io
 import json
 import lzma
 import os
+import random
+import re
 import tarfile
 import zipfile
 
@@ -34,14 +36,37 @@ def found(spark, files, pattern, **options):
     return sorted((m["path"], m["line_number"], m["col"], m["byte_offset"], m["line_content"]) for m in r.found.collect())
 
 
-BASIC = {"test1.txt": "hello world\nthis is a test\na search tool", "test2.txt": "another file\nwith different content\nhello again", "binary.dat": b"some data\0with null byte"}
+def by_hand(files: dict, hit) -> list:
+    """What a search has to find in texts, line by line: hit gives the column (from 0) of a line's first match or -1."""
+    out = []
+    for path, text in files.items():
+        at = 0
+        for n, raw in enumerate(text.splitlines(keepends=True), 1):
+            k = hit(raw)
+            if k >= 0:
+                lead = len(raw[:k].encode())
+                out.append((path, n, lead + 1, at + lead, raw.rstrip()))
+            at += len(raw.encode())
+    return sorted(out)
 
 
-def test_basic(spark):
-    assert [m[:3] for m in found(spark, BASIC, "hello")] == [("test1.txt", 1, 1), ("test2.txt", 3, 1)]
-    assert found(spark, BASIC, "null byte")[0][0] == "binary.dat"
-    code = {"code.rs": 'fn main() {\n    let x = 42;\n    println!("{}", x);\n}'}
-    assert found(spark, code, "let [a-z] =", regex=True) == [("code.rs", 2, 5, 16, "    let x = 42;")]
+@pytest.fixture(scope="module")
+def prose():
+    """Texts of random words with accents, blank lines and trailing blanks."""
+    r = random.Random(12)
+    words = ["oak", "elm", "ash-tree", "42", "7", "é", "été", "birch", "Oak"]
+    line = lambda: " ".join(r.choice(words) for _ in range(r.randint(0, 6))) + r.choice(["", " ", "\t"])
+    return {f"wood/{i}.{r.choice(['md', 'txt', 'cc', 'cpp'])}": "\n".join(line() for _ in range(r.randint(0, 30))) + r.choice(["", "\n"]) for i in range(12)}
+
+
+def test_literals_and_patterns(spark, prose):
+    ascii_only = dict(include_binary=True)  # accents may make a short text look binary
+    for literal in ("oak", "sh-t", "été", "7"):
+        assert found(spark, prose, literal, **ascii_only) == by_hand(prose, lambda x, p=literal: x.find(p))
+    for pattern in ("[0-9]+ e", "^(oak|elm) ", "b.rch\\b"):
+        assert found(spark, prose, pattern, regex=True, **ascii_only) == by_hand(prose, lambda x, p=pattern: m.start() if (m := re.search(p, x)) else -1)
+    assert found(spark, prose, "OAK", ignore_case=True, **ascii_only) == by_hand(prose, lambda x: x.lower().find("oak"))
+    assert found(spark, {"raw.dat": b"seeds\0and a zero byte\n" * 3}, "zero")[0][:2] == ("raw.dat", 1)
 
 
 def test_edges(spark):
@@ -59,7 +84,7 @@ def test_edges(spark):
     assert found(spark, {"r.txt": "a\rb\n"}, "a.b", regex=True) != []
     assert len(found(spark, {"k.txt": "K and ſ\n"}, "k", ignore_case=True, include_binary=True)) == 1
     with pytest.raises(InvalidPattern):
-        found(spark, BASIC, "(", regex=True)
+        found(spark, {"a.txt": "x"}, "(", regex=True)
 
 
 def test_sizes_and_repeats(spark):
@@ -83,23 +108,29 @@ def test_large_file(spark):
     assert (lines["line_number"], lines["byte_offset"]) == (n, (n - 1) * len(line))
 
 
-def test_context(spark):
-    text = {"f.txt": "match\nmatch\nmatch\nother\nother\nmatch"}
-    rows = sorted(search(source(spark, text), "match", SearchOptions(context=1)).found.collect(), key=lambda r: r["line_number"])
-    assert [(r["context_before"], r["context_after"]) for r in rows] == [([], ["match"]), (["match"], ["match"]), (["match"], ["other"]), (["other"], [])]
-    one = search(source(spark, {"f.txt": "line1\nline2\nmatch\nline4\n"}), "match", SearchOptions(context=2)).found.first()
-    assert (one["context_before"], one["context_after"]) == (["line1", "line2"], ["line4"])
-    two = sorted(search(source(spark, {"f.txt": "match1\nline2\nmatch2\nline4\nline5"}), "match", SearchOptions(context=2)).found.collect(), key=lambda r: r["line_number"])
-    assert two[0]["context_after"] == ["line2", "match2"] and two[1]["context_before"] == ["match1", "line2"] and two[1]["context_after"] == ["line4", "line5"]
-    gap = search(source(spark, {"f.txt": "x\n" * 3 + "hit\n" + "x\n" * 5 + "hit\n"}), "hit", SearchOptions(context=1)).found
-    assert sorted((r["line_number"], r["block"]) for r in matching.blocks(matching.with_context_lines(gap, 1)).collect()) == [(3, 1), (4, 1), (5, 1), (9, 2), (10, 2)]
+def test_context(spark, prose):
+    for n in (1, 3):
+        got = search(source(spark, prose), "elm", SearchOptions(context=n, include_binary=True)).found
+        want = {}
+        for path, text in prose.items():
+            lines = [x.rstrip() for x in text.splitlines()]
+            for i, x in enumerate(lines):
+                if "elm" in x:
+                    want[path, i + 1] = (lines[max(0, i - n) : i], lines[i + 1 : i + 1 + n])
+        assert {(r["path"], r["line_number"]): (r["context_before"], r["context_after"]) for r in got.collect()} == want
+        shown = {(p, k) for p, i in want for k in range(max(1, i - n), min(len(prose[p].splitlines()), i + n) + 1)}
+        blocks = matching.blocks(matching.with_context_lines(got, n)).collect()
+        assert {(r["path"], r["line_number"]) for r in blocks} == shown and len(blocks) == len(shown)
+        for r in blocks:  # a block goes on where the line before is shown too
+            assert r["block"] == sum((r["path"], k) in shown and (r["path"], k - 1) not in shown for k in range(1, r["line_number"] + 1))
 
 
 def test_types_prefix_multiline(spark):
-    three = {"src/file.rs": "findme", "src/file.py": "findme", "srcx/file.txt": "findme"}
-    assert len(found(spark, three, "findme", types=("rs",))) == 1 and len(found(spark, three, "findme", types=("rs", "py"))) == 2
-    assert len(found(spark, three, "findme", path_prefix="src")) == 2
-    assert [m[0] for m in found(spark, three, "findme", path_prefix="srcx", max_results=1)] == ["srcx/file.txt"]  # filtered before limited
+    tree = {f"{d}/{n}.{e}": f"a {n} here\n" for d in ("lib", "lib2", "lib/in") for n in ("x", "y") for e in ("cc", "cpp", "md")}
+    paths = lambda **o: {m[0] for m in found(spark, tree, "here", **o)}
+    assert paths(types=("md",)) == {p for p in tree if p.endswith(".md")} and paths(types=("cpp", "md")) == set(tree)  # one name for several extensions
+    assert paths(path_prefix="lib") == {p for p in tree if p.startswith("lib/")} and paths(path_prefix="lib/in/") == {p for p in tree if p.startswith("lib/in/")}
+    assert paths(path_prefix="lib2", max_results=2) == {"lib2/x.cc", "lib2/x.cpp"}  # filtered before limited
     lines = {"a.txt": "one\ntwo\nthree"}
     assert found(spark, lines, "one.two", regex=True, multiline="line") == []
     assert found(spark, lines, "wo.three", regex=True, multiline="document")[0][1:4] == (2, 2, 5)
@@ -323,6 +354,24 @@ def test_expand(spark):
     assert search(expand(packed, decompress=True), "needle").found.count() == 1
 
 
+def test_debounce_of_dense_times(spark):
+    import pyspark.sql.functions as F
+
+    r = random.Random(3)
+    times = sorted(r.randrange(0, 8_000) for _ in range(300)) + [20_000_000 + 700 * i for i in range(5)]
+    df = spark.createDataFrame([(t, f"p{t % 7}") for t in times], "ms long, path string").withColumn("ts", F.timestamp_millis("ms"))
+    want, batch = [], []
+    for t in times:
+        if batch and t - batch[-1] >= 50:
+            want.append(batch)
+            batch = []
+        batch.append(t)
+    want.append(batch)
+    for most in (1_000_000, 10):  # as one slice, and as many
+        got = changes.debounce(df, F.col("path"), F.col("ts"), silence_ms=50, slice_rows=most).orderBy("batch_start").collect()
+        assert [(x["n_events"], x["paths"]) for x in got] == [(len(b), sorted({f"p{t % 7}" for t in b})) for b in want]
+
+
 def test_streams(spark, tmp_path):
     import pyspark.sql.functions as F
 
