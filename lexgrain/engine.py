@@ -20,6 +20,8 @@ from .sources.files import list_files, listing, load_files, read_files
 from .streaming.state import WatcherState
 
 INDEX_FOLDER = ".lexgrain"
+#: Candidates that are named in a filter; more are joined.
+FEW = 1000
 
 
 @dataclass
@@ -65,7 +67,11 @@ def search(files: DataFrame, pattern: str, options: SearchOptions | None = None,
     if index is not None and not o.include_binary:
         ids, lookup = candidates(p, index, filters)
         all_files = index.files.select("file_id") if ids is None else ids
-        scope = files.join(index.files.select("file_id") if ids is None else ids, "file_id", "left_semi")
+        few = None if ids is None else [r["file_id"] for r in ids.limit(FEW + 1).collect()]
+        if few is not None and len(few) <= FEW:  # reaches the scan of files, which skips what holds none of them
+            scope = files.where(F.col("file_id").isin(few))
+        else:
+            scope = files.join(index.files.select("file_id") if ids is None else ids, "file_id", "left_semi")
     scope = eligible(scope, o)
     scope = load(scope) if load else scope
     scope = as_text(scope, o.include_binary or o.stream) if "text" not in scope.columns else scope

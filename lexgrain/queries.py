@@ -75,7 +75,8 @@ def _scan(pattern: str, **options) -> Query:
 
 def _indexed(pattern: str, **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search(_text(spark, sf_dir), pattern, SearchOptions(**options), _index(spark, sf_dir)).found.select(*PLACE)
+        # the index has no binary files
+        return search(_docs(spark, sf_dir).drop("content"), pattern, SearchOptions(**options), _index(spark, sf_dir)).found.select(*PLACE)
 
     return query
 
@@ -190,7 +191,7 @@ def bloom_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bloom_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search with the stored filters asked for the trigrams whose lists aren't read."""
-    return search(_text(spark, sf_dir), RARE, SearchOptions(), _index(spark, sf_dir), filters=True).found.select(*PLACE)
+    return search(_docs(spark, sf_dir).drop("content"), RARE, SearchOptions(), _index(spark, sf_dir), filters=True).found.select(*PLACE)
 
 
 def query_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
