@@ -66,7 +66,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 #: Bits of a set of marks; its table has a 64th as many rows at most.
-MARK_BITS = 1 << 26
+MARK_BITS = 1 << 24
 
 
 def marked(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
