@@ -8,7 +8,8 @@ Two bit counters share one 64-bit sum, 32 bits each, which holds 4 billion terms
 `within_radius` finds all fingerprints within a Hamming radius by permuted block
 tables: with B blocks and radius r, some B - r blocks agree exactly, so one table for
 each choice of B - r blocks, keyed by them, holds every pair; a count of differing
-bits confirms.  Equal fingerprints are collapsed first.
+bits confirms.  Equal fingerprints are collapsed first.  `fingerprint_edits` asks it for
+every ASKED-th identifier, against the fingerprints of all rows.
 
 Results for odd input: a null text counts as empty; no terms give the zero
 fingerprint; an empty table gives an empty result; equal texts have equal
@@ -28,6 +29,8 @@ from .common import SPACE, partitions, table
 
 HALVES, LANES = 2, 32
 BITS = HALVES * 64
+#: Rows whose identifier is divisible by ASKED are searched for; their neighbours differ in RADIUS bits at most.
+ASKED, RADIUS = 20, 3
 
 
 def fingerprints(texts: DataFrame, keys: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
@@ -94,8 +97,9 @@ SHA_PARTS = [(1 + 13 * i, 13 if i < 4 else 12) for i in range(5)]
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within of every row.
 
+    n_within: where ASKED divides the identifier, how many other distinct fingerprints lie within RADIUS bits; null elsewhere.
     The edited text's last floor(n_chars / 3) code points give way to as many first ones (or all) of the next document."""
     n = F.char_length("text")
     m = F.floor(n / 3).cast("int")
@@ -112,11 +116,16 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     each = table(voted.groupBy("part", "nth").agg(*[F.max(c).alias(c) for c in carry], *picks), "fingerprints")
     after = each.select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("f0").alias("g0"), F.col("f1").alias("g1")).dropDuplicates(["next_id", "next_th"])
     joined = each.alias("a").join(after.alias("b"), F.col("a.next_id").eqNullSafe(F.col("b.next_id")) & (F.col("a.next_th") == F.col("b.next_th")), "left")
+    asked = F.col("doc_id") % ASKED == 0
+    found = within_radius(each.where(asked), each, RADIUS).where("distance > 0")
+    counts = table(found.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("others")), "fingerprint-neighbours")
+    joined = joined.join(counts.alias("n"), (F.col("a.f0") == F.col("n.f0")) & (F.col("a.f1") == F.col("n.f1")), "left")
     digest = F.concat(*[F.lpad(F.hex(f"x{i}"), k, "0") for i, (_, k) in enumerate(SHA_PARTS)])
+    joined = joined.select(F.col("a.*"), "g0", "g1", F.when(asked, F.coalesce("others", F.lit(0))).alias("n_within"))
     return joined.select(
         "doc_id", "n_chars", F.lower(digest).alias("edited_sha256"), hexed("f0", "f1").alias("fingerprint"), hexed("e0", "e1").alias("edited_fingerprint"),
-        likeness(("f0", "f1"), ("e0", "e1")).alias("near_edited"), likeness(("f0", "f1"), ("g0", "g1")).alias("near_next"),
-    )
+        likeness(("f0", "f1"), ("e0", "e1")).alias("near_edited"), likeness(("f0", "f1"), ("g0", "g1")).alias("near_next"), "n_within",
+    )
 
 
 def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -125,20 +134,18 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks:
         raise ValueError("0 <= radius < blocks")
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
 
-    def block(i: int, a: str, b: str) -> Column:
-        lo, hi = edges[i], edges[i + 1]
-        parts = []
-        for base, c in ((0, a), (64, b)):
-            s, e = max(lo, base) - base, min(hi, base + 64) - base
-            if s < e:
-                parts.append(F.shiftrightunsigned(F.shiftleft(c, 64 - e), 64 - (e - s)))
-        return F.concat_ws(",", *[p.cast("string") for p in parts])
+    def signed(mask: int) -> Column:
+        return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
     def tables(df: DataFrame, a: str, b: str) -> DataFrame:
+        """Each distinct fingerprint once a table, keyed by the bits of the table's blocks."""
         rows = df.select(F.col("f0").alias(a), F.col("f1").alias(b)).distinct()
-        keys = [F.struct(F.lit(k).alias("k"), F.concat_ws("|", *[block(i, a, b) for i in c]).alias("v")) for k, c in enumerate(combinations(range(blocks), blocks - radius))]
-        return rows.select(a, b, F.explode(F.array(*keys)).alias("e")).select(a, b, "e.k", "e.v")
+        keys = []
+        for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+            mask = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen)
+            keys.append(F.struct(F.lit(k).alias("k"), F.col(a).bitwiseAND(signed(mask & (1 << 64) - 1)).alias("u"), F.col(b).bitwiseAND(signed(mask >> 64)).alias("v")))
+        return rows.select(a, b, F.explode(F.array(*keys)).alias("e")).select(a, b, "e.k", "e.u", "e.v")
 
     d = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
-    pairs = tables(queries, "f0", "f1").join(tables(index, "g0", "g1"), ["k", "v"]).where(d <= radius)
+    pairs = tables(queries, "f0", "f1").join(tables(index, "g0", "g1"), ["k", "u", "v"]).where(d <= radius)
     return pairs.select("f0", "f1", "g0", "g1", d.alias("distance")).distinct()

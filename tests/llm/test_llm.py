@@ -155,11 +155,30 @@ def test_fingerprints_are_the_votes(spark, docs, rows):
         m = len(t) // 3
         f, g = simhash(t), simhash(t[: len(t) - m] + after[:m])
         assert (got[d]["fingerprint"], got[d]["edited_fingerprint"]) == (f, g) and got[d]["near_edited"] == pytest.approx(bits(f, g)) and got[d]["near_next"] == pytest.approx(bits(f, simhash(after)))
+    kinds = {int(r["fingerprint"], 16) for r in got.values()}
+    for d, r in got.items():
+        f = int(r["fingerprint"], 16)
+        assert r["n_within"] == (sum(0 < bin(f ^ g).count("1") <= 3 for g in kinds) if d % 20 == 0 else None)
     same = [(5, "one two three four"), (5, "one two three four"), (5, "other words"), (None, None), (None, "x"), (None, "x")]
     out = fingerprints.fingerprint_edits(spark.createDataFrame(same, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["fingerprint"]) for r in out) == sorted((d or 0, simhash(t or "")) for d, t in same)
 
 
+def test_fingerprints_count_neighbours(spark):
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    rows = []
+    for i in range(60):  # long texts with a word or two edited differ in few bits
+        w = list(base)
+        for _ in range(i % 4):
+            w[r.randrange(len(w))] = f"x{i}"
+        rows.append((i * 5, " ".join(w)))
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kinds = {int(simhash(t), 16) for _, t in rows}
+    want = {d: sum(0 < bin(int(simhash(t), 16) ^ g).count("1") <= 3 for g in kinds) for d, t in rows if d % 20 == 0}
+    assert {x["doc_id"]: x["n_within"] for x in got if x["doc_id"] % 20 == 0} == want and sum(want.values()) > 0
+
+
 def test_fingerprint_search(spark):
     r = random.Random(5)
     base = [(r.getrandbits(64) - 2**63, r.getrandbits(64) - 2**63) for _ in range(40)]
