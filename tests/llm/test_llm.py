@@ -43,7 +43,7 @@ def some_texts(n=60, seed=3):
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i * 3 - 20, t, ["en", "fr", None][i % 3], ["s1", "s2", None, "s1"][i % 4], len(t or "")) for i, t in enumerate(some_texts())]
-    df = spark.createDataFrame(rows, DOCS).withColumns({"key": F.lit(1), "size": F.lit("clash"), "salt": F.lit(2), "id": F.lit(3)})
+    df = spark.createDataFrame(rows, DOCS).withColumns({"key": F.lit(1), "size": F.lit("clash"), "salt": F.lit(2), "id": F.lit(3), "row": F.lit(4), "doc": F.lit("x"), "maybe": F.lit(True), "mark_word": F.lit(1), "score": F.lit(0.5), "copies": F.lit(7), "part": F.lit(0), "nth": F.lit(0)})
     return df.repartition(3).cache()
 
 
