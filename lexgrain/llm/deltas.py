@@ -40,6 +40,8 @@ from .shingles import mix
 CROWDED, WIDE = 1200, 4096
 #: Bytes of sets behind one bucket of differences.
 BUCKET_BYTES = 16 << 20
+#: Entries that a task holds before it passes on those of lists that are too large anyway; members of a family that its pivot is chosen by.
+HELD, RANKED = 4_000_000, 50_000
 #: Sets that are compared in memory.
 SETS_BYTES = 48 << 20
 
@@ -103,16 +105,37 @@ def _shared(percent: int):
     """Links as they came, pairs that share an element, and lists that are left for the next round."""
     k, m = 100 + percent, 100 - percent
 
+    def out(kind: int, value: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(value), pa.array(a), pa.array(b)], names=["kind", "value", "a", "b"])
+
+    def listed(x: dict[str, np.ndarray], which: np.ndarray) -> pa.RecordBatch:
+        return out(LISTED, x["key"][which].view(np.int64), x["id"][which], x["far"][which].astype(np.int64))
+
     def meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        links, entries = [], []
+        entries, rows, most, over = [], 0, HELD, np.zeros(0, np.uint64)
         for p in parts:
-            (entries if "key" in p else links).append(p)
-        near, x = joined(links), joined(entries)
-        out = [(LINK, np.zeros(len(near["a"]), np.int64), near["a"], near["b"])] if near else []
-        if x:
-            out += _pairs(x, percent, k, m)
-        for kind, value, a, b in out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(value), pa.array(a), pa.array(b)], names=["kind", "value", "a", "b"])
+            if "key" not in p:
+                yield out(LINK, np.zeros(len(p["a"]), np.int64), p["a"], p["b"])
+                continue
+            if len(over):
+                hot = np.isin(p["key"], over)
+                yield listed(p, hot)
+                p = {c: v[~hot] for c, v in p.items()}
+            entries.append(p)
+            rows += len(p["key"])
+            if rows > most:
+                x = joined(entries)
+                kinds, inverse, n = np.unique(x["key"], return_inverse=True, return_counts=True)
+                hot = (n > WIDE)[inverse]
+                yield listed(x, hot)
+                over = np.append(over, kinds[n > WIDE])
+                entries = [{c: v[~hot] for c, v in x.items()}]
+                rows = len(entries[0]["key"])
+                most = max(HELD, 2 * rows)
+        x = joined(entries)
+        if x and len(x["key"]):
+            for found in _pairs(x, percent, k, m):
+                yield out(*found)
 
     return meet
 
@@ -220,7 +243,9 @@ def _families(lists: DataFrame) -> DataFrame:
 
 
 def _with_pivots(families: DataFrame, sketches: DataFrame, buckets: int) -> DataFrame:
-    """value, id, pivot: each family(value, id) is led by the member whose values of sketches(id, sk) most of its members have."""
+    """value, id, pivot: each family(value, id) is led by the member whose values of sketches(id, sk) most of its members have.
+
+    Of a family of more than RANKED members an even part is looked at; any pivot is right, a central one is fast."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,10 +272,12 @@ def _with_pivots(families: DataFrame, sketches: DataFrame, buckets: int) -> Data
         x = joined(list(parts))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in summed(x, x["rank"])], names=["value", "id", "rank"])
 
-    sent = families.join(sketches, "id").select("value", "id", "sk").mapInArrow(lean(send), ROWS)
+    part = F.ceil(F.col("n") / RANKED)
+    ranked = families.join(families.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value").where(F.pmod(F.xxhash64("id"), part) == 0)
+    sent = ranked.join(sketches, "id").select("value", "id", "sk").mapInArrow(lean(send), ROWS)
     ranks = by_bucket(by_bucket(sent, buckets, count, ROWS), buckets, add, "value long, id long, rank long")
     best = ranks.groupBy("value").agg(F.max(F.struct("rank", (-F.col("id")).alias("back"), "id")).alias("h")).select("value", F.col("h.id").alias("pivot"))
-    return families.join(best, "value").where("id <> pivot")
+    return families.join(best, "value", "left").withColumn("pivot", F.coalesce("pivot", "value")).where("id <> pivot")
 
 
 def _crowded(lists: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -365,6 +365,9 @@ def test_near_dedup_families(spark, monkeypatch, crowded, wide, held):
     monkeypatch.setattr(deltas, "CROWDED", crowded)
     monkeypatch.setattr(deltas, "WIDE", wide)
     monkeypatch.setattr(deltas, "SETS_BYTES", held)  # 0: no list is compared in memory
+    if crowded < 1000:
+        monkeypatch.setattr(deltas, "HELD", 50)
+        monkeypatch.setattr(deltas, "RANKED", 20)
     vocab = [f"v{i}" for i in range(300)]
     texts, passage = [], [r.choice(vocab) for _ in range(40)]
     for size, copies in ((60, 60), (35, 30)):
