@@ -52,9 +52,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
+#: Narrow rows that one file of a table holds.
+ROWS_A_FILE = 250_000
+
+
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    rows: a bound on narrow rows that cost little to make; the table has no more files than they need."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = table(edges, "links")
     mark = _mark(edges)
     for _ in range(MAX_ROUNDS):
-        edges = table(_star(_star(edges, True), False), "stars")
+        edges = table(_star(_star(edges, True), False), "stars", mark[0])  # a round adds no edges but for the nodes' own
         before, mark = mark, _mark(edges)
         if mark == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -296,9 +296,10 @@ def long_list_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, limi
     rank: about how central a member is; sets(id, set) and sketches(id, sk) have every member."""
     percent, links, pairs = round(limit * 100), [], []
     n = partitions(lists.sparkSession)
-    lists = _with_pivots(table(_families(table(lists, "long-lists")), "families"), sketches, n)
+    listings = lists.count()  # lists is a table
+    lists = _with_pivots(table(_families(lists), "families", 2 * listings), sketches, n)
     while True:
-        lists = table(lists, "pivots")
+        lists = table(lists, "pivots", 2 * listings)
         volume = lists.join(sets.select("id", F.length("set").cast("long").alias("size")), "id").agg(F.sum("size")).first()[0] or 0
         buckets = max(n, -(-volume // BUCKET_BYTES))
         both = lists.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("other")), "pivot")
@@ -309,6 +310,7 @@ def long_list_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, limi
         again = out.where(F.col("kind") == LISTED).select("value", F.col("a").alias("id"), F.col("b").alias("far"))
         if again.isEmpty():
             break
+        listings = again.count()
         small, lists = _crowded(again, sets)
         links.append(table(small.repartition("value").sortWithinPartitions("value").mapInArrow(lean(_connected(percent)), "a long, b long"), "crowded-links"))
         if lists.isEmpty():

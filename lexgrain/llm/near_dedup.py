@@ -213,11 +213,12 @@ def link_lists(listed: DataFrame, limit: float, sets_of: Callable[[DataFrame], D
 
     sets_of gives id, set of a distinct id column."""
     listed = table(listed, "near-lists")
-    sizes = table(listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-list-sizes")
+    listings = listed.count()
+    sizes = table(listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-list-sizes", listings)
     sized = listed.join(sizes, "value")
     short = sized.where(F.col("members") <= SHORT).select("value", "id", "n", "sk")
     found = table(short.repartition("value").sortWithinPartitions("value").mapInArrow(lean(_list_pairs(limit)), "a long, b long").distinct(), "near-found")
-    long = table(sized.where(F.col("members") > SHORT).select("value", "id", "rank"), "near-long")
+    long = table(sized.where(F.col("members") > SHORT).select("value", "id", "rank"), "near-long", listings)
     wanted = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).unionByName(long.select("id")).distinct()
     sets = table(sets_of(wanted), "near-sets")
     links = compared(found, sets, limit)
