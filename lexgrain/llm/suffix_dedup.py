@@ -7,10 +7,11 @@ gram's windows are a stretch of starts around it.  Four steps:
 1. Anchors whose gram occurs once in the corpus can't have equal windows: gram hashes are
    counted over all documents and the repeated ones go back to their documents.
 2. Splitters from a sample of grams range-partition the suffixes at repeated anchors by
-   their leading bytes; a suffix takes along the bytes of all its windows.  Windows that
-   repeat within a task are settled there, and only the first is sent.
-3. Buckets sort suffixes by their leading gram, then the windows of equal grams by
-   multikey quicksort, eight bytes a key, tied windows on to the next key.  Windows
+   their leading bytes; a suffix takes along the bytes of all its windows.  Suffixes that
+   repeat within a task with all their bytes are settled there, and only the first is sent.
+3. Buckets sort suffixes by their leading gram.  Of suffixes equal in all their bytes only
+   the first stays in the sort.  Where different suffixes share a gram, their windows are
+   sorted by multikey quicksort, eight bytes a key, tied windows on to the next key.  Windows
    still tied are equal; all but the first in (doc_id, hash of the text, start) order are removed.
    Splitters are whole grams, so neighbours across a boundary differ in their gram.
 4. Each document gets its removed stretches and is cut.
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import lean, marked, partitions, table
 from .packed import ROWS, batch, by_bucket, deal, joined, pack
-from .shingles import mix
+from .shingles import _ODD, mix
 
 WINDOW, GRAM = 100, 32
-#: Bytes of text worked on at once, and of a long text's pieces; text behind one bucket.
-AT_ONCE, PIECE, BUCKET_BYTES = 1 << 20, 1 << 22, 6 << 20
+#: Bytes of text worked on at once (their hashes stay in a core's cache), and of a long text's pieces; text behind one bucket, and behind one that gathers by row.
+AT_ONCE, PIECE, BUCKET_BYTES, ROW_BYTES = 1 << 16, 1 << 20, 6 << 20, 24 << 20
+#: Anchors, and bytes of suffixes, that a task collects before it deals them: with many buckets a packed row still holds many.
+ASKED, HELD = 1_000_000, 8 << 20
 #: Grams sampled for each bucket, and how many of them make a gram heavy.
 SAMPLE, HEAVY = 96, 24
 #: Windows that are sorted at once.
@@ -69,21 +73,26 @@ class Chunk:
     rows: np.ndarray  # row of the batch
     base: int = 0  # where the piece starts in its text
 
-    def hashes(self, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Of each gram and of each window."""
+    def grams(self, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Of each gram, and of each four bytes; spread well in the high bits only."""
         b = _BASE[which]
-        h = _BYTE[which][self.data]
+        h = four = _BYTE[which][self.data]
         n = 1
         while n < GRAM:
             h = _double(h, n, n, h, b)
             n *= 2
             if n == 4:
                 four = h
-        grams = h
+        return h, four
+
+    def hashes(self, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Of each gram and of each window."""
+        b = _BASE[which]
+        h, four = self.grams(which)
         two = _double(h, 32, 32, h, b)
         three = _double(two, 64, 32, h, b) if len(h) > 64 else h[:0]
         whole = _double(three, 96, 4, four, b) if len(four) > 96 else h[:0]
-        return mix(grams), mix(whole)
+        return mix(h), mix(whole)
 
     def runs(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stretches of windows with one anchor: anchor, first window, last window, text."""
@@ -97,18 +106,18 @@ class Chunk:
         if span > n:
             key = np.minimum(key[: len(key) - (span - n)], key[span - n :])
         anchor = (key & _PLACE).astype(np.int64)  # of every window
-        ok = np.zeros(len(self.data) + 1, np.int8)
-        long = self.ends - self.starts >= WINDOW
-        np.add.at(ok, self.starts[long], 1)
-        np.add.at(ok, self.ends[long] - WINDOW + 1, -1)
-        at = np.flatnonzero(np.cumsum(ok)[: len(anchor)])
-        text = np.searchsorted(self.starts, at, "right") - 1
-        a = anchor[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (a[1:] != a[:-1]) | (text[1:] != text[:-1])
+        # runs end where the anchor changes, and where a text's windows begin and end
+        edges = np.concatenate([self.starts, np.maximum(self.ends - WINDOW + 1, self.starts)])
+        new = np.zeros(len(anchor) + 1, bool)
+        new[1:-1] = anchor[1:] != anchor[:-1]
+        new[edges[edges < len(anchor)]] = True
+        new[0] = new[-1] = True
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1 if len(first) else first
-        return a[first], at[first], at[last], text[first]
+        first, last = first[:-1], first[1:] - 1
+        text = np.searchsorted(self.starts, first, "right") - 1
+        inside = first + WINDOW <= self.ends[text]
+        first, last, text = first[inside], last[inside], text[inside]
+        return anchor[first], first, last, text
 
 
 def chunks(texts: pa.Array) -> Iterator[Chunk]:
@@ -136,6 +145,11 @@ def _grams_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, GRAM)[at]).view(f"S{GRAM}").ravel()
 
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash; ascending hashes have ascending buckets."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def _spread(row: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket that gathers what is known of a row."""
     return (mix(row.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -157,29 +171,41 @@ def _stretches(keep: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.
     return i[first], i[np.append(first[1:], len(i)) - 1]
 
 
-def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """row, blob (hashes h of the anchors of docs(row, text) whose gram occurs elsewhere too)."""
+def repeated_grams(docs: DataFrame, buckets: int, by_row: int) -> DataFrame:
+    """row, blob (hashes h of the anchors of docs(row, text) whose gram occurs elsewhere too), in by_row parts."""
+
+    def asked(h: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(h)
+        h, row = h[order], row[order]
+        heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        n = np.diff(np.append(heads, len(h)))
+        rows = [(k, pack(cols)) for k, cols in deal(_bucket(h[heads], buckets), {"h": h[heads], "row": row[heads], "many": n > 1})]
+        here = np.repeat(n > 1, n)  # known to repeat without asking
+        return batch(rows + [(k, pack(cols)) for k, cols in deal(_spread(row[here], buckets), {"row": row[here], "known": h[here]})])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             ids = b.column(0).to_numpy()
             for c in chunks(b.column(1)):
-                grams, _ = c.hashes()
+                grams, _ = c.grams()
                 anchor, _, _, text = c.runs(grams)
-                h, row = grams[anchor], ids[c.rows[text]] if len(text) else np.zeros(0, np.int64)
-                kind, at, inv, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                rows = [(k, pack(cols)) for k, cols in deal((kind % np.uint64(buckets)).astype(np.int64), {"h": kind, "row": row[at], "many": n > 1})]
-                here = n[inv] > 1  # known to repeat without asking
-                rows += [(k, pack(cols)) for k, cols in deal(_spread(row[here], buckets), {"row": row[here], "known": h[here]})]
-                yield batch(rows)
+                if len(anchor):
+                    held.append((mix(grams[anchor]), ids[c.rows[text]]))
+                    n += len(anchor)
+                if n >= ASKED:
+                    yield asked(*map(np.concatenate, zip(*held, strict=True)))
+                    held, n = [], 0
+        if held:
+            yield asked(*map(np.concatenate, zip(*held, strict=True)))
 
     def meet(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        asked, known = [], []
+        firsts, known = [], []
         for p in parts:
-            (known if "known" in p else asked).append(p)
-        if asked:
-            a = joined(asked)
-            order = np.argsort(a["h"], kind="stable")
+            (known if "known" in p else firsts).append(p)
+        if firsts:
+            a = joined(firsts)
+            order = np.argsort(a["h"])
             h, row, many = a["h"][order], a["row"][order], a["many"][order]
             same = h[1:] == h[:-1]
             twice = np.zeros(len(h), bool)
@@ -189,14 +215,14 @@ def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
             known.append({"row": row[keep], "known": h[keep]})
         if known:
             x = joined(known)
-            yield batch([(k, pack(cols)) for k, cols in deal(_spread(x["row"], buckets), x)])
+            yield batch([(k, pack(cols)) for k, cols in deal(_spread(x["row"], by_row), x)])
 
     def gather(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         x = joined(list(parts))
         out = [(r, np.unique(cols["known"]).tobytes()) for r, cols in deal(x["row"], {"known": x["known"]})]
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([y for _, y in out], pa.binary())], names=["row", "blob"])
 
-    return by_bucket(by_bucket(docs.mapInArrow(lean(send), ROWS), buckets, meet, ROWS), buckets, gather, "row long, blob binary")
+    return by_bucket(by_bucket(docs.mapInArrow(lean(send), ROWS), buckets, meet, ROWS), by_row, gather, "row long, blob binary")
 
 
 def splitters(docs: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, set[bytes]]:
@@ -207,10 +233,11 @@ def splitters(docs: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, se
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            keys = b.column(0).to_numpy().view(np.uint64)
             for c in chunks(b.column(1)):
-                anchor = c.runs(c.hashes()[0])[0]
+                anchor = c.runs(c.grams()[0])[0]
                 # a gram's place in the sample rests on where it lies, so that frequent grams are drawn often
-                drawn = mix(anchor.astype(np.uint64) + np.uint64(len(c.data)) * np.uint64(7919)) >> np.uint64(32) < np.uint64(rate * (1 << 32))
+                drawn = mix(anchor.astype(np.uint64) + mix(keys[c.rows[:1]] + np.uint64(c.base))) >> np.uint64(32) < np.uint64(rate * (1 << 32))
                 yield pa.RecordBatch.from_arrays([pa.array(_grams_at(c.data, anchor[drawn]).tolist(), pa.binary())], names=["g"])
 
     # of a small share, a quarter of the documents is read, and more of each
@@ -223,63 +250,113 @@ def splitters(docs: DataFrame, buckets: int, total: int) -> tuple[np.ndarray, se
     return cuts, {bytes(k).ljust(GRAM, b"\0") for k in kinds[n >= max(4, HEAVY * len(got) / want)]}
 
 
+def _run_hash(grams: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Of all bytes of stretches of windows, and of their anchors' places."""
+    h = ((last - first) * WINDOW + anchor - first).astype(np.uint64)
+    for i, at in enumerate((0, GRAM, 2 * GRAM, WINDOW - GRAM)):  # a window's grams cover it, its first and last window a stretch
+        h += grams[first + at] * _ODD[2 * i] + grams[last + at] * _ODD[2 * i + 1]
+    return mix(h)
+
+
+def _repeated(x: dict[str, np.ndarray], begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that equal an earlier one in all their bytes, and those that are another one in a repeated row."""
+    order = np.argsort(x["hash"])
+    h = x["hash"][order]
+    tied = np.zeros(len(h), bool)
+    tied[1:] = h[1:] == h[:-1]
+    tied[:-1] |= tied[1:]
+    who = order[tied]
+    who = who[np.lexsort((x["start"][who], x["row"][who], x["doc"][who], x["hash"][who]))]
+    head = np.append(True, x["hash"][who[1:]] != x["hash"][who[:-1]])[: len(who)]
+    least = who[head][np.cumsum(head) - 1]
+    who, least = who[~head], least[~head]
+    ok = (size[who] == size[least]) & (x["anchor"][who] == x["anchor"][least])
+    who, least = who[ok], least[ok]
+    if not len(who):
+        return who, who
+    a, b, last = begin[who], begin[least], size[who] - WINDOW
+    ok = _same(x["bytes"], a, b) & _same(x["bytes"], a + last, b + last)  # the first and the last window cover all
+    who, least = who[ok], least[ok]
+    itself = (x["row"][who] == x["row"][least]) & (x["start"][who] == x["start"][least])
+    return who[~itself], who[itself]
+
+
+def _dealt_windows(x: dict[str, np.ndarray], begin: np.ndarray, some: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Windows of some suffixes, each by its hash; equal ones but the first are settled."""
+    n = x["n"][some].astype(np.int64)
+    long = n + WINDOW - 1
+    data = _slices(x["bytes"], begin[some], long)
+    c = Chunk(data, np.cumsum(long) - long, np.cumsum(long), some)
+    at = _expand(c.starts, n)
+    place, doc, row = _expand(x["start"][some], n), np.repeat(x["doc"][some], n), np.repeat(x["row"][some], n)
+    h, h2 = c.hashes()[1][at], c.hashes(1)[1][at]
+    order = np.lexsort((place, row, doc, h2, h))
+    at, place, doc, row, h, h2 = (y[order] for y in (at, place, doc, row, h, h2))
+    head = np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]))
+    least = np.flatnonzero(head)[np.cumsum(head) - 1]
+    same = ~head
+    same[same] = _same(data, at[same], at[least[same]])
+    later = np.flatnonzero(same & ((row != row[least]) | (place != place[least])))
+    later = later[np.lexsort((place[later], row[later]))]
+    s, e = _stretches(np.ones(len(later), bool), place[later], row[later])
+    rows = _spans(doc[later[s]], row[later[s]], place[later[s]], place[later[e]], buckets)
+    cols = {"h": h[~same], "h2": h2[~same], "doc": doc[~same], "row": row[~same], "at": place[~same].astype(np.int64)}
+    return rows + [(k, pack(y)) for k, y in deal(_bucket(cols["h"], buckets), cols)]
+
+
 def suffixes(docs: DataFrame, cuts: np.ndarray, heavy: set[bytes], buckets: int) -> DataFrame:
     """Packed suffixes of docs(doc, text, row, blob) at repeated anchors, by bucket; and what a task has settled itself."""
     shared = docs.sparkSession.sparkContext.broadcast((cuts, np.array(sorted(heavy), f"S{GRAM}")))  # SAMPLE * buckets grams at most
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(x: dict[str, np.ndarray]) -> pa.RecordBatch:
         cuts, heavy = shared.value
+        size = x["n"].astype(np.int64) + WINDOW - 1
+        begin = np.cumsum(size) - size
+        # of equal suffixes all but the first are settled
+        later, same = _repeated(x, begin, size)
+        rows = _spans(x["doc"][later], x["row"][later], x["start"][later], x["start"][later] + x["n"][later] - 1, buckets)
+        left = np.ones(len(size), bool)
+        left[later] = left[same] = False
+        left = np.flatnonzero(left)
+        leads = _grams_at(x["bytes"], begin[left] + x["anchor"][left])
+        hot = np.isin(leads, heavy)
+        if hot.any():
+            rows += _dealt_windows(x, begin, left[hot], buckets)
+        left, leads = left[~hot], leads[~hot]
+        k = np.searchsorted(cuts, leads, "right")
+        order = np.argsort(k, kind="stable")
+        left, k = left[order], k[order]
+        cols = {name: x[name][left] for name in ("doc", "row", "start", "n", "anchor", "hash")}
+        data = _slices(x["bytes"], begin[left], size[left])
+        ends = np.append(0, np.cumsum(size[left]))
+        cut = [*np.flatnonzero(np.append(True, k[1:] != k[:-1])).tolist(), len(k)] if len(k) else []
+        for s, e in pairwise(cut):
+            rows.append((int(k[s]), pack({name: y[s:e] for name, y in cols.items()} | {"bytes": data[ends[s] : ends[e]]})))
+        return batch(rows)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             ids, keys, blobs = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()
             for c in chunks(b.column(1)):
-                grams, whole = c.hashes()
+                grams, _ = c.grams()
                 anchor, first, last, text = c.runs(grams)
-                keep = np.zeros(len(anchor), bool)
-                cut = np.searchsorted(text, np.arange(len(c.rows) + 1))
-                for t, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                    if e > s:
-                        keep[s:e] = np.isin(grams[anchor[s:e]], np.frombuffer(blobs[c.rows[t]], np.uint64))
-                anchor, first, last, text = anchor[keep], first[keep], last[keep], text[keep]
-                if not len(anchor):
+                # a gram that repeats is known to all its documents
+                keep = np.isin(mix(grams[anchor]), np.frombuffer(b"".join(blobs[c.rows[0] : c.rows[-1] + 1]), np.uint64))
+                if not keep.any():
                     continue
-                n = last - first + 1
-                run = np.repeat(np.arange(len(n)), n)
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[run]
-                doc, key = ids[c.rows[text]], keys[c.rows[text]]
-                place = at - c.starts[text][run] + c.base
-                # of equal windows in this chunk all but the first are settled
-                h = whole[at]
-                same = np.zeros(len(at), bool)
-                in_order = bool((np.diff(ids[c.rows]) > 0).all())
-                order = np.argsort(h) if in_order else np.lexsort((place, key[run], doc[run], h))
-                head = np.append(True, h[order[1:]] != h[order[:-1]])
-                heads = np.flatnonzero(head)
-                if len(heads) < len(order):
-                    group = np.cumsum(head) - 1
-                    # windows stand in (document, start) order if the documents do
-                    least = (np.minimum.reduceat(order, heads) if in_order else order[heads])[group]
-                    of = key[run]
-                    more = np.flatnonzero((of[order] != of[least]) | (place[order] != place[least]))  # a repeated row isn't later than itself
-                    same[order[more]] = _same(c.data, at[order[more]], at[least[more]])
-                rows = []
-                s, e = _stretches(same, at, run)
-                rows += _spans(doc[run[s]], key[run[s]], place[s], place[e], buckets)
-                s, e = _stretches(~same, at, run)
-                leads = _grams_at(c.data, anchor[run[s]])
-                hot = np.isin(leads, heavy)
-                if hot.any():
-                    _, other = c.hashes(1)
-                    w = np.concatenate([np.arange(i, j + 1) for i, j in zip(s[hot].tolist(), e[hot].tolist(), strict=True)])
-                    cols = {"h": h[w], "h2": other[at[w]], "doc": doc[run[w]], "row": key[run[w]], "at": place[w].astype(np.int64)}
-                    rows += [(k, pack(x)) for k, x in deal((h[w] % np.uint64(buckets)).astype(np.int64), cols)]
-                s, e, leads = s[~hot], e[~hot], leads[~hot]
-                if len(s):
-                    r = run[s]
-                    cols = {"doc": doc[r], "row": key[r], "start": place[s].astype(np.int64), "n": (e - s + 1).astype(np.int32), "anchor": (anchor[r] - at[s]).astype(np.int32), "from": at[s]}
-                    for k, x in deal(np.searchsorted(cuts, leads, "right"), cols):
-                        x["bytes"] = c.data[_expand(x.pop("from"), x["n"].astype(np.int64) + WINDOW - 1)]
-                        rows.append((k, pack(x)))
-                yield batch(rows)
+                anchor, first, last, text = anchor[keep], first[keep], last[keep], text[keep]
+                many = last - first + 1
+                of = c.rows[text]
+                data = _slices(c.data, first, many + WINDOW - 1)
+                cols = {"doc": ids[of], "row": keys[of], "start": first - c.starts[text] + c.base, "n": many.astype(np.int32), "anchor": (anchor - first).astype(np.int32)}
+                held.append(cols | {"hash": _run_hash(grams, first, last, anchor), "bytes": data})
+                n += len(data)
+                if n >= HELD:
+                    yield dealt(joined(held))
+                    held, n = [], 0
+        if held:
+            yield dealt(joined(held))
 
     return docs.mapInArrow(lean(send), ROWS)
 
@@ -289,6 +366,12 @@ def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
+def _slices(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n bytes from each start, end to end."""
+    raw = data.tobytes()
+    return np.frombuffer(b"".join([raw[a:b] for a, b in zip(start.tolist(), (start + n).tolist(), strict=True)]), np.uint8)
+
+
 def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight bytes at each place, as a number that sorts as they do."""
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").ravel().astype(np.uint64)
@@ -338,7 +421,7 @@ def _later(group: np.ndarray, index: np.ndarray, row: np.ndarray, place: np.ndar
     return (row[index] != row[first]) | (place[index] != place[first])
 
 
-def _sort_bucket(parts: Iterator[dict[str, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+def _sort_bucket(parts: Iterator[dict[str, np.ndarray]], by_row: int) -> Iterator[pa.RecordBatch]:
     settled, sent, hot = [], [], []
     for p in parts:
         (settled if "a" in p else hot if "h2" in p else sent).append(p)
@@ -362,9 +445,15 @@ def _sort_bucket(parts: Iterator[dict[str, np.ndarray]], buckets: int) -> Iterat
         x = joined(sent)
         size = x["n"].astype(np.int64) + WINDOW - 1
         begin = np.cumsum(size) - size
-        leads = _grams_at(x["bytes"], begin + x["anchor"])
-        order = np.lexsort((x["start"], x["row"], x["doc"], leads))
-        leads = leads[order]
+        # equal suffixes are one in the sort
+        later, same = _repeated(x, begin, size)
+        settled.append({"doc": x["doc"][later], "row": x["row"][later], "a": x["start"][later], "b": x["start"][later] + x["n"][later] - 1 + WINDOW})
+        order = np.ones(len(size), bool)
+        order[later] = order[same] = False
+        order = np.flatnonzero(order)
+        leads = _grams_at(x["bytes"], begin[order] + x["anchor"][order])
+        by = np.lexsort((x["start"][order], x["row"][order], x["doc"][order], leads))
+        order, leads = order[by], leads[by]
         new = np.ones(len(order), bool)
         new[1:] = leads[1:] != leads[:-1]
         alone = new & np.append(new[1:], True)
@@ -386,7 +475,7 @@ def _sort_bucket(parts: Iterator[dict[str, np.ndarray]], buckets: int) -> Iterat
             at = to
     if settled:
         x = joined(settled)
-        yield batch([(k, pack(c)) for k, c in deal(_spread(x["row"], buckets), x)])
+        yield batch([(k, pack(c)) for k, c in deal(_spread(x["row"], by_row), x)])
 
 
 def _of_rows(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -436,9 +525,9 @@ def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     id_ = F.col("doc_id").cast("long")
     rows = docs.select(id_.alias("doc_id"), "text", F.coalesce(id_, F.lit(NULL_ID)).alias("doc"), F.xxhash64(id_, "text").alias("row"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
+    buckets, by_row = (max(partitions(docs.sparkSession), -(-total // n)) for n in (BUCKET_BYTES, ROW_BYTES))
     cuts, heavy = splitters(rows.select("row", "text"), buckets, total)
-    again = table(repeated_grams(rows.select("row", "text"), buckets), "suffix-grams")
+    again = table(repeated_grams(rows.select("row", "text"), buckets, by_row), "suffix-grams")
     able = marked(rows.select("doc", "text", "row"), again.select("row"), "row").where("maybe").join(again, "row").select("doc", "text", "row", "blob")
-    settled = by_bucket(suffixes(able, cuts, heavy, buckets), buckets, lambda parts: _sort_bucket(parts, buckets), ROWS)
-    return cut_texts(rows, by_bucket(settled, buckets, _of_rows, "doc long, row long, blob binary"), texts)
+    settled = by_bucket(suffixes(able, cuts, heavy, buckets), buckets, lambda parts: _sort_bucket(parts, by_row), ROWS)
+    return cut_texts(rows, by_bucket(settled, by_row, _of_rows, "doc long, row long, blob binary"), texts)

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrain.llm import chat, components, deltas, exact_dedup, fingerprints, language, mixing, near_dedup, packing, queries, sharding, substring_dedup, suffix_dedup
+from lexgrain.llm import chat, components, deltas, exact_dedup, fingerprints, language, mixing, near_dedup, packed, packing, queries, sharding, substring_dedup, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -469,6 +470,49 @@ def test_suffix_dedup_short_chunks(spark):
         assert [(r["n_bytes"], r["n_removed"]) for r in got] == [(n, 0)]
 
 
+def sent_suffixes(rows, buckets=1):
+    """Packed suffixes (bucket, blob) that one task sends of rows (identifier, text), all of whose grams repeat."""
+    texts = pa.array([t for _, t in rows])
+    known = np.concatenate([c.hashes()[0] for c in suffix_dedup.chunks(texts)])
+    ids = pa.array([i for i, _ in rows], pa.int64())
+    task = pa.RecordBatch.from_arrays([ids, texts, ids, pa.array([known.tobytes()] * len(rows), pa.binary())], names=["doc", "text", "row", "blob"])
+    docs = types.SimpleNamespace(
+        sparkSession=types.SimpleNamespace(sparkContext=types.SimpleNamespace(broadcast=lambda x: types.SimpleNamespace(value=x))),
+        mapInArrow=lambda work, schema: [(k, y) for b in work(iter([task])) for k, y in zip(b["bucket"].to_pylist(), b["blob"].to_pylist(), strict=True)],
+    )
+    cuts = np.array(sorted(suffix_dedup._grams_at(np.frombuffer(texts[0].as_py().encode(), np.uint8), np.arange(0, 700, 100))), "S32")[: buckets - 1]
+    return suffix_dedup.suffixes(docs, cuts, set(), buckets)
+
+
+def test_suffix_dedup_sorts_equal_suffixes_once(monkeypatch):
+    """Copies that tasks have sent are compared whole: their windows don't enter the sort, and all but the first go."""
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefgh ") for _ in range(900))
+    sorted_ = []
+    sort = suffix_dedup.multikey_sort
+    monkeypatch.setattr(suffix_dedup, "multikey_sort", lambda data, at, lead: sorted_.append(len(at)) or sort(data, at, lead))
+    other = text[:450] + "#" + text[451:]  # its suffixes around the edit share grams with the others'
+    parts = [packed.unpack(y) for i, t in [*((i, text) for i in range(20)), (20, other)] for _, y in sent_suffixes([(i, t)])]
+    gone = collections.defaultdict(lambda: np.zeros(900, bool))
+    for b in suffix_dedup._sort_bucket(iter(parts), 1):
+        for y in b["blob"].to_pylist():
+            x = packed.unpack(y)
+            for row, s, e in zip(x["row"], x["a"], x["b"], strict=True):
+                gone[int(row)][s:e] = True
+    assert set(gone) == set(range(1, 21)) and all(gone[i].all() for i in range(1, 20))
+    assert np.flatnonzero(~gone[20]).tolist() == [450]
+    assert sum(sorted_) < 2 * 900  # of 21 texts with 801 windows
+
+
+def test_suffix_dedup_packs_many_chunks_at_once(monkeypatch):
+    """A task's packed rows don't grow with its chunks times the buckets."""
+    r = random.Random(5)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 4096)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(1000))) for i in range(80)]
+    sent = sent_suffixes(rows, 8)
+    assert len(sent) == len({k for k, _ in sent}) == 8
+
+
 def brute_substrings(rows, passage, line, n=5):
     """Words that go of each row (identifier, text), by comparing all lines and all stretches; rows in order."""
     words, lines = [], []
