@@ -20,8 +20,8 @@ from .sources.files import list_files, listing, load_files, read_files
 from .streaming.state import WatcherState
 
 INDEX_FOLDER = ".lexgrain"
-#: Candidates that are named in a filter; more are joined.
-FEW = 1000
+#: Candidates that are named in a filter, and those that are broadcast; more are joined with a shuffle of the texts.
+FEW, SENT = 1000, 1 << 20
 
 
 @dataclass
@@ -71,7 +71,8 @@ def search(files: DataFrame, pattern: str, options: SearchOptions | None = None,
         if few is not None and len(few) <= FEW:  # reaches the scan of files, which skips what holds none of them
             scope = files.where(F.col("file_id").isin(few))
         else:
-            scope = files.join(index.files.select("file_id") if ids is None else ids, "file_id", "left_semi")
+            n = index.meta["file_count"] if ids is None else ids.count()
+            scope = files.join(F.broadcast(all_files) if n <= SENT else all_files, "file_id", "left_semi")
     scope = eligible(scope, o)
     scope = load(scope) if load else scope
     scope = as_text(scope, o.include_binary or o.stream) if "text" not in scope.columns else scope

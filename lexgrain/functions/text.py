@@ -14,8 +14,8 @@ HEAD, SHOWN = 512, 200
 def is_binary(content: Column) -> Column:
     """More than 30 % of the first bytes are other than tab, line ends and 20..7E; empty content isn't."""
     head = F.substring(content, 1, HEAD)
-    odd = F.regexp_replace(F.hex(head), "09|0A|0D|[2-6].|7[0-9A-E]|(..)", "$1")
-    return F.length(odd) * 5 > F.octet_length(head) * 3
+    odd = F.regexp_replace(F.decode(head, "ISO-8859-1"), r"[\t\n\r -~]+", "")
+    return F.length(odd) * 10 > F.octet_length(head) * 3
 
 
 def lines(text: Column) -> Column:

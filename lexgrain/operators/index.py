@@ -15,10 +15,11 @@ from pyspark.storagelevel import StorageLevel
 
 from ..errors import IndexCorrupted, IndexMissing, TableMissing, UnsupportedVersion
 from ..functions.text import is_binary
-from ..functions.trigrams import blooms, postings
+from ..functions.trigrams import postings, surveyed
 from ..schema import BLOOMS, DICTIONARY, FILES, MAX_FILE_BYTES, POSTINGS, SOURCE, VERSION
 
 SKIPPED = "path string, mtime_ns long, size_bytes long"
+SKIPPED_NAMES = ("path", "mtime_ns", "size_bytes")
 TABLES = {"files": FILES, "postings": POSTINGS, "dictionary": DICTIONARY, "skipped": SKIPPED, "blooms": BLOOMS}
 META = "version_major int, version_minor int, created_at_us long, file_count long, posting_count long, trigram_count long, source_bytes long, skipped_binary long, skipped_size long, checksum string"
 
@@ -61,10 +62,14 @@ def usable(source: DataFrame) -> DataFrame:
 
 def build_stats(source: DataFrame) -> DataFrame:
     """files_scanned, files_skipped_binary, files_skipped_size, bytes_scanned of a source."""
+    return _totals(source.select("size_bytes", is_binary(F.col("content")).alias("is_binary")))
+
+
+def _totals(files: DataFrame) -> DataFrame:
     large = F.col("size_bytes") > MAX_FILE_BYTES
-    binary = ~large & is_binary(F.col("content"))
+    binary = ~large & F.col("is_binary")
     count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    return source.agg(
+    return files.agg(
         F.count(F.lit(1)).alias("files_scanned"), count(binary).alias("files_skipped_binary"), count(large).alias("files_skipped_size"),
         F.coalesce(F.sum(F.when(large, 0).otherwise(F.col("size_bytes"))), F.lit(0)).cast("long").alias("bytes_scanned"),
     )
@@ -74,37 +79,43 @@ def doc_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("trigram").agg(F.count(F.lit(1)).alias("doc_frequency"))
 
 
-def skipped(source: DataFrame) -> DataFrame:
-    """Files that aren't indexed, kept so that an update knows them."""
-    return source.where((F.col("size_bytes") > MAX_FILE_BYTES) | is_binary(F.col("content"))).select("path", "mtime_ns", "size_bytes")
+def _survey(source: DataFrame, at: str) -> DataFrame:
+    """FILES, indexed (null: neither that nor skipped) and bloom of source, stored at `at`: one pass tells all that is told of whole files."""
+    fits = F.col("size_bytes") <= MAX_FILE_BYTES
+    rows = source.select("file_id", "path", "ext", "mtime_ns", "size_bytes", is_binary(F.col("content")).alias("is_binary"), F.lit("fresh").alias("status"), "content")
+    rows = rows.withColumn("indexed", F.when(fits & ~F.col("is_binary"), True).when(~fits | F.col("is_binary"), False))
+    seen = surveyed(rows.withColumn("content", F.when(F.col("indexed"), F.col("content"))).withColumn("content_hash", F.md5("content")))
+    seen.write.option("compression", "zstd").parquet(at)
+    return source.sparkSession.read.schema(seen.schema).parquet(at)
+
+
+def _spread(source: DataFrame) -> DataFrame:
+    """source on all cores: a table may lie in fewer row groups."""
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
 
 
 #: How postings lie on disk: runs of a trigram and small steps of identifiers.
 ENCODING = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#file_id": "false"}
-#: Rows of a posting file about.
-POSTED = 4_000_000
+#: Postings for each file of the dictionary about.
+COUNTED = 64_000_000
 
 
 def _write(spark: SparkSession, root: str, version: int, files: DataFrame, posted: DataFrame, filters: DataFrame, left_out: DataFrame, counts: tuple[int, int]) -> None:
     at = f"{root}/v={version}"
     left_out.write.parquet(f"{at}/skipped")
     filters.select(*BLOOMS.names).write.option("compression", "zstd").parquet(f"{at}/blooms")
-    # extracted once, then dealt
-    posted.select(*POSTINGS.names).write.option("compression", "zstd").parquet(f"{at}/raw")
-    raw = spark.read.schema(POSTINGS).parquet(f"{at}/raw")
-    total = raw.count()
-    # frequent trigrams are split by file, and each file holds a narrow range, so a lookup skips most of them
-    dealt = raw.repartitionByRange(max(1, -(-total // POSTED)), "trigram", "file_id") if total > POSTED else raw.coalesce(1)
-    dealt.sortWithinPartitions("trigram", "file_id").write.options(**ENCODING).parquet(f"{at}/postings")
+    files.select(*FILES.names).write.option("compression", "zstd").parquet(f"{at}/files")
+    # runs sorted by (trigram, file) follow each other in a file: a lookup reads a page or two of each, and no posting is moved
+    posted.select(*POSTINGS.names).write.options(**ENCODING).parquet(f"{at}/postings")
     posted = spark.read.schema(POSTINGS).parquet(f"{at}/postings")
-    doc_frequency(posted).repartitionByRange(max(1, -(-total // (16 * POSTED))), "trigram").sortWithinPartitions("trigram").write.options(**ENCODING).parquet(f"{at}/dictionary")
-    fs, p = file_system(spark, f"{at}/raw")
-    per_file = raw.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    files.drop("trigram_count").join(per_file, "file_id", "left").withColumn("trigram_count", F.coalesce("n", F.lit(0))).select(*FILES.names).write.option("compression", "zstd").parquet(f"{at}/files")
-    fs.delete(p, True)
+    total = posted.count()
+    doc_frequency(posted).repartitionByRange(max(1, -(-total // COUNTED)), "trigram").sortWithinPartitions("trigram").write.options(**ENCODING).parquet(f"{at}/dictionary")
     totals = spark.read.schema(FILES).parquet(f"{at}/files").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
     row = (*VERSION, time.time_ns() // 1000, totals["n"], total, spark.read.parquet(f"{at}/dictionary").count(), totals["b"], *counts)
     spark.createDataFrame([(*row, _checksum(row))], META).coalesce(1).write.parquet(f"{at}/meta")
+    fs, p = file_system(spark, f"{at}/seen")
+    fs.delete(p, True)
     _publish(spark, root, version)
 
 
@@ -115,9 +126,12 @@ def _checksum(row: tuple) -> str:
 def build(source: DataFrame, root: str) -> dict:
     """Indexes source(file_id, path, ext, mtime_ns, size_bytes, content) and returns the build's statistics."""
     spark = source.sparkSession
-    stats = build_stats(source).first().asDict()
-    good = usable(source)
-    _write(spark, root, max(versions(spark, root), default=0) + 1, file_table(good), postings(good), blooms(good), skipped(source), (stats["files_skipped_binary"], stats["files_skipped_size"]))
+    version = max(versions(spark, root), default=0) + 1
+    source = _spread(source.select(*SOURCE.names))
+    seen = _survey(source, f"{root}/v={version}/seen")
+    stats = _totals(seen).first().asDict()
+    good = seen.where("indexed")
+    _write(spark, root, version, good, postings(usable(source)), good, seen.where("not indexed").select(*SKIPPED_NAMES), (stats["files_skipped_binary"], stats["files_skipped_size"]))
     return stats
 
 
@@ -190,19 +204,21 @@ def update(source: DataFrame, root: str, load: Callable[[DataFrame], DataFrame]
         return {"added": 0, "modified": 0, "deleted": 0}
     now = source.join(changed.where(F.col("change") != "deleted").select("path"), "path", "left_semi")
     now = (load(now) if load else now.select(*SOURCE.names)).persist(StorageLevel.DISK_ONLY)
-    left_out, fresh = skipped(now), usable(now)
-    seen = changed.join(left_out.select("path"), "path", "left_anti").join(old.skipped.select("path", F.lit(True).alias("was")), "path", "left")
-    seen = seen.where(~((F.col("change") == "deleted") & F.col("was").isNotNull()))
-    counts = {"added": 0, "modified": 0, "deleted": 0} | {r["change"]: r["count"] for r in seen.groupBy("change").count().collect()}
+    seen = _survey(now, f"{root}/v={old.version + 1}/seen")
+    left_out, fresh, filed = seen.where("not indexed").select(*SKIPPED_NAMES), usable(now), seen.where("indexed")
+    news = changed.join(left_out.select("path"), "path", "left_anti").join(old.skipped.select("path", F.lit(True).alias("was")), "path", "left")
+    news = news.where(~((F.col("change") == "deleted") & F.col("was").isNotNull()))
+    counts = {"added": 0, "modified": 0, "deleted": 0} | {r["change"]: r["count"] for r in news.groupBy("change").count().collect()}
     kept = old.files.join(changed, "path", "left_anti")
     top = old.files.agg(F.max("file_id")).first()[0] or 0
-    reused = old.postings.join(kept.select("file_id"), "file_id", "left_semi")
+    reused, filters = (t.join(kept.select("file_id"), "file_id", "left_semi") for t in (old.postings, old.blooms))
     if not source.join(kept.select("file_id", F.col("path").alias("p")), "file_id").where(F.col("path") != F.col("p")).isEmpty():
-        fresh = fresh.withColumn("file_id", F.col("file_id") + F.lit(top + 1))  # the source numbered its files anew
-    files = kept.unionByName(file_table(fresh))
+        anew = {"file_id": F.col("file_id") + F.lit(top + 1)}  # the source numbered its files anew
+        fresh, filed = fresh.withColumns(anew), filed.withColumns(anew)
+    files = kept.select(*FILES.names).unionByName(filed.select(*FILES.names))
     out = old.skipped.join(changed, "path", "left_anti").unionByName(left_out)
     large = out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("size_bytes") > MAX_FILE_BYTES).cast("long")), F.lit(0)).alias("large")).first()
-    _write(spark, root, old.version + 1, files, reused.unionByName(postings(fresh)), old.blooms.join(kept.select("file_id"), "file_id", "left_semi").unionByName(blooms(fresh)), out, (large["n"] - large["large"], large["large"]))
+    _write(spark, root, old.version + 1, files, reused.unionByName(postings(fresh)), filters.unionByName(filed.select(*BLOOMS.names)), out, (large["n"] - large["large"], large["large"]))
     now.unpersist()
     changed.unpersist()
     return counts

@@ -3,10 +3,13 @@
 import os
 import re
 import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from hypothesis import given
+import xxhash
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexgrain.errors import InvalidOptions, InvalidPattern
@@ -154,3 +157,33 @@ def test_watcher(tmp_path):
 @given(st.text(max_size=30))
 def test_quoted_literals_are_plain(text):
     assert re.sub(r"\\x([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), dialect.literal_to_java(text)) == text
+
+
+@settings(deadline=None)
+@given(st.lists(st.one_of(st.none(), st.binary(max_size=9), st.text("abA \0", max_size=40).map(str.encode)), min_size=1, max_size=30), st.integers(1, 60))
+def test_runs_of_many_contents(contents, most):
+    """Runs are sorted by (trigram, file) over all contents of a piece, and hold what each content holds alone."""
+    ids = list(range(len(contents)))[::-1]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 7], pa.int64()), pa.array(contents[i : i + 7], pa.binary())], names=["file_id", "content"]) for i in range(0, len(ids), 7)]
+    got = []
+    for piece in t.pieces(iter(batches), most):
+        sizes = [len(x or b"") for x in piece.column(1).to_pylist()]
+        assert sum(sizes) <= most or len(sizes) == 1
+        run = list(zip(*(x.tolist() for x in t._counted(piece.column(1), piece.column(0).to_numpy())), strict=True))
+        assert run == sorted(run)
+        got += run
+    want = Counter((g, i) for i, c in zip(ids, contents, strict=True) for g, _ in t.with_offsets(c or b""))
+    assert sorted(got) == sorted((*k, n) for k, n in want.items())
+
+
+def test_one_large_content(monkeypatch):
+    monkeypatch.setattr(t, "PIECE", 7)
+    data = b"abcab\0cabcabcabx" * 3
+    kinds, of, n = t._counted(pa.array([data], pa.binary()), np.array([5]))
+    assert dict(zip(kinds.tolist(), n.tolist(), strict=True)) == Counter(g for g, _ in t.with_offsets(data)) and set(of.tolist()) == {5}
+
+
+def test_hashes_of_trigrams():
+    grams = [0, 1, gram("abc"), 0xFFFFFF]
+    for seed in (0, 1):
+        assert t._xxh64(np.array(grams), seed).tolist() == [xxhash.xxh64_intdigest(g.to_bytes(4, "little"), seed) for g in grams]

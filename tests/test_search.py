@@ -214,6 +214,38 @@ def test_update_equals_rebuild(spark, tmp_path):
     assert index_ops.update(source(spark, new), f"file://{tmp_path}/fresh")["added"] == len(new)
 
 
+def test_build_uses_all_cores_and_deals_no_posting(spark, tmp_path, monkeypatch):
+    files = {f"{i}.txt": f"text number {i} of forty" for i in range(40)} | {"raw.bin": b"\0\1" * 300}
+    whole, plans = index_ops._write, []
+
+    def write(*args):
+        plans.append(args[4]._jdf.queryExecution().executedPlan().toString())
+        return whole(*args)
+
+    monkeypatch.setattr(index_ops, "_write", write)
+    spread = source(spark, files).coalesce(1)  # as from a table of one row group
+    stats = index_ops.build(spread, f"file://{tmp_path}/i")
+    assert stats == {"files_scanned": 41, "files_skipped_binary": 1, "files_skipped_size": 0, "bytes_scanned": sum(map(len, files.values()))}
+    assert sum(p.name.endswith(".parquet") for p in (tmp_path / "i/v=1/postings").iterdir()) > 1
+    index = StoredIndex(spark, f"file://{tmp_path}/i")
+    assert index.postings.count() == index.files.agg({"trigram_count": "sum"}).first()[0] and index.skipped.count() == 1
+    assert "Exchange rangepartitioning" not in plans[0]
+
+
+def test_many_candidates_move_no_text(spark, stored, monkeypatch):
+    from lexgrain import engine
+
+    monkeypatch.setattr(engine, "FEW", 0)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search(source(spark, TEXTS), "needle", SearchOptions(), StoredIndex(spark, stored)).found
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and [r["path"] for r in found.collect()] == ["e.txt"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_only_candidates_and_changes_are_loaded(spark, tmp_path):
     d = tmp_path / "w"
     d.mkdir()
