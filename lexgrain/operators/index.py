@@ -97,8 +97,8 @@ def _spread(source: DataFrame) -> DataFrame:
 
 #: How postings lie on disk: runs of a trigram and small steps of identifiers.
 ENCODING = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#file_id": "false"}
-#: Postings for each file of the dictionary about.
-COUNTED = 64_000_000
+#: Postings for each file of the dictionary about; dropped files that an update broadcasts at most.
+COUNTED, DROPPED = 64_000_000, 1 << 20
 
 
 def _write(spark: SparkSession, root: str, version: int, files: DataFrame, posted: DataFrame, filters: DataFrame, left_out: DataFrame, counts: tuple[int, int]) -> None:
@@ -211,7 +211,10 @@ def update(source: DataFrame, root: str, load: Callable[[DataFrame], DataFrame]
     counts = {"added": 0, "modified": 0, "deleted": 0} | {r["change"]: r["count"] for r in news.groupBy("change").count().collect()}
     kept = old.files.join(changed, "path", "left_anti")
     top = old.files.agg(F.max("file_id")).first()[0] or 0
-    reused, filters = (t.join(kept.select("file_id"), "file_id", "left_semi") for t in (old.postings, old.blooms))
+    # what goes is mostly less than what stays, and as a broadcast moves no posting
+    gone = old.files.join(changed, "path", "left_semi").select("file_id").join(kept.select("file_id"), "file_id", "left_anti").persist(StorageLevel.DISK_ONLY)
+    few = F.broadcast(gone) if gone.count() <= DROPPED else gone
+    reused, filters = (t.where(F.col("file_id").isNotNull()).join(few, "file_id", "left_anti") for t in (old.postings, old.blooms))
     if not source.join(kept.select("file_id", F.col("path").alias("p")), "file_id").where(F.col("path") != F.col("p")).isEmpty():
         anew = {"file_id": F.col("file_id") + F.lit(top + 1)}  # the source numbered its files anew
         fresh, filed = fresh.withColumns(anew), filed.withColumns(anew)
@@ -219,6 +222,7 @@ def update(source: DataFrame, root: str, load: Callable[[DataFrame], DataFrame]
     out = old.skipped.join(changed, "path", "left_anti").unionByName(left_out)
     large = out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("size_bytes") > MAX_FILE_BYTES).cast("long")), F.lit(0)).alias("large")).first()
     _write(spark, root, old.version + 1, files, reused.unionByName(postings(fresh)), filters.unionByName(filed.select(*BLOOMS.names)), out, (large["n"] - large["large"], large["large"]))
+    gone.unpersist()
     now.unpersist()
     changed.unpersist()
     return counts

@@ -232,6 +232,29 @@ def test_build_uses_all_cores_and_deals_no_posting(spark, tmp_path, monkeypatch)
     assert "Exchange rangepartitioning" not in plans[0]
 
 
+def test_update_moves_no_posting(spark, tmp_path, monkeypatch):
+    """Postings of unchanged files are told apart by a broadcast, however large the tables."""
+    files = {f"{i}.txt": f"text number {i} of forty" for i in range(40)}
+    index_ops.build(source(spark, files), f"file://{tmp_path}/i")
+    whole, plans = index_ops._write, []
+
+    def write(*args):
+        plans.append(args[4]._jdf.queryExecution().executedPlan().toString())
+        return whole(*args)
+
+    monkeypatch.setattr(index_ops, "_write", write)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = files | {"7.txt": "another text", "8.txt": "a third text"}
+        assert index_ops.update(source(spark, new), f"file://{tmp_path}/i") == {"added": 0, "modified": 2, "deleted": 0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert re.search(r"\w+Join", plans[0]).group() == "BroadcastHashJoin"  # the topmost, over the postings
+    index_ops.build(source(spark, new), f"file://{tmp_path}/again")
+    assert tables(spark, f"file://{tmp_path}/i") == tables(spark, f"file://{tmp_path}/again")
+
+
 def test_many_candidates_move_no_text(spark, stored, monkeypatch):
     from lexgrain import engine
 
