@@ -97,8 +97,8 @@ def _spread(source: DataFrame) -> DataFrame:
 
 #: How postings lie on disk: runs of a trigram and small steps of identifiers.
 ENCODING = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#file_id": "false"}
-#: Postings for each file of the dictionary about; dropped files that an update broadcasts at most.
-COUNTED, DROPPED = 64_000_000, 1 << 20
+#: Postings that one file holds as one run; postings for each file of the dictionary about; dropped files that an update broadcasts at most.
+TOGETHER, COUNTED, DROPPED = 1_000_000, 64_000_000, 1 << 20
 
 
 def _write(spark: SparkSession, root: str, version: int, files: DataFrame, posted: DataFrame, filters: DataFrame, left_out: DataFrame, counts: tuple[int, int]) -> None:
@@ -106,12 +106,13 @@ def _write(spark: SparkSession, root: str, version: int, files: DataFrame, poste
     left_out.write.parquet(f"{at}/skipped")
     filters.select(*BLOOMS.names).write.option("compression", "zstd").parquet(f"{at}/blooms")
     files.select(*FILES.names).write.option("compression", "zstd").parquet(f"{at}/files")
+    totals = spark.read.schema(FILES).parquet(f"{at}/files").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("trigram_count"), F.lit(0)).alias("t")).first()
     # runs sorted by (trigram, file) follow each other in a file: a lookup reads a page or two of each, and no posting is moved
+    posted = posted.coalesce(1).sortWithinPartitions("trigram", "file_id") if totals["t"] <= TOGETHER else posted
     posted.select(*POSTINGS.names).write.options(**ENCODING).parquet(f"{at}/postings")
     posted = spark.read.schema(POSTINGS).parquet(f"{at}/postings")
     total = posted.count()
     doc_frequency(posted).repartitionByRange(max(1, -(-total // COUNTED)), "trigram").sortWithinPartitions("trigram").write.options(**ENCODING).parquet(f"{at}/dictionary")
-    totals = spark.read.schema(FILES).parquet(f"{at}/files").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
     row = (*VERSION, time.time_ns() // 1000, totals["n"], total, spark.read.parquet(f"{at}/dictionary").count(), totals["b"], *counts)
     spark.createDataFrame([(*row, _checksum(row))], META).coalesce(1).write.parquet(f"{at}/meta")
     fs, p = file_system(spark, f"{at}/seen")
