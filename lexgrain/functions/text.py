@@ -31,7 +31,8 @@ def line_starts(text: Column, numbers: Column) -> Column:
         texts = texts.cast(pa.large_binary()).fill_null(b"")
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
-        ends = np.append(np.flatnonzero(data[at[0] : at[-1]] == 10) + at[0], 0)
+        step = 1 << 20  # what marks line ends is as small as that, however large the batch
+        ends = np.concatenate([*(np.flatnonzero(data[i : min(i + step, at[-1])] == 10) + i for i in range(at[0], at[-1], step)), np.zeros(1, np.int64)])
         first = np.searchsorted(ends[:-1], at[:-1])  # each text's first line end
         ask, n = lines_.flatten().to_numpy().astype(np.int64), lines_.value_lengths().fill_null(0).to_numpy().astype(np.int64)
         of = np.repeat(np.arange(len(texts)), n)

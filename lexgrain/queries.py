@@ -224,8 +224,10 @@ def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _squeezed(ext: str, packed: Callable[[bytes], bytes]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([packed(x.as_py()) for x in b.column(5)], pa.binary())], names=b.schema.names)
+            for whole in batches:
+                for i in range(0, len(whole), 256):
+                    b = whole.slice(i, 256)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([packed(x.as_py()) for x in b.column(5)], pa.binary())], names=b.schema.names)
 
         files = _docs(spark, sf_dir).select(*SOURCE.names).withColumns({"path": F.concat("path", F.lit(f".{ext}")), "ext": F.lit(ext.rpartition(".")[2])}).mapInArrow(squeeze, SOURCE)
         return search(expand(files, decompress=True, archives=ext in ("zip", "tar.gz")), LITERAL).found.select(*PLACE)

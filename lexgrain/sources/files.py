@@ -18,8 +18,8 @@ from ..schema import MAX_FILE_BYTES, SOURCE
 from .walk import extension, walk
 
 CODECS = ("gz", "zst", "bz2", "xz")
-#: Files listed for one read task.
-PER_TASK = 256
+#: Files listed for one read task; bytes of content and files that a batch is passed on with.
+PER_TASK, PASSED, ROWS = 256, 1 << 20, 1000
 
 
 def decompressed(data: bytes, ext: str) -> bytes:
@@ -55,7 +55,8 @@ def _packed(path: str) -> bool:
     return path.endswith((".zip", ".tar.gz"))
 
 
-def _expanded(file_id: int, path: str, ext: str, mtime: int, size: int, data: bytes | None, decompress: bool, archives: bool) -> Iterator[pa.RecordBatch]:
+def _expanded(file_id: int, path: str, ext: str, mtime: int, size: int, data: bytes | None, decompress: bool, archives: bool) -> Iterator[tuple]:
+    """SOURCE rows of a file; none if it is broken inside."""
     packed = archives and _packed(path)
     try:
         if data is None:
@@ -66,17 +67,34 @@ def _expanded(file_id: int, path: str, ext: str, mtime: int, size: int, data: by
         return
     for k, (name, body) in enumerate(rows):
         kind = extension(name.rpartition(":")[2].rpartition("/")[2]) if packed else ext
-        long = len(body) if packed else size
-        yield pa.RecordBatch.from_arrays([pa.array([file_id + (k << 40)], pa.int64()), pa.array([name]), pa.array([kind]), pa.array([mtime], pa.int64()), pa.array([long], pa.int64()), pa.array([body], pa.binary())], names=SOURCE.names)
+        yield file_id + (k << 40), name, kind, mtime, len(body) if packed else size, body
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch; only one is held besides it."""
+    for row in zip(*b.columns, strict=True):
+        yield tuple(x.as_py() for x in row)
+
+
+def _passed_on(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """SOURCE rows as batches of a few contents."""
+    held, size = [], 0
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"")
+        if size >= PASSED or len(held) >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=SOURCE.names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=SOURCE.names)
 
 
 def expand(files: DataFrame, decompress: bool = False, archives: bool = False) -> DataFrame:
     """SOURCE rows with compressed contents decompressed and archives replaced by their entries (path:entry)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield from _expanded(*row, decompress, archives)
+        yield from _passed_on(out for b in batches for row in _rows(b) for out in _expanded(*row, decompress, archives))
 
     return files.select(*SOURCE.names).mapInArrow(work, SOURCE)
 
@@ -101,9 +119,9 @@ def load_files(listed: DataFrame, root: str, decompress: bool = False, archives:
     A file that can't be read, or is broken inside, is left out.  files: how many there are about."""
     base = os.path.dirname(os.path.abspath(root)) if os.path.isfile(root) else os.path.abspath(root)
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for file_id, path, ext, mtime, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for file_id, path, ext, mtime, size in _rows(b):
                 data = None
                 if size <= MAX_FILE_BYTES or decompress and ext in CODECS or archives and _packed(path):
                     try:
@@ -113,6 +131,9 @@ def load_files(listed: DataFrame, root: str, decompress: bool = False, archives:
                         continue
                 yield from _expanded(file_id, path, ext, mtime, size, data, decompress, archives)
 
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _passed_on(read(batches))
+
     n = listed.count() if files is None else files
     cores = listed.sparkSession.sparkContext.defaultParallelism
     return listed.select(*SOURCE.names[:-1]).repartition(max(1, min(n, cores), -(-n // PER_TASK))).mapInArrow(load, SOURCE)

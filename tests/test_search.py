@@ -9,9 +9,13 @@ import os
 import random
 import re
 import tarfile
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from lexgrain import cli
 from lexgrain.engine import Engine, search
@@ -214,6 +218,36 @@ def test_update_equals_rebuild(spark, tmp_path):
     assert index_ops.update(source(spark, new), f"file://{tmp_path}/fresh")["added"] == len(new)
 
 
+def test_expanding_holds_few_contents():
+    """A worker holds one content and a small batch of results besides what it was given, and passes on no batch a file."""
+    bodies = [random.Random(i).randbytes(20_000) for i in range(1500)]
+    n = len(bodies)
+    columns = [pa.array(range(n), pa.int64()), pa.array([f"{i}.zst" for i in range(n)]), pa.array(["zst"] * n), pa.array([1] * n, pa.int64()), pa.array([1] * n, pa.int64())]
+    given = pa.RecordBatch.from_arrays([*columns, pa.array([zstandard.ZstdCompressor().compress(b) for b in bodies], pa.binary())], names=SOURCE.names)
+    work = []
+
+    class Files:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: work.append(f)
+
+    expand(Files(), decompress=True)
+    tracemalloc.start()
+    seen = batches = 0
+    for out in work[0](iter([given])):
+        assert [x.as_py() for x in out.column(5)] == bodies[seen : seen + len(out)]
+        seen, batches = seen + len(out), batches + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and batches < n / 20 and peak < 10_000_000
+
+
+def test_line_starts_of_a_large_batch(spark):
+    text = ("x" * 70 + "\n") * 40_000  # more than one step of the search for line ends
+    rows = matching.all_lines(source(spark, {"a.txt": "first\n", "b.txt": text, "c.txt": "\n\nlast"}).coalesce(1).withColumn("text", F.decode("content", "UTF-8")))
+    got = {(r["path"], r["line_number"]): r["byte_offset"] for r in rows.select("path", "line_number", "byte_offset").collect()}
+    assert got == {("a.txt", 1): 0, ("c.txt", 1): 0, ("c.txt", 2): 1, ("c.txt", 3): 2} | {("b.txt", i + 1): 71 * i for i in range(40_000)}
+
+
 def test_build_uses_all_cores_and_deals_no_posting(spark, tmp_path, monkeypatch):
     files = {f"{i}.txt": f"text number {i} of forty" for i in range(40)} | {"raw.bin": b"\0\1" * 300}
     whole, plans = index_ops._write, []
@@ -223,6 +257,7 @@ def test_build_uses_all_cores_and_deals_no_posting(spark, tmp_path, monkeypatch)
         return whole(*args)
 
     monkeypatch.setattr(index_ops, "_write", write)
+    monkeypatch.setattr(index_ops, "TOGETHER", 0)  # as if there were many
     spread = source(spark, files).coalesce(1)  # as from a table of one row group
     stats = index_ops.build(spread, f"file://{tmp_path}/i")
     assert stats == {"files_scanned": 41, "files_skipped_binary": 1, "files_skipped_size": 0, "bytes_scanned": sum(map(len, files.values()))}
